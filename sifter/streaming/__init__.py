@@ -1,0 +1 @@
+"""sifter.streaming."""
