@@ -150,8 +150,10 @@ def grouped_box_stats(af: DataFrame, target: str, compare: str,
 
 def daily_mean(af: DataFrame, target: str, date_field: str) -> DataFrame:
     """Numeric target, parsed date, mean per calendar day (days without
-    data absent), ascending."""
-    t = _num(af, target)
+    data absent), ascending.  A DECIMAL target is averaged exactly, so the
+    result does not depend on how rows are spread over partitions."""
+    t = F.col(f"`{target}`") if isinstance(af.schema[target].dataType, T.DecimalType) \
+        else _num(af, target)
     d = try_timestamp(F.col(f"`{date_field}`"), af.schema[date_field].dataType)
     return (af.select(t.alias("t"), F.to_date(d).alias("day"))
             .where(F.col("t").isNotNull() & F.col("day").isNotNull())

@@ -87,7 +87,8 @@ def moving_average(records: DataFrame, order_by: Sequence[str], steps: int = 5,
     hist = F.transform(F.array_sort(F.col("_s"), _cmp_fields(order_by)), lambda s: s["_v"])
 
     def step(acc, _):
-        last = F.slice(acc, -window, window) if window > 0 else acc
+        # the last ``window`` entries, or all of them when the history is shorter
+        last = F.slice(acc, F.greatest(F.size(acc) - window + 1, F.lit(1)), window)
         avg = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
         nxt = F.when(F.isnan(avg), F.lit(0.0)).otherwise(F.round(avg, 4))
         return F.concat(acc, F.array(nxt))

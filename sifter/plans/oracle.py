@@ -346,7 +346,8 @@ SELECT l_returnflag AS category, {RND('avg(l_extendedprice)')} AS mean FROM line
 WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY l_returnflag""",
 
     "daily_mean": f"""
-SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, {RND('avg(l_extendedprice)')} AS mean
+SELECT strftime(l_shipdate, '%Y-%m-%d') AS day,
+       {RND('avg(CAST(l_extendedprice AS DECIMAL(18,2)))')} AS mean
 FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL
 GROUP BY strftime(l_shipdate, '%Y-%m-%d')""",
 

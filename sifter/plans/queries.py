@@ -281,9 +281,11 @@ def q_grouped_mean(spark, d):
 
 
 def q_daily_mean(spark, d):
-    out = charts.daily_mean(sales_af(spark, d), "Sales", "Order Date")
+    # money as a two-place decimal: the daily mean is then exact
+    af = sales_af(spark, d).withColumn("Sales", F.col("Sales").cast("decimal(18,2)"))
+    out = charts.daily_mean(af, "Sales", "Order Date")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"),
-                      F.round("mean", 4).alias("mean"))
+                      F.round("mean", 4).cast("double").alias("mean"))
 
 
 def q_histogram(spark, d):
