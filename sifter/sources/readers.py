@@ -32,10 +32,10 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     """Per file: ``utf-8`` when it decodes as UTF-8, else ``cp1252`` unless a
     byte undefined in cp1252 occurs, else ``latin-1`` (which never fails).
 
-    Two distributed line scans over whole files: the UTF-8 text view (bad
-    bytes become U+FFFD) and the Latin-1 view (every byte one character)."""
+    Two distributed line scans over whole files: the raw text view checked
+    with ``is_valid_utf8`` and the Latin-1 view (every byte one character)."""
     utf = (spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-           .groupBy("file").agg(F.max(F.instr("value", "�") > 0).alias("bad_utf8")))
+           .groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("bad_utf8")))
     latin = (spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0000")
              .option("header", "false").option("quote", "").csv(path)
              .select(F.input_file_name().alias("file"), F.col("_c0").alias("v"))
@@ -162,7 +162,7 @@ def detect_formats(spark: SparkSession, path: str) -> DataFrame:
     fmt = (F.when(F.instr(F.decode(head4, "ISO-8859-1"), "{") > 0, "json")
            .when(F.instr(F.decode(head4, "ISO-8859-1"), "[") > 0, "json")
            .when(head4 == F.lit(b"PAR1"), "parquet")
-           .when(F.substring("head", 1, 2) == F.lit(b"PK") &
+           .when((F.substring("head", 1, 2) == F.lit(b"PK")) &
                  suffix.isin(".xlsx", ".xlsm", ".xltx", ".xltm"), "excel")
            .when(F.instr(first_line, ",") > 0, "csv")
            .when(F.instr(first_line, "\t") > 0, "tsv")

@@ -8,6 +8,7 @@ missing store gives an empty frame with the canonical schema.
 from __future__ import annotations
 
 import datetime as _dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,14 @@ CANONICAL_SCHEMA = T.StructType([
     T.StructField("features", T.StructType([]), True),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType()), True),
 ])
+# File formats cannot hold an empty struct: an emptied store is written with
+# one placeholder feature.
+EMPTY_STORE_SCHEMA = T.StructType([
+    CANONICAL_SCHEMA["entity_id"], CANONICAL_SCHEMA["timestamp"],
+    T.StructField("features", T.StructType([T.StructField("_none", T.StringType())]), True),
+    CANONICAL_SCHEMA["metadata"],
+])
+SCHEMA_SIDECAR = "_schema"  # leading underscore: skipped by Spark's file listing
 
 RUN_SUMMARY_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
@@ -50,6 +59,11 @@ def save(records: DataFrame, path: str, fmt: str = "json") -> None:
     w = records.write.mode("overwrite")
     if fmt == "json":
         w.option("ignoreNullFields", "false").json(path)
+        # JSON inference would sort struct fields by name and lose the
+        # feature order (which decides the model value); keep the schema.
+        spark = records.sparkSession
+        spark.createDataFrame([(records.schema.json(),)], "schema string").coalesce(1) \
+             .write.mode("overwrite").text(f"{path.rstrip('/')}/{SCHEMA_SIDECAR}")
     else:
         w.parquet(path)
 
@@ -58,17 +72,32 @@ def load(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Read the store back; a missing store is empty."""
     fmt = _check(fmt)
     try:
-        df = spark.read.json(path) if fmt == "json" else spark.read.parquet(path)
+        if fmt == "json":
+            schema = _sidecar_schema(spark, path)
+            reader = spark.read.schema(schema) if schema is not None else spark.read
+            df = reader.json(path)
+        else:
+            df = spark.read.parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], CANONICAL_SCHEMA)
     if "entity_id" not in df.columns:  # an empty JSON store has no inferred columns
         return spark.createDataFrame([], CANONICAL_SCHEMA)
+    if df.schema["features"].dataType == EMPTY_STORE_SCHEMA["features"].dataType:
+        return spark.createDataFrame([], CANONICAL_SCHEMA) if df.limit(1).count() == 0 else df
     return df
 
 
+def _sidecar_schema(spark: SparkSession, path: str):
+    try:
+        row = spark.read.text(f"{path.rstrip('/')}/{SCHEMA_SIDECAR}").first()
+    except AnalysisException:
+        return None
+    return T.StructType.fromJson(json.loads(row[0])) if row else None
+
+
 def reset(spark: SparkSession, path: str, fmt: str = "json") -> None:
     """Overwrite the store with an empty record set."""
-    save(spark.createDataFrame([], CANONICAL_SCHEMA), path, fmt)
+    save(spark.createDataFrame([], EMPTY_STORE_SCHEMA), path, fmt)
 
 
 def metadata(records: DataFrame) -> DataFrame:
