@@ -180,12 +180,50 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     return picked.select(*cols)
 
 
+# Largest number of distinct values per group for which the single-pass
+# built-in ``percentile`` is used: its buffer holds one (value, count) entry
+# per distinct value of a group, so it is only chosen under a checked bound.
+BUILTIN_DISTINCT_LIMIT = 200_000
+
+
+def builtin_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                      group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles with Spark's ``percentile`` (same interpolation as
+    ``exact_quantiles``).  Memory grows with distinct values per group: call
+    it only under a bound (``quantiles`` checks one)."""
+    names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
+    x = _nan_free(df, value_col)
+    pc = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
+    out = (df.groupBy(*group_cols).agg(F.count(x).alias("n"), pc.alias("_pc"))
+           .where(F.col("n") > 0))
+    return out.select(*group_cols, "n", *[F.col("_pc")[i].alias(nm) for i, nm in enumerate(names)])
+
+
+def max_distinct_per_group(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> int:
+    """HyperLogLog estimate (5% error) of the largest distinct-value count of
+    any group: one map-side-combined pass, one number to the driver."""
+    x = _nan_free(df, value_col)
+    per = df.groupBy(*group_cols).agg(F.approx_count_distinct(x, 0.05).alias("d"))
+    return int(per.agg(F.max("d")).first()[0] or 0)
+
+
 def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
               accuracy: str = "exact") -> DataFrame:
-    """``exact_quantiles`` or, with ``accuracy='approx'``, Spark's
-    ``percentile_approx`` (one pass, bounded memory, no interpolation)."""
+    """Quantiles per group.
+
+    ``accuracy='exact'`` picks the plan from a checked bound: when every
+    group has at most ``BUILTIN_DISTINCT_LIMIT`` distinct values the
+    single-pass built-in ``percentile`` is used, otherwise the distributed
+    ``exact_quantiles``; both give the same numbers.  ``'distributed'`` and
+    ``'builtin'`` force a plan; ``'approx'`` uses ``percentile_approx`` (one
+    pass, bounded memory, no interpolation)."""
     if accuracy == "exact":
+        bounded = max_distinct_per_group(df, value_col, group_cols) <= BUILTIN_DISTINCT_LIMIT
+        accuracy = "builtin" if bounded else "distributed"
+    if accuracy == "builtin":
+        return builtin_quantiles(df, value_col, probs, group_cols, names)
+    if accuracy == "distributed":
         return exact_quantiles(df, value_col, probs, group_cols, names)
     names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
     x = _nan_free(df, value_col)

@@ -1 +1,49 @@
-"""sifter.streaming."""
+"""Stateless sifter operators on Structured Streaming sources.
+
+The reference has no streaming runtime; its per-record steps (adapt,
+validate, threshold flag, severity) are stateless expressions, so they apply
+unchanged to a streaming DataFrame.  These helpers wire them to
+``readStream``/``writeStream``; detectors that need statistics over the
+whole table (z-score, IQR, models) are fitted in batch and their bounded
+parameters applied to the stream as literals.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sifter.operators import anomaly, reshape, validate
+
+
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """A file-folder stream with a fixed schema (no inference on streams)."""
+    r = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(path)
+
+
+def validated_stream(raw: DataFrame, roles: reshape.Roles | None = None) -> DataFrame:
+    """Canonical records with ``errors`` and ``status`` (C2) per micro-batch."""
+    return validate.validate(reshape.adapt(raw, roles))
+
+
+def scored_stream(records: DataFrame, model, thresholds: dict | None = None) -> DataFrame:
+    """Apply a detector already fitted in batch (its parameters are literals)
+    and the severity ladder (J5)."""
+    return anomaly.severity(model.transform(records), thresholds)
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
+                 trigger_once: bool = False):
+    """Append sink with a checkpoint folder (exactly-once file sink).  On a
+    cluster ``checkpoint`` must be a shared folder, e.g. under
+    ``spark.checkpoint.dir``."""
+    w = df.writeStream.format(fmt).option("path", path) \
+        .option("checkpointLocation", checkpoint).outputMode("append")
+    if trigger_once:
+        w = w.trigger(availableNow=True)
+    return w.start()

@@ -46,3 +46,15 @@ def test_quantiles_single_value_and_approx(spark):
     a = quantiles(spark.range(1001).select(F.col("id").cast("double").alias("v")), "v", [0.5],
                   accuracy="approx").first()
     assert abs(a["q_0_5"] - 500) <= 1
+
+
+def test_builtin_and_distributed_agree(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 2000).astype(str),
+                        "v": np.round(rng.exponential(size=2000), 2)})
+    df = spark.createDataFrame(pdf)
+    probs = [0.25, 0.5, 0.75]
+    a = quantiles(df, "v", probs, ["g"], accuracy="builtin").toPandas().set_index("g").sort_index()
+    b = quantiles(df, "v", probs, ["g"], accuracy="distributed").toPandas().set_index("g").sort_index()
+    c = quantiles(df, "v", probs, ["g"]).toPandas().set_index("g").sort_index()
+    assert (a == b).all().all() and (a == c).all().all()
