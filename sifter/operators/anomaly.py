@@ -27,10 +27,19 @@ def _v(df: DataFrame, c: str):
     return nan_to_null(F.col(f"`{c}`"), df.schema[c].dataType)
 
 
+class Detector:
+    """J10 contract: ``fit`` on one frame, ``transform`` any frame,
+    ``evaluate`` = transform + E19 summary (total and anomaly counts)."""
+
+    def evaluate(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = self.transform(df)
+        return rows, detector_summary(rows)
+
+
 # ---------------------------------------------------------------- J1
 
 @dataclass
-class ThresholdModel:
+class ThresholdModel(Detector):
     """Anomaly iff value is present and strictly above ``threshold``."""
     threshold: float
     value: str = "value"
@@ -47,7 +56,7 @@ class ThresholdModel:
 # ---------------------------------------------------------------- J2
 
 @dataclass
-class ZScoreModel:
+class ZScoreModel(Detector):
     """|x - mean| / population std; flag when the unrounded score is
     strictly above ``threshold``; score rounded to 4.  A zero or undefined
     std, or a missing value, gives no flag and a null score."""
@@ -98,7 +107,7 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], accuracy: str = "exact",
 
 
 @dataclass
-class IQRModel:
+class IQRModel(Detector):
     """Per numeric column flag values outside the IQR fences; the
     score is the number of columns out of range."""
     columns: Sequence[str] | None = None

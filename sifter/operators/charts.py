@@ -122,12 +122,13 @@ def box_stats(af: DataFrame, target: str, accuracy: str = "exact") -> DataFrame:
 
 
 def box_outliers(af: DataFrame, target: str, box: DataFrame) -> DataFrame:
-    """E12 fliers: target values outside the whiskers (whiskers: one row)."""
+    """E12 fliers: the rows whose target lies outside the whiskers (the
+    whiskers are one row, applied as literals)."""
     b = box.first()
-    vals = af.select(_num(af, target).alias("v")).where(F.col("v").isNotNull())
+    v = _num(af, target)
     if b is None:
-        return vals.limit(0)
-    return vals.where((F.col("v") < b["whisker_low"]) | (F.col("v") > b["whisker_high"]))
+        return af.limit(0)
+    return af.where(v.isNotNull() & ((v < b["whisker_low"]) | (v > b["whisker_high"])))
 
 
 def grouped_box_stats(af: DataFrame, target: str, compare: str,

@@ -14,11 +14,12 @@ Spark plan:
 2. ``groupBy(tree).applyInPandas`` grows one tree per group (psi values);
    in one dimension a tree is a step function of the value, emitted as
    (interval start, path length);
-3. the trees are merged into one step function with a distributed running
-   sum of per-tree jumps (<= n_trees * psi breakpoints);
+3. the trees (at most n_trees * psi leaves in all, a bounded model) are
+   merged into one step function of the value;
 4. every row is scored JVM-side: ``Bucketizer`` (binary search over the
    breakpoints) + a broadcast lookup of the bucket's score;
-5. the offset is an exact quantile of the training scores.
+5. the offset is the exact quantile of the training scores, computed from
+   the number of training values per bucket (one map-side-combined pass).
 The random stream differs from other implementations; the tests check the
 invariants (flag rate, the extreme value flagged, determinism per seed).
 """
@@ -30,14 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sifter.functions.cols import nan_to_null
-from sifter.functions.order import quantiles, running_total, with_ordinal
+from sifter.operators.anomaly import Detector
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -76,8 +76,23 @@ def _grow(seed: int, max_depth: int):
     return run
 
 
+def _weighted_quantile(values: np.ndarray, counts: np.ndarray, p: float) -> float:
+    """Linear-interpolated quantile of ``values`` repeated ``counts`` times
+    (the same definition as ``exact_quantiles``)."""
+    order = np.argsort(values, kind="stable")
+    v, c = values[order], counts[order].astype(np.int64)
+    cum = np.cumsum(c)
+    n = int(cum[-1])
+    pos = p * (n - 1)
+    lo = int(math.floor(pos))
+    hi = min(lo + 1, n - 1)
+    v_lo = v[np.searchsorted(cum, lo, side="right")]
+    v_hi = v[np.searchsorted(cum, hi, side="right")]
+    return float(v_lo + (v_hi - v_lo) * (pos - lo))
+
+
 @dataclass
-class IsolationForestModel:
+class IsolationForestModel(Detector):
     contamination: float = 0.1
     n_trees: int = 100
     max_samples: int = 256
@@ -119,30 +134,31 @@ class IsolationForestModel:
         sample = (tagged.select("x", F.col("m.tree").alias("tree"), F.col("m.h").alias("h"))
                   .withColumn("r", F.row_number().over(w)).where(F.col("r") <= psi)
                   .select("tree", "x"))
-        # 2. grow one tree per group (psi values each)
+        # 2. grow one tree per group (psi values each); a tree has at most
+        #    2^max_depth leaves, so the forest is at most n_trees * psi rows
         steps = sample.groupBy("tree").applyInPandas(
-            _grow(self.seed, max_depth), "tree int, start double, h double")
-        # 3. merge: jump of each tree's step function at each interval start
-        from pyspark.sql import Window as W
-        wt = W.partitionBy("tree").orderBy("start")
-        jumps = steps.withColumn("jump", F.col("h") - F.coalesce(F.lag("h").over(wt), F.lit(0.0)))
-        merged = jumps.groupBy("start").agg(F.sum("jump").alias("jump"))
-        merged = running_total(merged, ["start"], ["jump"], prefix="before_") \
-            .withColumn("eh", (F.col("before_jump") + F.col("jump")) / F.lit(float(self.n_trees)))
+            _grow(self.seed, max_depth), "tree int, start double, h double").toPandas()
+        # 3. merge the trees' step functions into one (bounded model, like any
+        #    fitted MLlib tree ensemble it lives on the driver)
+        steps = steps.sort_values(["tree", "start"])
+        steps["jump"] = steps.groupby("tree")["h"].diff().fillna(steps["h"])
+        merged = steps.groupby("start", sort=True)["jump"].sum()
+        eh = merged.cumsum().to_numpy() / float(self.n_trees)
         cpsi = c_factor(psi)
-        merged = merged.withColumn(
-            "score", -F.pow(F.lit(2.0), -F.col("eh") / F.lit(cpsi if cpsi > 0 else 1.0)))
-        table = with_ordinal(merged.select("start", "score"), ["start"], name="bucket") \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        # breakpoints: bounded by n_trees * psi, so they may reach the driver
-        starts = [r["start"] for r in table.orderBy("bucket").select("start").collect()]
-        self.splits = [-math.inf] + [s for s in starts if s != -math.inf] + [math.inf]
-        self.lookup = table.select(F.col("bucket").cast("double").alias("bucket"), "score")
+        scores = -np.power(2.0, -eh / (cpsi if cpsi > 0 else 1.0))
+        starts = merged.index.to_numpy()
+        self.splits = [-math.inf] + [float(x) for x in starts if x != -math.inf] + [math.inf]
+        self.scores = scores
+        self.lookup = spark.createDataFrame(
+            pd.DataFrame({"bucket": np.arange(len(scores), dtype=float), "score": scores}))
         self.fitted = True
-        # 5. offset: the contamination quantile of the training scores
-        scored_train = self._score(train, "x")
-        q = quantiles(scored_train, "_score", [self.contamination], names=["off"]).first()
-        self.offset = float(q["off"])
+        # 4. offset: the contamination quantile of the training scores, from
+        #    the count of training values per bucket (one combined pass)
+        b = Bucketizer(splits=self.splits, inputCol="x", outputCol="bucket", handleInvalid="keep")
+        per = b.transform(train).groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).toPandas()
+        per["score"] = scores[per["bucket"].astype(int).to_numpy()]
+        self.offset = _weighted_quantile(per["score"].to_numpy(), per["c"].to_numpy(),
+                                         self.contamination)
         return self
 
     def _score(self, df: DataFrame, col: str) -> DataFrame:

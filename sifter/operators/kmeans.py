@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import nan_to_null
+from sifter.operators.anomaly import Detector
 
 
 @dataclass
-class KMeansModel:
+class KMeansModel(Detector):
     n_clusters: int = 3
     n_init: int = 10
     seed: int = 42

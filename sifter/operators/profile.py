@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sifter.functions.cols import missing, safe_double
+from sifter.functions.cols import missing, norm_field_expr, safe_double
 from sifter.functions.order import quantiles
 from sifter.operators.reshape import (
     CATEGORY_FIELDS, DATE_FIELDS, NUMERIC_FIELDS, TARGET_FIELD, analysis_frame,
@@ -170,3 +170,16 @@ def overview(flat: DataFrame, accuracy: str = "exact") -> dict:
         "chart_context": chart_context(flat.columns),
         "compare_options": [l for l in resolved if l != TARGET_FIELD],
     }
+
+
+def filter_fields(summary: DataFrame, selected, field_col: str = "field") -> DataFrame:
+    """Keep the summary rows of the chosen fields, names compared after
+    trimming, lower-casing, ``_`` -> space and collapsing whitespace."""
+    import re as _re
+    keys = sorted({_re.sub(r"\s+", " ", str(s).strip().lower().replace("_", " ")) for s in selected})
+    return summary.where(norm_field_expr(F.col(field_col)).isin(keys))
+
+
+def with_missing(summary: DataFrame, missing_col: str = "missing") -> DataFrame:
+    """Summary rows of fields that have missing values."""
+    return summary.where(F.col(missing_col) > 0)

@@ -454,4 +454,40 @@ FROM c""",
     "model_comparison": " UNION ALL ".join(
         f"SELECT 'anomaly' AS model_type, 'zscore_{t}' AS model, * FROM ({_classification(t)})"
         for t in (1.5, 2.0)),
+
+    "validation_report": f"""
+WITH {DIRTY},
+c AS (SELECT count(*) AS n,
+             count(*) FILTER (WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL) AS v
+      FROM dirty)
+SELECT CASE WHEN n - v > 0 THEN 'invalid' ELSE 'valid' END AS dataset_status,
+       n AS records_processed, v AS valid_records, n - v AS invalid_records FROM c""",
+
+    "box_outliers": """
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q),
+w AS (SELECT least(coalesce(min(value) FILTER (WHERE value >= lo_f), min(q1)), min(q1)) AS wl,
+             greatest(coalesce(max(value) FILTER (WHERE value <= hi_f), min(q3)), min(q3)) AS wh
+      FROM events, f)
+SELECT event_id, value FROM events, w WHERE value < wl OR value > wh""",
+
+    "detector_summary": """
+WITH s AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS sd FROM orders)
+SELECT count(*) AS total_records,
+       count(*) FILTER (WHERE abs((o_totalprice - m) / sd) > 2.0) AS anomaly_count
+FROM orders, s""",
+
+    "iqr_fences": f"WITH {SALES_DM} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS field,
+       {RND(f'quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))')} AS lower,
+       {RND(f'quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))')} AS upper
+FROM sales_dm""" for c in ["entity_id", "sales", "quantity", "discount", "profit", "feature_count",
+                           "feature_sum"]),
+
+    "profile_filter": f"""
+WITH {SALES}
+SELECT 'Sales' AS field, count(sales) AS count, count(*) - count(sales) AS missing,
+       {RND('avg(sales)')} AS mean FROM sales
+UNION ALL
+SELECT 'Profit', count(profit), count(*) - count(profit), {RND('avg(profit)')} FROM sales""",
 }

@@ -92,6 +92,20 @@ class RunSummary:
         return d
 
 
+def run_breakdown(spark: SparkSession, summary: RunSummary) -> tuple[DataFrame, DataFrame]:
+    """The run metrics as one row and the valid/invalid breakdown as
+    two rows (from a finished run's counts)."""
+    metrics = spark.createDataFrame(
+        [(summary.records_ingested, summary.records_valid, summary.records_invalid,
+          summary.records_persisted, float(summary.runtime_seconds), summary.status)],
+        "records_ingested long, records_valid long, records_invalid long, "
+        "records_persisted long, runtime_seconds double, status string")
+    breakdown = spark.createDataFrame(
+        [("valid", summary.records_valid), ("invalid", summary.records_invalid)],
+        "status string, count long")
+    return metrics, breakdown
+
+
 def run_pipeline(spark: SparkSession, source: str, store_path: str, data_format: str | None = None,
                  store_format: str = "json", summary_path: str | None = None,
                  options: dict | None = None,

@@ -406,6 +406,37 @@ def q_isolation_forest(spark, d):
     return out.select("entity_id", "value", "is_anomaly", "anomaly_score")
 
 
+def q_validation_report(spark, d):
+    totals, _ = validate.batch_validation(dirty_canonical(spark, d))
+    return validate.validation_report(totals)
+
+
+def q_box_outliers(spark, d):
+    ev = table(spark, d, "events").select("event_id", "value")
+    return charts.box_outliers(ev, "value", charts.box_stats(ev, "value"))
+
+
+def q_detector_summary(spark, d):
+    recs = order_series(spark, d)
+    _, summary = anomaly.ZScoreModel(threshold=2.0).fit(recs).evaluate(recs)
+    return summary
+
+
+def q_iqr_fences(spark, d):
+    feats = reshape.derived_metrics(sales_flat(spark, d))
+    cols = [f.name for f in feats.schema.fields if f.dataType.typeName() in ("long", "double")]
+    fences = anomaly.iqr_fences(feats, cols)
+    rows = [(c, lo, hi) for c, (lo, hi) in fences.items()]
+    out = spark.createDataFrame(rows, "field string, lower double, upper double")
+    return out.select("field", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
+
+
+def q_profile_filter(spark, d):
+    summary = profile.numeric_summary(sales_af(spark, d))
+    return profile.filter_fields(summary, [" sales", "PROFIT"]).select(
+        "field", "count", "missing", "mean")
+
+
 QUERIES = {
     "adapt_canonical": q_adapt_canonical,
     "flatten_canonical": q_flatten_canonical,
@@ -452,6 +483,11 @@ QUERIES = {
     "classification_metrics": q_classification_metrics,
     "roc_auc": q_roc_auc,
     "model_comparison": q_model_comparison,
+    "validation_report": q_validation_report,
+    "box_outliers": q_box_outliers,
+    "detector_summary": q_detector_summary,
+    "iqr_fences": q_iqr_fences,
+    "profile_filter": q_profile_filter,
     "kmeans_anomaly": q_kmeans_anomaly,
     "isolation_forest": q_isolation_forest,
 }
