@@ -188,7 +188,7 @@ WHERE value IS NOT NULL AND NOT isnan(value)""",
 
     "validate_records": f"""
 WITH {DIRTY}
-SELECT record_index, entity_id, timestamp,
+SELECT record_index, CAST(entity_id AS VARCHAR) AS entity_id, timestamp,
        CASE WHEN entity_id IS NULL OR timestamp IS NULL THEN 'invalid' ELSE 'valid' END AS status,
        CAST(CAST(entity_id IS NULL AS INTEGER) + CAST(timestamp IS NULL AS INTEGER) AS INTEGER) AS n_errors,
        concat_ws('|', CASE WHEN entity_id IS NULL THEN 'Missing entity_id' END,
@@ -280,24 +280,23 @@ b AS (
   UNION ALL SELECT 'missing', 'timestamp', count(*) FILTER (WHERE timestamp IS NULL) FROM hourly
   UNION ALL SELECT 'missing', 'event_type', count(*) FILTER (WHERE event_type IS NULL) FROM hourly
   UNION ALL SELECT 'missing', 'value', count(*) FILTER (WHERE value IS NULL OR isnan(value)) FROM hourly
-  UNION ALL SELECT 'duplicates', '', count(*) FILTER (WHERE rn > 1) FROM k),
+  UNION ALL SELECT 'duplicates', '', count(*) FILTER (WHERE rn > 1) FROM k
+  UNION ALL SELECT 'invalid_rows', '', count(*) FILTER (WHERE entity_id IS NULL OR timestamp IS NULL) FROM hourly
+  UNION ALL SELECT 'valid_rows', '', count(*) FILTER (WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL) FROM hourly
+  UNION ALL SELECT 'invalid_reason', 'Missing entity_id', count(*) FROM hourly WHERE entity_id IS NULL
+  UNION ALL SELECT 'invalid_reason', 'Missing timestamp', count(*) FROM hourly WHERE timestamp IS NULL),
 a AS (
   SELECT 'rows' AS metric, '' AS field, count(*) AS after FROM after
   UNION ALL SELECT 'missing', 'entity_id', count(*) FILTER (WHERE entity_id IS NULL) FROM after
   UNION ALL SELECT 'missing', 'timestamp', count(*) FILTER (WHERE timestamp IS NULL) FROM after
   UNION ALL SELECT 'missing', 'event_type', count(*) FILTER (WHERE event_type IS NULL) FROM after
   UNION ALL SELECT 'missing', 'value', count(*) FILTER (WHERE value IS NULL OR isnan(value)) FROM after
-  UNION ALL SELECT 'duplicates', '', CAST(0 AS BIGINT)),
-inv AS (SELECT count(*) FILTER (WHERE entity_id IS NULL OR timestamp IS NULL) AS inv,
-               count(*) FILTER (WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL) AS val
-        FROM hourly),
-reasons AS (SELECT 'Missing entity_id' AS reason FROM hourly WHERE entity_id IS NULL
-            UNION ALL SELECT 'Missing timestamp' FROM hourly WHERE timestamp IS NULL)
-SELECT metric, field, coalesce(before, 0) AS before, coalesce(after, 0) AS after
-FROM b FULL OUTER JOIN a USING (metric, field)
-UNION ALL SELECT 'invalid_rows', '', inv, CAST(NULL AS BIGINT) FROM inv
-UNION ALL SELECT 'valid_before', '', val, CAST(NULL AS BIGINT) FROM inv
-UNION ALL SELECT 'invalid_reason', reason, count(*), CAST(NULL AS BIGINT) FROM reasons GROUP BY reason""",
+  UNION ALL SELECT 'duplicates', '', CAST(0 AS BIGINT)
+  UNION ALL SELECT 'invalid_rows', '', CAST(0 AS BIGINT)
+  UNION ALL SELECT 'valid_rows', '', count(*) FROM after)
+SELECT metric, field, CAST(coalesce(before, 0) AS BIGINT) AS before,
+       CAST(coalesce(after, 0) AS BIGINT) AS after
+FROM b FULL OUTER JOIN a USING (metric, field)""",
 
     "numeric_summary": _numeric_summary(),
 

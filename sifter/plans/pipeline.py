@@ -44,31 +44,30 @@ def _tidy(metric: str, frame: DataFrame, field_col, value_col, side: str) -> Dat
 
 def cleaning_audit(before: DataFrame, after: DataFrame) -> DataFrame:
     """before/after comparison as tidy rows ``(metric, field, before,
-    after)``: row counts, missing per flat column (fields of either side,
-    absent side 0), duplicates, invalid rows and their reasons, and the
-    number valid before cleaning.  Every part reduces to a few rows before
-    the full outer join on (metric, field) (D2)."""
+    after)``: row counts, missing per flat column, duplicates, invalid rows,
+    invalid reasons and valid rows, each measured on both sides (a field or
+    reason absent on one side counts 0).  Every part reduces to a few rows
+    before the full outer join on (metric, field) (D2)."""
     def side_frames(canon: DataFrame, side: str) -> DataFrame:
         rows = _tidy("rows", canon.agg(F.count(F.lit(1)).alias("n")), F.lit(""), F.col("n"), side)
         miss = profile.missing_by_column(reshape.flatten(canon))
         miss = _tidy("missing", miss, F.col("column"), F.col("missing"), side)
         dups = _tidy("duplicates", duplicate_count(canon), F.lit(""), F.col("duplicates"), side)
-        return rows.unionByName(miss).unionByName(dups)
+        checked = validate.validate(canon)
+        counts = checked.agg(F.count_if(F.col("status") == "invalid").alias("inv"),
+                             F.count_if(F.col("status") == "valid").alias("val"))
+        inv = _tidy("invalid_rows", counts, F.lit(""), F.col("inv"), side)
+        val = _tidy("valid_rows", counts, F.lit(""), F.col("val"), side)
+        reasons = _tidy("invalid_reason", validate.invalid_reason_counts(checked),
+                        F.col("reason"), F.col("count"), side)
+        return rows.unionByName(miss).unionByName(dups).unionByName(inv) \
+                   .unionByName(val).unionByName(reasons)
 
     b = side_frames(before, "before")
     a = side_frames(after, "after")
-    joined = b.join(a, ["metric", "field"], "full") \
-              .select("metric", "field", F.coalesce("before", F.lit(0)).alias("before"),
-                      F.coalesce("after", F.lit(0)).alias("after"))
-    checked = validate.validate(before)
-    inval = checked.agg(F.count_if(F.col("status") == "invalid").alias("inv"),
-                        F.count_if(F.col("status") == "valid").alias("val"))
-    extra = _tidy("invalid_rows", inval, F.lit(""), F.col("inv"), "before") \
-        .unionByName(_tidy("valid_before", inval, F.lit(""), F.col("val"), "before"))
-    reasons = _tidy("invalid_reason", validate.invalid_reason_counts(checked),
-                    F.col("reason"), F.col("count"), "before")
-    extra = extra.unionByName(reasons).withColumn("after", F.lit(None).cast("long"))
-    return joined.unionByName(extra)
+    return b.join(a, ["metric", "field"], "full") \
+            .select("metric", "field", F.coalesce("before", F.lit(0)).cast("long").alias("before"),
+                    F.coalesce("after", F.lit(0)).cast("long").alias("after"))
 
 
 # ---------------------------------------------------------------- K1, K2

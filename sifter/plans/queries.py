@@ -162,7 +162,8 @@ def q_scatter_encoded(spark, d):
 
 def q_validate_records(spark, d):
     checked = validate.validate(dirty_canonical(spark, d))
-    return checked.select("record_index", "entity_id", "timestamp", "status",
+    return checked.select("record_index", F.col("entity_id").cast("string").alias("entity_id"),
+                          "timestamp", "status",
                           F.size("errors").alias("n_errors"),
                           F.array_join("errors", "|").alias("errors"))
 

@@ -52,9 +52,9 @@ def test_cleaning_audit(spark):  # FX15
          for r in pipeline.cleaning_audit(before, after).collect()}
     assert a[("rows", "")] == (4, 2)
     assert a[("duplicates", "")] == (1, 0)
-    assert a[("invalid_rows", "")] == (1, None)
-    assert a[("invalid_reason", "Missing timestamp")] == (1, None)
-    assert a[("valid_before", "")] == (3, None)
+    assert a[("invalid_rows", "")] == (1, 0)
+    assert a[("invalid_reason", "Missing timestamp")] == (1, 0)
+    assert a[("valid_rows", "")] == (3, 2)
     assert a[("missing", "timestamp")] == (1, 0) and a[("missing", "profit")] == (1, 0)
 
 
