@@ -140,27 +140,27 @@ def running_total(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[s
     return joined.drop(PID, *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
 
 
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value_col`` per group.
-
-    Same definition as pandas ``quantile`` / DuckDB ``quantile_cont``:
-    position p*(n-1), interpolate between the neighbouring order statistics.
-    Null and NaN values are ignored.  Output: group columns, ``n`` and one
-    column per probability (named by ``names``; default ``q_<p>``).
-    Groups without any value are absent.
-
-    Plan: count per distinct (group, value) (map-side partial aggregation,
-    so hot values collapse early) -> running count in value order ->
-    pick the two order statistics around each position with one aggregate.
-    """
+def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """(group..., ``_q_v``, ``_c``): the count of each distinct non-missing
+    value per group.  Partial aggregation on every executor collapses hot
+    values before the shuffle."""
     group_cols = list(group_cols)
-    names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
     v = "_q_v"
     vals = (df.select(*group_cols, _nan_free(df, value_col).alias(v))
             .where(F.col(v).isNotNull()))
-    counts = vals.groupBy(*group_cols, v).agg(F.count(F.lit(1)).alias("_c"))
+    return vals.groupBy(*group_cols, v).agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _names(probs, names):
+    return list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
+
+
+def _ranked_from_counts(counts: DataFrame, probs: Sequence[float], group_cols: Sequence[str],
+                        names: Sequence[str], num_partitions: int | None = None) -> DataFrame:
+    """Distributed plan: running count in value order, then pick the two
+    order statistics around each position with one aggregate."""
+    group_cols = list(group_cols)
+    v = "_q_v"
     ranked = running_total(counts, [v], ["_c"], group_cols, prefix="_before",
                            total_prefix="_n", num_partitions=num_partitions)
     before, cnt, n = F.col("_before_c"), F.col("_c"), F.col("_n_c")
@@ -180,6 +180,35 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     return picked.select(*cols)
 
 
+def _builtin_from_counts(counts: DataFrame, probs: Sequence[float], group_cols: Sequence[str],
+                         names: Sequence[str]) -> DataFrame:
+    """Single-pass plan: Spark's exact ``percentile`` with the counts as
+    frequencies (buffer = distinct values per group)."""
+    pc = F.percentile(F.col("_q_v"), F.array(*[F.lit(float(p)) for p in probs]), F.col("_c"))
+    out = counts.groupBy(*group_cols).agg(F.sum("_c").alias("n"), pc.alias("_pc"))
+    return out.select(*group_cols, "n", *[F.col("_pc")[i].alias(nm) for i, nm in enumerate(names)])
+
+
+def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
+                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles of ``value_col`` per group, by
+    the distributed plan (no per-group buffer at all).
+
+    Same definition as pandas ``quantile`` / DuckDB ``quantile_cont``:
+    position p*(n-1), interpolate between the neighbouring order statistics.
+    Null and NaN values are ignored.  Output: group columns, ``n`` and one
+    column per probability (named by ``names``; default ``q_<p>``).
+    Groups without any value are absent.
+
+    Plan: count per distinct (group, value) (map-side partial aggregation,
+    so hot values collapse early) -> running count in value order ->
+    pick the two order statistics around each position with one aggregate.
+    """
+    counts = value_counts(df, value_col, group_cols)
+    return _ranked_from_counts(counts, probs, group_cols, _names(probs, names), num_partitions)
+
+
 # Largest number of distinct values per group for which the single-pass
 # built-in ``percentile`` is used: its buffer holds one (value, count) entry
 # per distinct value of a group, so it is only chosen under a checked bound.
@@ -188,22 +217,17 @@ BUILTIN_DISTINCT_LIMIT = 200_000
 
 def builtin_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                       group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles with Spark's ``percentile`` (same interpolation as
-    ``exact_quantiles``).  Memory grows with distinct values per group: call
-    it only under a bound (``quantiles`` checks one)."""
-    names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
-    x = _nan_free(df, value_col)
-    pc = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-    out = (df.groupBy(*group_cols).agg(F.count(x).alias("n"), pc.alias("_pc"))
-           .where(F.col("n") > 0))
-    return out.select(*group_cols, "n", *[F.col("_pc")[i].alias(nm) for i, nm in enumerate(names)])
+    """Exact quantiles with Spark's ``percentile`` over the value counts.
+    Memory grows with distinct values per group: call it only under a bound
+    (``quantiles`` checks one)."""
+    counts = value_counts(df, value_col, group_cols)
+    return _builtin_from_counts(counts, probs, group_cols, _names(probs, names))
 
 
-def max_distinct_per_group(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> int:
-    """HyperLogLog estimate (5% error) of the largest distinct-value count of
-    any group: one map-side-combined pass, one number to the driver."""
-    x = _nan_free(df, value_col)
-    per = df.groupBy(*group_cols).agg(F.approx_count_distinct(x, 0.05).alias("d"))
+def max_distinct_per_group(counts: DataFrame, group_cols: Sequence[str] = ()) -> int:
+    """Exact largest number of distinct values of any group, read off the
+    value-count table (one small aggregation)."""
+    per = counts.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("d"))
     return int(per.agg(F.max("d")).first()[0] or 0)
 
 
@@ -212,20 +236,24 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
               accuracy: str = "exact") -> DataFrame:
     """Quantiles per group.
 
-    ``accuracy='exact'`` picks the plan from a checked bound: when every
-    group has at most ``BUILTIN_DISTINCT_LIMIT`` distinct values the
-    single-pass built-in ``percentile`` is used, otherwise the distributed
-    ``exact_quantiles``; both give the same numbers.  ``'distributed'`` and
-    ``'builtin'`` force a plan; ``'approx'`` uses ``percentile_approx`` (one
-    pass, bounded memory, no interpolation)."""
-    if accuracy == "exact":
-        bounded = max_distinct_per_group(df, value_col, group_cols) <= BUILTIN_DISTINCT_LIMIT
-        accuracy = "builtin" if bounded else "distributed"
-    if accuracy == "builtin":
-        return builtin_quantiles(df, value_col, probs, group_cols, names)
-    if accuracy == "distributed":
-        return exact_quantiles(df, value_col, probs, group_cols, names)
-    names = list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
+    ``accuracy='exact'`` counts each distinct value per group once (shared by
+    both plans), reads the largest distinct count per group off that table,
+    and picks the plan from that checked bound: at most
+    ``BUILTIN_DISTINCT_LIMIT`` -> the single-pass built-in ``percentile``
+    with counts as frequencies; more -> the distributed running-count plan.
+    Both give the same numbers.  ``'distributed'`` and ``'builtin'`` force a
+    plan; ``'approx'`` uses ``percentile_approx`` (one pass, bounded memory,
+    no interpolation)."""
+    names = _names(probs, names)
+    group_cols = list(group_cols)
+    if accuracy in ("exact", "builtin", "distributed"):
+        counts = value_counts(df, value_col, group_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        if accuracy == "exact":
+            bounded = max_distinct_per_group(counts, group_cols) <= BUILTIN_DISTINCT_LIMIT
+            accuracy = "builtin" if bounded else "distributed"
+        if accuracy == "builtin":
+            return _builtin_from_counts(counts, probs, group_cols, names)
+        return _ranked_from_counts(counts, probs, group_cols, names)
     x = _nan_free(df, value_col)
     pa = F.percentile_approx(x, list(map(float, probs)), 10000)
     out = (df.groupBy(*group_cols)

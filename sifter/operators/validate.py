@@ -25,6 +25,8 @@ MISSING_METADATA = "Missing metadata"
 INVALID_TIMESTAMP = "Invalid timestamp format"
 DUPLICATES_WARNING = "Duplicate records detected"
 REQUIRED_RAW_FIELDS = ("timestamp", "source", "event_type")
+RECORD_ERRORS = (MISSING_ENTITY, MISSING_TIMESTAMP, MISSING_FEATURES, FEATURES_NOT_DICT,
+                 MISSING_METADATA)
 
 
 def _missing_of(df: DataFrame, name: str):

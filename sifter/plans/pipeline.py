@@ -42,29 +42,47 @@ def _tidy(metric: str, frame: DataFrame, field_col, value_col, side: str) -> Dat
                         value_col.cast("long").alias(side))
 
 
+def audit_measures(canon: DataFrame, side: str) -> DataFrame:
+    """One side of the audit as tidy rows ``(metric, field, <side>)``.
+
+    Row count, missing count per flat column, valid and invalid rows and the
+    count of every validation message come from ONE aggregation over the
+    validated records (each message is a fixed text, so its count is a
+    ``count_if``); duplicates need their own grouped aggregation.  Reasons
+    that do not occur are left out."""
+    flat_fields = reshape.flatten(canon).schema.fields
+    checked = validate.validate(canon)
+    feature_cols = {f.name: F.col("features").getField(f.name)
+                    for f in canon.schema["features"].dataType.fields}
+    aggs = [F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("status") == "invalid").alias("invalid_rows"),
+            F.count_if(F.col("status") == "valid").alias("valid_rows")]
+    for i, f in enumerate(flat_fields):
+        c = feature_cols.get(f.name, F.col(f.name))
+        aggs.append(F.count_if(missing(c, f.dataType)).alias(f"m{i}"))
+    for i, msg in enumerate(validate.RECORD_ERRORS):
+        aggs.append(F.count_if(F.array_contains("errors", msg)).alias(f"r{i}"))
+    wide = checked.agg(*aggs)
+    entries = [("rows", "", "rows"), ("invalid_rows", "", "invalid_rows"),
+               ("valid_rows", "", "valid_rows")]
+    entries += [("missing", f.name, f"m{i}") for i, f in enumerate(flat_fields)]
+    entries += [("invalid_reason", msg, f"r{i}") for i, msg in enumerate(validate.RECORD_ERRORS)]
+    tidy = wide.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.lit(fl).alias("field"),
+                 F.col(c).cast("long").alias(side)) for m, fl, c in entries])))
+    tidy = tidy.where((F.col("metric") != "invalid_reason") | (F.col(side) > 0))
+    dups = _tidy("duplicates", duplicate_count(canon), F.lit(""), F.col("duplicates"), side)
+    return tidy.unionByName(dups)
+
+
 def cleaning_audit(before: DataFrame, after: DataFrame) -> DataFrame:
     """before/after comparison as tidy rows ``(metric, field, before,
     after)``: row counts, missing per flat column, duplicates, invalid rows,
     invalid reasons and valid rows, each measured on both sides (a field or
-    reason absent on one side counts 0).  Every part reduces to a few rows
+    reason absent on one side counts 0).  Each side reduces to a few rows
     before the full outer join on (metric, field) (D2)."""
-    def side_frames(canon: DataFrame, side: str) -> DataFrame:
-        rows = _tidy("rows", canon.agg(F.count(F.lit(1)).alias("n")), F.lit(""), F.col("n"), side)
-        miss = profile.missing_by_column(reshape.flatten(canon))
-        miss = _tidy("missing", miss, F.col("column"), F.col("missing"), side)
-        dups = _tidy("duplicates", duplicate_count(canon), F.lit(""), F.col("duplicates"), side)
-        checked = validate.validate(canon)
-        counts = checked.agg(F.count_if(F.col("status") == "invalid").alias("inv"),
-                             F.count_if(F.col("status") == "valid").alias("val"))
-        inv = _tidy("invalid_rows", counts, F.lit(""), F.col("inv"), side)
-        val = _tidy("valid_rows", counts, F.lit(""), F.col("val"), side)
-        reasons = _tidy("invalid_reason", validate.invalid_reason_counts(checked),
-                        F.col("reason"), F.col("count"), side)
-        return rows.unionByName(miss).unionByName(dups).unionByName(inv) \
-                   .unionByName(val).unionByName(reasons)
-
-    b = side_frames(before, "before")
-    a = side_frames(after, "after")
+    b = audit_measures(before, "before")
+    a = audit_measures(after, "after")
     return b.join(a, ["metric", "field"], "full") \
             .select("metric", "field", F.coalesce("before", F.lit(0)).cast("long").alias("before"),
                     F.coalesce("after", F.lit(0)).cast("long").alias("after"))
