@@ -39,9 +39,12 @@ def sales_af(spark, d) -> DataFrame:
     return reshape.analysis_frame(sales_flat(spark, d))
 
 
-def indexed_events(spark, d) -> DataFrame:
-    """Events with their 0-based position by event_id."""
-    return with_ordinal(table(spark, d, "events"), ["event_id"])
+def indexed_events(spark, d, columns=None) -> DataFrame:
+    """Events with their 0-based position by event_id.  The ordinal persists
+    its input, so only the needed columns go in (a persisted frame blocks
+    column pruning below it)."""
+    ev = table(spark, d, "events")
+    return with_ordinal(ev.select(*columns) if columns else ev, ["event_id"])
 
 
 def dirty_events(spark, d) -> DataFrame:
@@ -67,7 +70,7 @@ def dirty_canonical(spark, d) -> DataFrame:
 def hourly_events(spark, d) -> DataFrame:
     """Events keyed by (user, hour): natural repeated keys for F2, with the
     same missing-key rule as ``dirty_events``."""
-    ev = indexed_events(spark, d)
+    ev = indexed_events(spark, d, ["event_id", "ts", "user_id", "event_type", "value"])
     i = F.col("event_id")
     raw = ev.select(
         "record_index",
@@ -153,7 +156,7 @@ def q_feature_dataset(spark, d):
 
 
 def q_scatter_encoded(spark, d):
-    ev = indexed_events(spark, d)
+    ev = indexed_events(spark, d, ["event_id", "value", "event_type"])
     pairs = charts.scatter_pairs(ev, "value", "event_type", order="record_index")
     return pairs.select("record_index", "x", F.col("y").cast("long").alias("y"))
 

@@ -32,18 +32,18 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
     """Per file: ``utf-8`` when it decodes as UTF-8, else ``cp1252`` unless a
     byte undefined in cp1252 occurs, else ``latin-1`` (which never fails).
 
-    Two distributed line scans over whole files: the raw text view checked
-    with ``is_valid_utf8`` and the Latin-1 view (every byte one character)."""
-    utf = (spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-           .groupBy("file").agg(F.max(~F.is_valid_utf8("value")).alias("bad_utf8")))
-    latin = (spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0000")
-             .option("header", "false").option("quote", "").csv(path)
-             .select(F.input_file_name().alias("file"), F.col("_c0").alias("v"))
-             .groupBy("file").agg(F.max(F.col("v").rlike(f"[{CP1252_UNDEFINED}]")).alias("undef")))
-    j = utf.join(latin, "file", "left")
-    return j.select("file", F.when(~F.col("bad_utf8"), "utf-8")
-                    .when(F.coalesce("undef", F.lit(False)), "latin-1")
-                    .otherwise("cp1252").alias("encoding"))
+    One distributed pass over whole files: the text reader keeps each line's
+    raw bytes, ``is_valid_utf8`` checks them, and the hex form of the bytes
+    is searched for the undefined cp1252 bytes at byte boundaries."""
+    undefined = "|".join(f"{ord(ch):02X}" for ch in CP1252_UNDEFINED)
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+    raw_hex = F.hex(F.col("value").cast("binary"))
+    per_file = lines.groupBy("file").agg(
+        F.max(~F.is_valid_utf8("value")).alias("bad_utf8"),
+        F.max(raw_hex.rlike(f"^(..)*?({undefined})")).alias("undef"))
+    return per_file.select("file", F.when(~F.col("bad_utf8"), "utf-8")
+                           .when(F.col("undef"), "latin-1")
+                           .otherwise("cp1252").alias("encoding"))
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None,
