@@ -14,7 +14,6 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sifter.functions.cols import is_numeric, nan_to_null
 from sifter.functions.order import quantiles

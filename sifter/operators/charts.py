@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,11 +26,6 @@ def _num(df: DataFrame, c: str):
     return safe_double(F.col(f"`{c}`"), df.schema[c].dataType)
 
 
-def _key(df: DataFrame, c: str):
-    """Group key of a compare column: dates as timestamps, others native."""
-    return F.col(f"`{c}`")
-
-
 def category_counts(af: DataFrame, compare: str) -> DataFrame:
     """Non-missing values as text, their count, sorted by value."""
     c = F.col(f"`{compare}`")
@@ -233,9 +228,10 @@ def relationship_sweep(af: DataFrame, target: str, compares: Sequence[str],
     for c in compares:
         if c not in af.columns:
             continue
+        # y is a number, a label code or a date: carried as text so the
+        # variables can share one table
         scat.append(scatter_pairs(af, target, c, order, dates=[date_field])
-                    .select(F.lit(c).alias("variable"), "x", F.col("y").cast("double").alias("y")
-                            if not c == date_field else F.col("y").cast("string").alias("y")))
+                    .select(F.lit(c).alias("variable"), "x", F.col("y").cast("string").alias("y")))
         if c == date_field:
             lines.append(daily_mean(af, target, c).select(F.lit(c).alias("variable"), "day", "mean"))
         else:

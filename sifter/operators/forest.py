@@ -34,7 +34,6 @@ import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sifter.functions.cols import nan_to_null
 from sifter.operators.anomaly import Detector

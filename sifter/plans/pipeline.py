@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import missing
-from sifter.operators import anomaly, charts, forecast, profile, reshape, validate
+from sifter.operators import anomaly, charts, forecast, reshape, validate
 from sifter.sources import readers, store
 
 log = logging.getLogger("sifter.pipeline")
