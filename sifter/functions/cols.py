@@ -54,7 +54,13 @@ def not_missing(c, dtype: T.DataType | None = None) -> Column:
 
 
 def nan_to_null(c, dtype: T.DataType | None = None) -> Column:
-    """Double view of a numeric column with NaN and +-Inf mapped to null."""
+    """Double view of a numeric column with NaN and +-Inf mapped to null.
+    Text is parsed like ``safe_double``; other types give null (ANSI mode
+    would raise on a plain cast)."""
+    if isinstance(dtype, T.StringType):
+        return safe_double(c, dtype)
+    if dtype is not None and not isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return F.lit(None).cast("double")
     col = _c(c).cast("double")
     if dtype is not None and not isinstance(dtype, _FLOATING):
         return col
@@ -75,7 +81,7 @@ def safe_double(c, dtype: T.DataType) -> Column:
         return nan_to_null(col, dtype)
     if isinstance(dtype, T.StringType):
         parsed = F.when(col.rlike(NUMBER_PATTERN), F.trim(col).try_cast("double"))
-        return nan_to_null(parsed)
+        return nan_to_null(parsed, T.DoubleType())
     return F.lit(None).cast("double")
 
 
@@ -86,8 +92,8 @@ def safe_int(c, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.BooleanType, T.IntegralType)):
         return col.cast("long")
     if isinstance(dtype, T.NumericType):
-        d = nan_to_null(col, dtype)
-        return F.when(d.isNotNull(), d.cast("long"))
+        # truncates like int(3.7); out-of-range values give null
+        return nan_to_null(col, dtype).try_cast("long")
     if isinstance(dtype, T.StringType):
         return F.when(col.rlike(INT_PATTERN), F.trim(col).try_cast("long"))
     return F.lit(None).cast("long")
