@@ -39,12 +39,12 @@ def build_session(master: str | None = None, app_name: str = "sifter",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a local one only if unset.
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the checkpoint folder the session uses.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (tests, local runs) do we create
-    a scratch folder.
+    as is; nothing machine-local is ever set there.  Only a local-mode
+    session without one (tests, a laptop) gets a scratch folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            return None  # leave it to the cluster configuration
         configured = tempfile.mkdtemp(prefix="sifter-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
