@@ -489,4 +489,15 @@ SELECT 'Sales' AS field, count(sales) AS count, count(*) - count(sales) AS missi
        {RND('avg(sales)')} AS mean FROM sales
 UNION ALL
 SELECT 'Profit', count(profit), count(*) - count(profit), {RND('avg(profit)')} FROM sales""",
+
+    "anomalous_rows": f"""
+SELECT event_id AS entity_id, {ISO('ts')} AS timestamp, value FROM events WHERE value > 100.0""",
+
+    "column_iqr": """
+WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3
+           FROM orders)
+SELECT o_orderkey, o_totalprice,
+       coalesce(o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1), false)
+         AS is_anomaly
+FROM orders, q""",
 }

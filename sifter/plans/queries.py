@@ -441,6 +441,18 @@ def q_profile_filter(spark, d):
         "field", "count", "missing", "mean")
 
 
+def q_anomalous_rows(spark, d):
+    recs = event_series(spark, d)
+    flagged = anomaly.ThresholdModel(threshold=100.0).transform(recs)
+    return validate.anomalous_rows(flagged).select("entity_id", "timestamp", "value")
+
+
+def q_column_iqr(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    flagged, _ = anomaly.column_fence_flags(orders, "o_totalprice")
+    return flagged.select("o_orderkey", "o_totalprice", "is_anomaly")
+
+
 QUERIES = {
     "adapt_canonical": q_adapt_canonical,
     "flatten_canonical": q_flatten_canonical,
@@ -492,6 +504,8 @@ QUERIES = {
     "detector_summary": q_detector_summary,
     "iqr_fences": q_iqr_fences,
     "profile_filter": q_profile_filter,
+    "anomalous_rows": q_anomalous_rows,
+    "column_iqr": q_column_iqr,
     "kmeans_anomaly": q_kmeans_anomaly,
     "isolation_forest": q_isolation_forest,
 }
