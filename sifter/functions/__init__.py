@@ -8,3 +8,4 @@ from sifter.functions.cols import (  # noqa: F401
 from sifter.functions.order import (  # noqa: F401
     with_ordinal, running_total, exact_quantiles, quantiles,
 )
+from sifter.functions.cache import persisted, release  # noqa: F401

@@ -19,11 +19,11 @@ from typing import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sifter.functions.cache import persisted
 from sifter.session import shuffle_partitions
 
 PID = "_sifter_pid"
@@ -53,7 +53,7 @@ def with_ordinal(df: DataFrame, order_by: Sequence, name: str = "record_index",
               .withColumn(PID, F.spark_partition_id())
               .withColumn(LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.col(PID).cast("long"), 33))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .transform(persisted))
     counts = ranged.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -119,7 +119,7 @@ def running_total(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[s
         kind = T.LongType() if isinstance(dt, T.IntegralType) else T.DoubleType()
         out_fields.append(T.StructField(f"_loc_{v}", kind, True))
     local = (ranged.mapInPandas(_local_prefix(list(value_cols), group_cols), T.StructType(out_fields))
-             .persist(StorageLevel.MEMORY_AND_DISK))
+             .transform(persisted))
     totals = local.groupBy(PID, *group_cols).agg(
         *[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
     w = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
@@ -247,7 +247,7 @@ def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
     names = _names(probs, names)
     group_cols = list(group_cols)
     if accuracy in ("exact", "builtin", "distributed"):
-        counts = value_counts(df, value_col, group_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        counts = value_counts(df, value_col, group_cols).transform(persisted)
         if accuracy == "exact":
             bounded = max_distinct_per_group(counts, group_cols) <= BUILTIN_DISTINCT_LIMIT
             accuracy = "builtin" if bounded else "distributed"

@@ -29,11 +29,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.functions.cache import persisted
 from sifter.functions.cols import nan_to_null
 from sifter.operators.anomaly import Detector
 
@@ -75,7 +75,7 @@ class KMeansModel(Detector):
     def fit(self, df: DataFrame) -> "KMeansModel":
         pts = (df.select(self._x(df).alias("x")).groupBy("x")
                .agg(F.count(F.lit(1)).cast("double").alias("w"))
-               .persist(StorageLevel.MEMORY_AND_DISK))
+               .transform(persisted))
         st = pts.agg(F.sum("w").alias("n"),
                      (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).first()
         n = int(st["n"] or 0)

@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifter.functions.cache import persisted
 from sifter.functions.cols import missing, norm_field_expr, safe_double
 from sifter.functions.order import quantiles
 from sifter.operators.reshape import (
@@ -154,8 +155,7 @@ def overview(flat: DataFrame, accuracy: str = "exact") -> dict:
     """The composite dataset overview as a dict of small DataFrames.
 
     The analysis frame is persisted once and shared by every summary."""
-    from pyspark import StorageLevel
-    af = analysis_frame(flat).persist(StorageLevel.MEMORY_AND_DISK)
+    af = analysis_frame(flat).transform(persisted)
     resolved = resolve_fields(flat.columns)
     return {
         "fields": list(resolved.keys()),

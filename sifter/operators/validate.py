@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sifter.functions.cache import persisted
 from sifter.functions.cols import ISO_PATTERN, missing
 
 # Error and warning texts.
@@ -81,7 +81,7 @@ def validate(canon: DataFrame) -> DataFrame:
 def split_valid(canon: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, invalid) records; the validated frame is persisted once so
     that both filters read it."""
-    checked = validate(canon).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = validate(canon).transform(persisted)
     valid = checked.where(F.col("status") == "valid").drop("errors", "status")
     invalid = checked.where(F.col("status") == "invalid")
     return valid, invalid

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sifter.functions.cache import persisted
 from sifter.functions.cols import INT_PATTERN, NUMBER_PATTERN
 from sifter.sources.readers import clean_headers
 
@@ -95,7 +96,7 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     bounded list) come from each workbook's first row.  A column whose
     present values all parse as integers becomes long, as numbers double,
     otherwise string."""
-    cells = workbook_cells(spark, path).persist()
+    cells = persisted(workbook_cells(spark, path))
     first_row = cells.groupBy("path").agg(F.min("row").alias("_h"))
     header = (cells.join(first_row, "path").where(F.col("row") == F.col("_h"))
               .groupBy("col").agg(F.first("value", ignorenulls=True).alias("name"))

@@ -58,3 +58,12 @@ def test_builtin_and_distributed_agree(spark):
     b = quantiles(df, "v", probs, ["g"], accuracy="distributed").toPandas().set_index("g").sort_index()
     c = quantiles(df, "v", probs, ["g"]).toPandas().set_index("g").sort_index()
     assert (a == b).all().all() and (a == c).all().all()
+
+
+def test_release_unpersists(spark):
+    from sifter.functions.cache import release
+    release()
+    df = with_ordinal(spark.range(100).select(F.col("id").alias("k")), ["k"])
+    assert df.count() == 100
+    assert release() == 1
+    assert df.count() == 100  # still computable from lineage after release
