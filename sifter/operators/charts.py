@@ -129,7 +129,8 @@ def box_outliers(af: DataFrame, target: str, box: DataFrame) -> DataFrame:
 def grouped_box_stats(af: DataFrame, target: str, compare: str,
                       accuracy: str = "exact") -> DataFrame:
     """Box statistics of the numeric-coerced target per compare group,
-    plus the outlier count per group; error when no group has a value."""
+    plus the outlier count per group (groups without a numeric value are
+    absent; ``pipeline.chart_data`` raises when none is left)."""
     c = F.col(f"`{compare}`")
     vals = (af.where(~missing(c, af.schema[compare].dataType))
             .select(c.alias("key"), _num(af, target).alias("v"))

@@ -95,6 +95,11 @@ def test_chart_data_errors(spark, fx10):  # K6
         chart_data(fx10, "time-line", compare="Profit")
     assert chart_data(fx10, "scatter", compare="Category").count() == 4
     assert chart_data(fx10, "time-line", compare="Order Date").count() == 4
+    empty = fx10.withColumn("sales", F.lit(None).cast("double"))
+    with pytest.raises(ValueError, match="grouped box plot"):
+        chart_data(empty, "grouped-boxplot", compare="Category")
+    with pytest.raises(ValueError, match="Time line"):
+        chart_data(empty, "time-line", compare="Order Date")
 
 
 def test_relationship_sweep(spark, fx10):  # E15
