@@ -7,10 +7,13 @@ a table of per-partition totals whose size is bounded by the number of
 partitions (plus the number of groups, when grouped).
 
 * ``with_ordinal``   -- 0-based position in a total order (JVM only).
-* ``running_total``  -- exclusive prefix sums of value columns in key order.
-* ``exact_quantiles``-- linear-interpolated quantiles per group, exact,
-  computed from value counts so a value repeated in a third of all rows is a
-  single row before anything is range-partitioned.
+* ``running_total``  -- exclusive prefix sums of value columns in key order
+  (the prefix inside a partition is a vectorised ``mapInPandas`` step).
+* ``quantiles``      -- linear-interpolated quantiles per group, exact by
+  default, computed from value counts so a value repeated in a third of all
+  rows is a single row before anything moves; the plan (single-pass
+  built-in ``percentile`` or the distributed running count) is chosen from
+  the exact distinct count per group.
 """
 
 from __future__ import annotations
