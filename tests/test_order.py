@@ -67,3 +67,21 @@ def test_release_unpersists(spark):
     assert df.count() == 100
     assert release() == 1
     assert df.count() == 100  # still computable from lineage after release
+
+
+def test_bracketed_matches_numpy(spark):
+    from sifter.functions.order import bracketed_quantiles
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(size=20000), np.full(8000, 0.3)])
+    grp = np.where(np.arange(len(vals)) % 4 == 0, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"g": grp, "v": vals}))
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = bracketed_quantiles(df, "v", probs, ["g"], accuracy=1000)
+    assert got is not None
+    got = got.toPandas().set_index("g")
+    for g in ("a", "b"):
+        x = vals[grp == g]
+        for p in probs:
+            assert abs(got.loc[g, f"q_{str(p).replace('.', '_')}"] - np.quantile(x, p)) < 1e-12
+    one = bracketed_quantiles(df, "v", [0.5], accuracy=1000).first()
+    assert abs(one["q_0_5"] - np.quantile(vals, 0.5)) < 1e-12 and one["n"] == len(vals)
