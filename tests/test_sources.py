@@ -130,3 +130,13 @@ def test_run_summary_files(spark, tmp_dir):  # A21, A22
     assert store.last_run_summary(spark, path).first()["status"] == "no runs recorded"
     store.write_run_summary(spark, {"status": "SUCCESS", "records_ingested": 3}, path)
     assert store.last_run_summary(spark, path).first()["records_ingested"] == 3
+
+
+def test_csv_folder_mixed_encodings(spark, tmp_dir):  # A1 on a folder
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.csv"), "name,amount\nZoë,1\n".encode("utf-8"))
+    _write(os.path.join(d, "b.csv"), "name,amount\nRené €,2\n".encode("cp1252"))
+    _write(os.path.join(d, "c.csv"), "name,amount\nÁ,3\n".encode("utf-8"))  # 0xC3 0x81: valid UTF-8
+    rows = sorted((r["name"], r["amount"]) for r in readers.read_csv(spark, d).collect())
+    assert rows == [("René €", 2), ("Zoë", 1), ("Á", 3)]
