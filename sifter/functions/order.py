@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sifter.functions.cache import persisted
-from sifter.session import shuffle_partitions
+from sifter.session import ship_package, shuffle_partitions
 
 PID = "_sifter_pid"
 LOCAL = "_sifter_local"
@@ -113,6 +113,7 @@ def running_total(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[s
     vectorised cumulative sum in ``mapInPandas``; partitions are stitched by
     an offsets table of at most (#partitions + #groups) rows.
     """
+    ship_package(df.sparkSession)  # the per-partition step runs in Python workers
     group_cols = list(group_cols)
     keys = group_cols + list(order_by)
     ranged = _range_sorted(df, keys, num_partitions).withColumn(PID, F.spark_partition_id())

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from sifter.functions.cols import nan_to_null
 from sifter.operators.anomaly import Detector
+from sifter.session import ship_package
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -106,6 +107,7 @@ class IsolationForestModel(Detector):
     # -------------------------------------------------------------- fit
     def fit(self, df: DataFrame) -> "IsolationForestModel":
         spark = df.sparkSession
+        ship_package(spark)  # trees are grown in Python workers
         train = df.select(self._present(df).alias("x")).where(F.col("x").isNotNull())
         n = train.count()
         if n == 0:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import threading
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -61,3 +64,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_SHIPPED: set[str] = set()
+_SHIP_LOCK = threading.Lock()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sifter`` importable in the Python workers (``addPyFile``, the
+    programmatic ``--py-files``), once per application.
+
+    Arrow-batched steps (``mapInPandas``, ``applyInPandas``) run sifter code
+    in the executors' Python workers, which do not share the driver's
+    ``sys.path``.  The zip is built on the driver and served to executors by
+    Spark itself.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        root = os.path.dirname(pkg)
+        zpath = os.path.join(tempfile.mkdtemp(prefix="sifter-pkg-"), "sifter.zip")
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, _, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(zpath)
+        _SHIPPED.add(key)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sifter.functions.cache import persisted
 from sifter.functions.cols import INT_PATTERN, NUMBER_PATTERN
 from sifter.sources.readers import clean_headers
+from sifter.session import ship_package
 
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -85,6 +86,7 @@ def _explode_workbooks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     """Long cells of the first sheet of every workbook under ``path``."""
+    ship_package(spark)  # workbooks are opened in Python workers
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_explode_workbooks, CELL_SCHEMA)
 
