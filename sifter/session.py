@@ -39,6 +39,7 @@ def build_session(master: str | None = None, app_name: str = "sifter",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
