@@ -18,6 +18,7 @@ partitions (plus the number of groups, when grouped).
 
 from __future__ import annotations
 
+import math
 from typing import Iterable, Sequence
 
 import numpy as np
@@ -103,16 +104,80 @@ def _local_prefix(value_cols: Sequence[str], group_cols: Sequence[str]):
 def running_total(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[str],
                   group_cols: Sequence[str] = (), prefix: str = "before_",
                   total_prefix: str | None = None,
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, method: str = "auto") -> DataFrame:
     """Add ``{prefix}{v}`` = sum of ``v`` over rows strictly earlier in
     ``(group_cols, order_by)`` order, restarting per group.
 
     ``order_by`` must be unique within a group (pre-aggregate first), and
     group keys must be non-null.  With ``total_prefix`` the group total of
-    each value column is added too.  The prefix inside a partition is a
-    vectorised cumulative sum in ``mapInPandas``; partitions are stitched by
-    an offsets table of at most (#partitions + #groups) rows.
+    each value column is added too.
+
+    ``method='buckets'`` (the default for one numeric order key, JVM only):
+    the key is cut into ranges at ``percentile_approx`` bounds
+    (``Bucketizer``, a binary search), a window running sum works inside
+    each (group, range), and ranges are stitched by a table of range totals
+    (at most #groups + #ranges rows).  ``method='partitions'`` (any order
+    key): range-partition, a vectorised cumulative sum per partition in
+    ``mapInPandas``, stitched by per-partition totals.
     """
+    if method == "auto":
+        numeric = len(order_by) == 1 and isinstance(df.schema[order_by[0]].dataType, T.NumericType)
+        method = "buckets" if numeric else "partitions"
+    if method == "buckets":
+        return _running_total_buckets(df, order_by[0], value_cols, group_cols, prefix,
+                                      total_prefix, num_partitions)
+    return _running_total_partitions(df, order_by, value_cols, group_cols, prefix,
+                                     total_prefix, num_partitions)
+
+
+def _stitch(local: DataFrame, part: str, value_cols: Sequence[str], group_cols: Sequence[str],
+            prefix: str, total_prefix: str | None) -> DataFrame:
+    """Offsets of every part (partition or key range) from the part totals,
+    joined back to the rows.  The totals table has at most #parts (+ #groups)
+    rows: broadcast when ungrouped, left to AQE's size check otherwise."""
+    totals = local.groupBy(part, *group_cols).agg(*[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
+    w = Window.partitionBy(*group_cols).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sel = [part, *group_cols]
+    for v in value_cols:
+        sel.append(F.coalesce(F.sum(f"_tot_{v}").over(w), F.lit(0)).alias(f"_off_{v}"))
+        if total_prefix:
+            sel.append(F.coalesce(F.sum(f"_tot_{v}").over(Window.partitionBy(*group_cols)),
+                                  F.lit(0)).alias(f"{total_prefix}{v}"))
+    offsets = totals.select(*sel)
+    if not group_cols:
+        offsets = F.broadcast(offsets)
+    joined = local.join(offsets, [part, *group_cols])
+    for v in value_cols:
+        joined = joined.withColumn(f"{prefix}{v}", F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
+    return joined.drop(part, *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
+
+
+def _running_total_buckets(df: DataFrame, key: str, value_cols: Sequence[str],
+                           group_cols: Sequence[str], prefix: str, total_prefix: str | None,
+                           num_partitions: int | None) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+    group_cols = list(group_cols)
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    kd = "_sifter_key"
+    keyed = df.withColumn(kd, F.col(key).cast("double"))
+    probs = [i / n for i in range(1, n)]
+    bounds = keyed.agg(F.percentile_approx(kd, probs, max(10_000, 10 * n)).alias("b")).first()["b"] \
+        if probs else []
+    cuts = sorted({float(b) for b in (bounds or []) if b is not None})  # at most n - 1 values
+    bucketed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=kd, outputCol=PID,
+                          handleInvalid="keep").transform(keyed).drop(kd)
+    w = Window.partitionBy(*group_cols, PID).orderBy(key) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    local = bucketed
+    for v in value_cols:
+        local = local.withColumn(f"_loc_{v}", F.coalesce(F.sum(F.coalesce(F.col(v), F.lit(0)))
+                                                         .over(w), F.lit(0)))
+    return _stitch(local, PID, value_cols, group_cols, prefix, total_prefix)
+
+
+def _running_total_partitions(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[str],
+                              group_cols: Sequence[str], prefix: str, total_prefix: str | None,
+                              num_partitions: int | None) -> DataFrame:
     ship_package(df.sparkSession)  # the per-partition step runs in Python workers
     group_cols = list(group_cols)
     keys = group_cols + list(order_by)
@@ -124,24 +189,7 @@ def running_total(df: DataFrame, order_by: Sequence[str], value_cols: Sequence[s
         out_fields.append(T.StructField(f"_loc_{v}", kind, True))
     local = (ranged.mapInPandas(_local_prefix(list(value_cols), group_cols), T.StructType(out_fields))
              .transform(persisted))
-    totals = local.groupBy(PID, *group_cols).agg(
-        *[F.sum(v).alias(f"_tot_{v}") for v in value_cols])
-    w = Window.partitionBy(*group_cols).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    sel = [PID, *group_cols]
-    for v in value_cols:
-        sel.append(F.coalesce(F.sum(f"_tot_{v}").over(w), F.lit(0)).alias(f"_off_{v}"))
-        if total_prefix:
-            sel.append(F.coalesce(F.sum(f"_tot_{v}").over(Window.partitionBy(*group_cols)),
-                                  F.lit(0)).alias(f"{total_prefix}{v}"))
-    offsets = totals.select(*sel)
-    if not group_cols:
-        offsets = F.broadcast(offsets)  # one row per partition
-    # grouped: at most #groups + #partitions rows; AQE broadcasts it when its
-    # runtime size is under the threshold, otherwise a shuffle join is used.
-    joined = local.join(offsets, [PID, *group_cols])
-    for v in value_cols:
-        joined = joined.withColumn(f"{prefix}{v}", F.col(f"_off_{v}") + F.col(f"_loc_{v}"))
-    return joined.drop(PID, *[f"_loc_{v}" for v in value_cols], *[f"_off_{v}" for v in value_cols])
+    return _stitch(local, PID, value_cols, group_cols, prefix, total_prefix)
 
 
 def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -236,6 +284,7 @@ def max_distinct_per_group(counts: DataFrame, group_cols: Sequence[str] = ()) ->
 
 
 BRACKET_ACCURACY = 10_000  # percentile_approx accuracy: rank error <= n / accuracy
+WINDOW_ROWS = 2_000_000    # largest bracket ranked by a plain window (one task per bracket)
 
 
 def bracketed_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
@@ -281,8 +330,19 @@ def bracketed_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
                          lambda i: i.isNotNull())
     inside = rows.select(*group_cols, x, F.explode(member_of).alias("pi"))
     counts = inside.groupBy(*group_cols, "pi", x).agg(F.count(F.lit(1)).alias("_c"))
-    ranked = running_total(counts, [x], ["_c"], [*group_cols, "pi"], prefix="_before",
-                           total_prefix="_in")
+    # a bracket holds at most about 8n/accuracy values (the sketch's rank
+    # guarantee): under WINDOW_ROWS a window per (group, p) is a proven
+    # bound per task; beyond it the running total spreads the ranking.
+    n_max = one["n"] if not group_cols else sketch.agg(F.max("n")).first()[0]
+    if 8.0 * n_max / accuracy <= WINDOW_ROWS:
+        part = Window.partitionBy(*group_cols, "pi")
+        ranked = counts.withColumn(
+            "_before_c", F.coalesce(F.sum("_c").over(
+                part.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
+            .withColumn("_in_c", F.sum("_c").over(part))
+    else:
+        ranked = running_total(counts, [x], ["_c"], [*group_cols, "pi"], prefix="_before",
+                               total_prefix="_in")
     # target ranks per group and p, shifted by the values below the bracket
     n_tab = (sketch.select(*group_cols, "n") if group_cols else
              vals.sparkSession.createDataFrame([(int(one["n"]),)], "n long"))

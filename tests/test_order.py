@@ -17,12 +17,13 @@ def test_running_total_groups_span_batches(spark):
     pdf = pd.DataFrame({"g": np.repeat(["a", "b", "c"], [400, 3, 700]),
                         "k": np.arange(1103), "v": np.arange(1103) % 5})
     df = spark.createDataFrame(pdf)
-    out = running_total(df, ["k"], ["v"], ["g"], total_prefix="tot_", num_partitions=5).toPandas()
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    out = out.sort_values("k")
     exp = pdf.groupby("g")["v"].cumsum() - pdf["v"]
-    assert (out["before_v"].to_numpy() == exp.to_numpy()).all()
-    assert (out.groupby("g")["tot_v"].first() == pdf.groupby("g")["v"].sum()).all()
+    for method in ("partitions", "buckets"):
+        out = running_total(df, ["k"], ["v"], ["g"], total_prefix="tot_", num_partitions=5,
+                            method=method).toPandas().sort_values("k")
+        assert (out["before_v"].to_numpy() == exp.to_numpy()).all(), method
+        assert (out.groupby("g")["tot_v"].first() == pdf.groupby("g")["v"].sum()).all()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_exact_quantiles_match_numpy_with_hot_value(spark):
@@ -85,3 +86,25 @@ def test_bracketed_matches_numpy(spark):
             assert abs(got.loc[g, f"q_{str(p).replace('.', '_')}"] - np.quantile(x, p)) < 1e-12
     one = bracketed_quantiles(df, "v", [0.5], accuracy=1000).first()
     assert abs(one["q_0_5"] - np.quantile(vals, 0.5)) < 1e-12 and one["n"] == len(vals)
+
+
+def test_running_total_buckets_ungrouped_with_ties_in_values(spark):
+    pdf = pd.DataFrame({"s": np.round(np.linspace(0, 1, 3001), 3), "c": np.arange(3001) % 7})
+    df = spark.createDataFrame(pdf)
+    out = running_total(df, ["s"], ["c"], num_partitions=16).toPandas().sort_values("s")
+    assert (out["before_c"].to_numpy() == (pdf["c"].cumsum() - pdf["c"]).to_numpy()).all()
+
+
+def test_bracketed_spread_ranking(spark, monkeypatch):
+    from sifter.functions import order
+    monkeypatch.setattr(order, "WINDOW_ROWS", 0)  # force the running-total ranking
+    rng = np.random.default_rng(12)
+    vals = rng.exponential(size=6000)
+    grp = np.where(np.arange(6000) % 2 == 0, "a", "b")
+    df = spark.createDataFrame(pd.DataFrame({"g": grp, "v": vals}))
+    got = order.bracketed_quantiles(df, "v", [0.1, 0.5], ["g"], accuracy=500)
+    assert got is not None
+    got = got.toPandas().set_index("g")
+    for g in ("a", "b"):
+        assert abs(got.loc[g, "q_0_5"] - np.quantile(vals[grp == g], 0.5)) < 1e-12
+        assert abs(got.loc[g, "q_0_1"] - np.quantile(vals[grp == g], 0.1)) < 1e-12
