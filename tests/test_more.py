@@ -56,3 +56,20 @@ def test_run_breakdown(spark):  # E29
     metrics, breakdown = pipeline.run_breakdown(spark, s)
     assert metrics.first()["records_valid"] == 2
     assert {r["status"]: r["count"] for r in breakdown.collect()} == {"valid": 2, "invalid": 1}
+
+
+def test_quick_start_flow(spark, tmp_dir):  # the README's quick start, on a local CSV
+    from sifter.operators import anomaly, profile
+    src = os.path.join(tmp_dir, "sales.csv")
+    with open(src, "w") as f:
+        f.write("order_id,order_date,sales,profit,category\n"
+                "1,2026-01-01,10,2,A\n2,2026-01-02,12,3,B\n3,2026-01-03,11,1,A\n4,2026-01-04,90,5,B\n")
+    out = os.path.join(tmp_dir, "store")
+    assert pipeline.run_pipeline(spark, src, out, store_format="parquet").status == "SUCCESS"
+    flat = reshape.flatten(store.load(spark, out, "parquet"))
+    assert profile.overview(flat)["shape"].first()["rows"] == 4
+    assert pipeline.chart_data(flat, "grouped-boxplot", compare="Category").count() == 2
+    assert anomaly.severity(anomaly.iqr_detect(flat)).where("is_anomaly").count() >= 1
+    rows, summary, ctx = pipeline.detect(pipeline.model_ready(spark, out, "parquet"), "zscore",
+                                         threshold=1.5)
+    assert summary.first()["total_records"] == 4 and ctx["value"] == "value"
