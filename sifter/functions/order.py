@@ -44,15 +44,53 @@ def _range_sorted(df: DataFrame, keys: Sequence, num_partitions: int | None) ->
     return df.repartitionByRange(n, *exprs).sortWithinPartitions(*exprs)
 
 
+def _key_buckets(df: DataFrame, key: str, n: int, out: str) -> DataFrame:
+    """Add ``out``: the index of the key range (cut at ``percentile_approx``
+    bounds, at most n ranges) holding each row.  Deterministic, so every
+    branch of a plan that recomputes it agrees."""
+    from pyspark.ml.feature import Bucketizer
+    kd = "_sifter_key"
+    keyed = df.withColumn(kd, F.col(key).cast("double"))
+    probs = [i / n for i in range(1, n)]
+    bounds = keyed.agg(F.percentile_approx(kd, probs, max(10_000, 10 * n)).alias("b")).first()["b"] \
+        if probs else []
+    cuts = sorted({float(b) for b in (bounds or []) if b is not None})  # at most n - 1 values
+    if not cuts:  # one distinct key (or none): a single range
+        return df.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
+    ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=kd, outputCol=out,
+                        handleInvalid="keep").transform(keyed).drop(kd)
+    # a null key sorts first (NULLS FIRST) and must still meet its offset row
+    return ranged.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
+
+
 def with_ordinal(df: DataFrame, order_by: Sequence, name: str = "record_index",
                  num_partitions: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in ``order_by`` order.
 
-    One range shuffle; the per-partition row counts (one row per partition)
-    are summed into offsets and broadcast back.  The range-partitioned frame
-    is persisted so that the counts and the rows come from the same
-    partitions.  ``order_by`` should be unique; among ties any order is valid.
+    One numeric key: rows are cut into key ranges (``_key_buckets``), numbered
+    with ``row_number`` inside each range, and offset by the row counts of
+    the earlier ranges (a table of at most ``num_partitions`` rows, broadcast).
+    Nothing is cached: the range of a row is a pure function of its key.
+
+    Other keys: one range shuffle, rows numbered inside each partition, and
+    per-partition counts as offsets; that frame is persisted so that the
+    counts and the rows come from the same partitions.
+
+    ``order_by`` should be unique; among ties any order is valid.
     """
+    n = num_partitions or shuffle_partitions(df.sparkSession)
+    if len(order_by) == 1 and isinstance(order_by[0], str) \
+            and isinstance(df.schema[order_by[0]].dataType, T.NumericType):
+        key = order_by[0]
+        bucketed = _key_buckets(df, key, n, PID)
+        counts = bucketed.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+        local = F.row_number().over(Window.partitionBy(PID).orderBy(key)) - 1
+        return (bucketed.withColumn(LOCAL, local)
+                .join(F.broadcast(offsets), PID)  # one row per key range
+                .withColumn(name, (F.col("_off") + F.col(LOCAL)).cast("long"))
+                .drop(PID, LOCAL, "_off"))
     ranged = (_range_sorted(df, order_by, num_partitions)
               .withColumn(PID, F.spark_partition_id())
               .withColumn(LOCAL, F.monotonically_increasing_id()
@@ -155,17 +193,9 @@ def _stitch(local: DataFrame, part: str, value_cols: Sequence[str], group_cols:
 def _running_total_buckets(df: DataFrame, key: str, value_cols: Sequence[str],
                            group_cols: Sequence[str], prefix: str, total_prefix: str | None,
                            num_partitions: int | None) -> DataFrame:
-    from pyspark.ml.feature import Bucketizer
     group_cols = list(group_cols)
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    kd = "_sifter_key"
-    keyed = df.withColumn(kd, F.col(key).cast("double"))
-    probs = [i / n for i in range(1, n)]
-    bounds = keyed.agg(F.percentile_approx(kd, probs, max(10_000, 10 * n)).alias("b")).first()["b"] \
-        if probs else []
-    cuts = sorted({float(b) for b in (bounds or []) if b is not None})  # at most n - 1 values
-    bucketed = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=kd, outputCol=PID,
-                          handleInvalid="keep").transform(keyed).drop(kd)
+    bucketed = _key_buckets(df, key, n, PID)
     w = Window.partitionBy(*group_cols, PID).orderBy(key) \
         .rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed

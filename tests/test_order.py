@@ -7,9 +7,12 @@ from sifter.functions.order import exact_quantiles, quantiles, running_total, wi
 
 def test_ordinal_dense_and_ordered(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5000).alias("k"))
-    out = with_ordinal(df, ["k"], num_partitions=7).collect()
+    out = with_ordinal(df, ["k"], num_partitions=7).collect()  # numeric key: key ranges
     assert sorted(r["record_index"] for r in out) == list(range(5000))
     assert all(r["record_index"] == r["k"] for r in out)
+    txt = df.select(F.format_string("%05d", "k").alias("s"))
+    out = with_ordinal(txt, ["s"], num_partitions=7).collect()  # text key: range partitions
+    assert all(r["record_index"] == int(r["s"]) for r in out)
 
 
 def test_running_total_groups_span_batches(spark):
@@ -64,7 +67,8 @@ def test_builtin_and_distributed_agree(spark):
 def test_release_unpersists(spark):
     from sifter.functions.cache import release
     release()
-    df = with_ordinal(spark.range(100).select(F.col("id").alias("k")), ["k"])
+    # a text key takes the range-partition path, which persists its input
+    df = with_ordinal(spark.range(100).select(F.format_string("%03d", "id").alias("k")), ["k"])
     assert df.count() == 100
     assert release() == 1
     assert df.count() == 100  # still computable from lineage after release
