@@ -84,3 +84,14 @@ scored AS (
   FROM v a JOIN v b ON a.vec_id % {every} = 0 AND a.vec_id <> b.vec_id)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= {k}"""
+
+
+def warc_sql(min_bytes: int) -> str:
+    return f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT payload_digest, max(page_id) AS last_page FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= {min_bytes} AND page_id < last_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {min_bytes} AND page_id < last_page THEN last_page END AS refers_to
+FROM p JOIN m USING (payload_digest)"""

@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sifter.llm import decontaminate, langid, mixing, oracle, sharding, tokens, topk
+from sifter.llm import decontaminate, langid, mixing, oracle, secrets, sharding, tokens, topk, warc
+from sifter.llm.common import scratch_path
 
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 SHARD_BYTES = 32 << 20
@@ -47,15 +48,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("_matches") > 0).alias("contaminated"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("_spans")
+    return found.select(
+        "doc_id", *[secrets.count_kind(spans, k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.joined(secrets.base_only(spans)).cast("binary"), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.archive_pages(_read(spark, sf_dir, "pages"), path, min_bytes=1000)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), MIX_SEED, keep=["doc_id", "source"], **MIX)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op6_decontamination, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op6_decontamination, op7_secrets, op9_warc, op10_mixing)}
 
 ORACLE = {
     "op1_topk": oracle.topk_sql(50, 5),
     "op4_sharding": oracle.sharding_sql(SHARD_BYTES),
     "op6_decontamination": oracle.decontamination_sql(10),
+    "op9_warc": oracle.warc_sql(1000),
     "op10_mixing": oracle.mixing_sql(MIX_SEED, **MIX),
 }
