@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sifter.llm import decontaminate, langid, mixing, oracle, secrets, sharding, tokens, topk, warc
+from sifter.llm import decontaminate, langid, lm, mixing, oracle, secrets, sharding, tokens, topk, warc
 from sifter.llm.common import scratch_path
 
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -56,6 +56,13 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.joined(secrets.base_only(spans)).cast("binary"), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = langid.fold("doc_id", 10)
+    role = F.when(part == 0, lm.SCORED).when(part == 1, lm.TUNED).otherwise(lm.FITTED)
+    scored = lm.score_texts(_read(spark, sf_dir, "documents"), role)
+    return scored.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.archive_pages(_read(spark, sf_dir, "pages"), path, min_bytes=1000)
@@ -66,7 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), MIX_SEED, keep=["doc_id", "source"], **MIX)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op6_decontamination, op7_secrets, op9_warc, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op6_decontamination, op7_secrets, op8_lm_scoring, op9_warc, op10_mixing)}
 
 ORACLE = {
     "op1_topk": oracle.topk_sql(50, 5),
