@@ -100,7 +100,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, calibrated probability); ``und`` and 0 without letters."""
-        logits = self._logits(text) if text else None
+        logits = self._logits(text) if text and self.langs else None
         if logits is None:
             return UNKNOWN, 0.0
         p = _softmax(logits[None, :] / self.temperature)[0]
@@ -171,7 +171,8 @@ def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), *, i
 
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_langid`` = struct(lang_pred, score,
-    accepted).  A text that is null or has no letter gets ``und``, 0, false.
+    accepted).  A text that is null or has no letter gets ``und``, 0, false;
+    if no language was learned every text does, as none can be trusted.
     The model's table (buckets x languages) is broadcast; its size is fixed
     by the settings and the languages of the sample."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -95,3 +95,21 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= {min_bytes} AND page_id < last_page THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= {min_bytes} AND page_id < last_page THEN last_page END AS refers_to
 FROM p JOIN m USING (payload_digest)"""
+
+
+def jaccard_sql(words: int, num: int, den: int) -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[p:p + {words} - 1], chr(10))) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words} + 2, least(len(w), 1) + 1))) AS p FROM docs)),
+sized AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT x, y FROM pairs JOIN sized a ON a.doc_id = x JOIN sized b ON b.doc_id = y WHERE {den} * c >= {num} * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM linked UNION ALL SELECT y, x FROM linked),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM docs UNION SELECT id, y FROM reach JOIN edges ON x = r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM docs JOIN least ON id = doc_id LEFT JOIN sized USING (doc_id)"""

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sifter.llm import decontaminate, langid, lm, mixing, oracle, secrets, sharding, tokens, topk, warc
+from sifter.llm import decontaminate, jaccard, langid, lm, mixing, oracle, secrets, sharding, tokens, topk, warc
 from sifter.llm.common import scratch_path
 
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -38,6 +38,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), SHARD_BYTES, keep=["doc_id"])
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_read(spark, sf_dir, "documents"), jaccard.Rule(words=4, num=85, den=100))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_matches(docs, _read(spark, sf_dir, "benchmark"), window=10)
@@ -73,11 +77,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), MIX_SEED, keep=["doc_id", "source"], **MIX)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op6_decontamination, op7_secrets, op8_lm_scoring, op9_warc, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op5_jaccard_join, op6_decontamination, op7_secrets, op8_lm_scoring, op9_warc, op10_mixing)}
 
 ORACLE = {
     "op1_topk": oracle.topk_sql(50, 5),
     "op4_sharding": oracle.sharding_sql(SHARD_BYTES),
+    "op5_jaccard_join": oracle.jaccard_sql(4, 85, 100),
     "op6_decontamination": oracle.decontamination_sql(10),
     "op9_warc": oracle.warc_sql(1000),
     "op10_mixing": oracle.mixing_sql(MIX_SEED, **MIX),

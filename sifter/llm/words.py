@@ -52,11 +52,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
+@functools.cache
+def _factors(n: int) -> np.ndarray:
+    """Unrelated odd factors: any regular step between them would let
+    different orders of the same words share a hash."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _U(0x632BE59BD9B4E019)) | _U(1)
+
+
 def combine(columns: list[np.ndarray], salt: int) -> np.ndarray:
     """One hash per row of equally long columns; order matters."""
     acc = np.full(len(columns[0]), salt, _U)
-    for k, c in enumerate(columns):
-        acc = acc + c * _U((0xD6E8FEB86659FD93 + 0x632BE59BD9B4E019 * (k + 1)) % (1 << 64) | 1)
+    for c, f in zip(columns, _factors(len(columns))):
+        acc = acc + c * f
     return mix(acc)
 
 
