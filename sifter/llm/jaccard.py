@@ -12,18 +12,22 @@ reaches num / den; 1 - similarity is a metric.
     the points that share a first shingle the most central one (fewest
     shingles of its own) is the pivot, and the point belongs to the regions
     of all its pivots: every linked pair meets in a region.
-3.  A region larger than ``region_shingles`` is divided again: each point
+3.  A set's counts in some hash classes of the shingles are coordinates whose
+    L1 distance never exceeds the size of the symmetric difference.  A point
+    with no other of its region within the distance that a link allows
+    leaves the region before any text is moved.
+4.  A region larger than ``region_shingles`` is divided again: each point
     goes to the Voronoi cell of its nearest pivot and, within the triangle
     inequality's window d(x, p) <= d(x, nearest) + 2 eps, to those of
     others.  What no longer divides is joined block against block.
-4.  A region is joined by one task, recursively and exactly.  Points whose
+5.  A region is joined by one task, recursively and exactly.  Points whose
     shingles the others don't share often enough fall away; pivots split the
     rest into cells with windows; a cell that does not split is swept pivot
     by pivot, where the triangle inequality leaves out points whose distances
     to the pivot differ by more than eps, and points already connected.
-5.  Connected components of the links give the classes.
+6.  Connected components of the links give the classes.
 
-Steps 2 to 4 decide only where pairs meet; each link is checked with whole
+Steps 2 to 5 decide only where pairs meet; each link is checked with whole
 numbers on the sets.  Shingles are compared by 64-bit hashes.
 """
 
@@ -146,16 +150,48 @@ def least_overlap(n, rule: Rule):
     return -(-rule.num * n // rule.den)
 
 
+def coordinates(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles in 64 to 4096 hash classes, about one per
+    eight shingles; half as many classes are sums of neighbours."""
+    classes = min(4096, max(64, 1 << int(len(s) / 8).bit_length()))
+    shift = _U(64 - (classes.bit_length() - 1))
+    return np.minimum(np.bincount((mix(s) >> shift).astype(np.int64), minlength=classes), 65535).astype("<u2")
+
+
+def plausible(n: np.ndarray, coords: list[np.ndarray], rule: Rule, block: int = 64) -> np.ndarray:
+    """Which points have another one that the coordinates do not rule out."""
+    order = np.argsort(n, kind="stable")
+    size, kinds = n[order], np.array([len(coords[i]) for i in order])
+    out = np.zeros(len(n), bool)
+    at = 0
+    while at < len(n):
+        stop = min(at + block, len(n), int(np.searchsorted(kinds, kinds[at], "right")))
+        last = int(np.searchsorted(size, size[stop - 1] * rule.den // rule.num, "right"))
+        k = kinds[at]
+        every = np.array([coords[i].reshape(k, -1).sum(axis=1) for i in order[at:last]], np.int32)
+        mine = every[:stop - at]
+        for lo in range(at, last, 256):
+            hi = min(lo + 256, last)
+            apart = np.abs(mine[:, None, :] - every[None, lo - at:hi - at, :]).sum(axis=2)
+            near = apart * (rule.den + rule.num) <= (rule.den - rule.num) * (size[at:stop, None] + size[None, lo:hi])
+            near &= np.arange(lo, hi)[None, :] > np.arange(at, stop)[:, None]
+            out[order[at:stop]] |= near.any(axis=1)
+            out[order[lo:hi]] |= near.any(axis=0)
+        at = stop
+    return out
+
+
 def points(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, sig_a, sig_b, odd, first): set size, set signature, share of
-    shingles that are no common ones (0 to 100) and the first shingles."""
+    """(id, n, sig_a, sig_b, odd, first, coords): set size, set signature, share
+    of shingles that are no common ones (0 to 100), first shingles and
+    coordinates."""
     common = docs.sparkSession.sparkContext.broadcast(commonness(docs, rule))
-    kind = pa.struct([("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("odd", pa.int32()), ("first", pa.list_(pa.int64()))])
+    kind = pa.struct([("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("odd", pa.int32()), ("first", pa.list_(pa.int64())), ("coords", pa.binary())])
 
-    @F.arrow_udf("struct<n:bigint,sig_a:bigint,sig_b:bigint,odd:int,first:array<bigint>>")
+    @F.arrow_udf("struct<n:bigint,sig_a:bigint,sig_b:bigint,odd:int,first:array<bigint>,coords:binary>")
     def point(col: pa.Array) -> pa.Array:
         classes = common.value
-        n, a, b, odd, first = [], [], [], [], []
+        n, a, b, odd, first, coords = [], [], [], [], [], []
         for s in shingle_sets(col, rule.words):
             c = classes[(s & _U(_SLOTS - 1)).astype(np.int64)]
             keep = len(s) - least_overlap(len(s), rule) + 1 if len(s) else 0
@@ -164,9 +200,10 @@ def points(docs: DataFrame, rule: Rule) -> DataFrame:
             b.append(int(mix(s ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U).astype(np.int64)))
             odd.append(int(100 * np.mean(c == 0)) if len(s) else 0)
             first.append(s[np.argsort(c, kind="stable")[:keep]].view(np.int64))
+            coords.append(coordinates(s).tobytes())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(odd, pa.int32()),
-             pa.array(first, pa.list_(pa.int64()))], fields=list(kind))
+             pa.array(first, pa.list_(pa.int64())), pa.array(coords, pa.binary())], fields=list(kind))
 
     return docs.select("id", point("text").alias("p")).select("id", "p.*")
 
@@ -295,7 +332,7 @@ def _join_region(rule: Rule):
 # --- regions across tasks -----------------------------------------------------------
 
 def regions(pts: DataFrame) -> DataFrame:
-    """(region, id, n, odd): every point in the regions of its pivots.  A
+    """(region, id, n, odd, coords): every point in the regions of its pivots.  A
     pivot's number is its rank key; two points share a key only with a
     probability of about 2**-56 per pair, which merges two regions."""
     key = F.shiftleft(F.col("odd").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 8))
@@ -303,7 +340,19 @@ def regions(pts: DataFrame) -> DataFrame:
     entry = keyed.select("key", F.explode("first").alias("s"))
     pivot = entry.groupBy("s").agg(F.min("key").alias("region"), F.count("*").alias("c")).where("c > 1").drop("c")
     member = entry.join(pivot, "s").groupBy("region", "key").agg(F.lit(1).alias("one")).drop("one")
-    return member.join(keyed.select("key", "id", "n", "odd"), "key").select("region", "id", "n", "odd")
+    return member.join(keyed.select("key", "id", "n", "odd", "coords"), "key").drop("key")
+
+
+def _thinned(members: DataFrame, rule: Rule) -> DataFrame:
+    """Regions without the points that link with none of their region."""
+    ddl = "region long, id long, n long, odd int"
+    schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("odd", pa.int32())])
+
+    def thin(table: pa.Table) -> pa.Table:
+        coords = [np.frombuffer(c, "<u2") for c in table["coords"].to_pylist()]
+        return table.select(schema.names).filter(pa.array(plausible(table["n"].to_numpy(), coords, rule))).cast(schema)
+
+    return members.groupBy("region").applyInArrow(thin, ddl)
 
 
 def _heavy(members: DataFrame, limit: int) -> DataFrame:
@@ -361,7 +410,10 @@ def _block_pairs(members: DataFrame, heavy: DataFrame, limit: int) -> DataFrame:
 
 def links(docs: DataFrame, pts: DataFrame, rule: Rule, region_shingles: int, levels: int) -> DataFrame:
     """(u, v) ids that connect all linked points of (id, n, odd, first)."""
-    members = written(regions(pts), "regions")
+    found = written(regions(pts), "regions")
+    heavy = written(_heavy(found, region_shingles), "heavy").select("region")
+    members = written(_thinned(found.join(heavy, "region", "left_anti"), rule).unionByName(
+        found.join(heavy, "region", "left_semi").drop("coords")), "regions")
     wanted = docs.sparkSession.sparkContext.broadcast(_members(members.select("id").distinct()))
 
     @F.arrow_udf("boolean")
@@ -394,13 +446,12 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pts = written(points(source, rule), "points")
     usable = pts.where((F.col("n") > 0) & F.col("id").isNotNull())
-    same = usable.groupBy("n", "sig_a", "sig_b").agg(F.min("id").alias("rep"), F.min("odd").alias("odd"), F.first("first").alias("first"))
-    same = written(same, "classes")
-    reps = same.select(F.col("rep").alias("id"), "n", "odd", "first").dropDuplicates(["id", "n"])
+    sets = ["n", "sig_a", "sig_b"]
+    same = written(usable.groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
+    reps = usable.join(same.withColumnRenamed("rep", "id"), ["id", *sets], "left_semi").drop("sig_a", "sig_b")
     found = links(source.where("id is not null"), reps, rule, region_shingles, levels)
     # rows that share an id tie the classes of their sets together
-    tied = usable.select("id", "n", "sig_a", "sig_b").join(same.select("n", "sig_a", "sig_b", "rep"), ["n", "sig_a", "sig_b"])
-    tied = written(tied.select("id", "rep"), "members")
+    tied = written(usable.select("id", *sets).join(same, sets).select("id", "rep"), "members")
     several = tied.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     ties = tied.join(several, "id").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     label = components(found.unionByName(ties))
