@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -43,6 +43,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def boxed(df: DataFrame, cols: list[str] | None = None, **named: Column) -> DataFrame:
+    """The columns of ``df`` (or ``cols``) as one struct ``_row`` beside the named
+    ones, so that no name of theirs can clash; ``select("_row.*")`` undoes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in (df.columns if cols is None else cols)])
+    return df.select(row.alias("_row"), *[v.alias(k) for k, v in named.items()])
+
+
 def text_column(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the n + 1 offsets of its values
     (null counts as empty), without making Python strings."""

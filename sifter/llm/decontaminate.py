@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sifter.llm.common import spans, text_column
+from sifter.llm.common import boxed, spans, text_column
 from sifter.llm.words import NOT_ALNUM, combine, hashed_words
 
 _MATCH = "array<struct<item_id:string,item_pos:int,doc_pos:int,n_words:int>>"
@@ -147,7 +147,8 @@ def _blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int):
 
 def find_matches(docs: DataFrame, bench: DataFrame, *, window: int = 10, id_col: str = "item_id", item_text: str = "text",
                  text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """All columns of ``docs`` with ``_n_words`` and ``_matches``, the longest
+    """All columns of ``docs`` with ``_n_words`` and ``_matches`` (columns of these
+    names and ``_found`` are replaced), the longest
     verbatim matches of a window or more (item_id, item_pos, doc_pos, n_words).
 
     A null text has no words; an item without id is named ''.  Items that
@@ -178,4 +179,5 @@ def item_ids(matches: Column) -> Column:
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` without any match."""
-    return find_matches(docs, bench, **kw).where(F.size("_matches") == 0).drop("_matches", "_n_words")
+    rows = boxed(docs, text=F.col(kw.pop("text_col", "text")))
+    return find_matches(rows, bench, **kw).where(F.size("_matches") == 0).select("_row.*")

@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sifter.llm.common import spans, text_column, written
+from sifter.llm.common import boxed, spans, text_column, written
 from sifter.llm.components import components
 from sifter.llm.words import WHITE_SPACE, combine, hashed_words, mix
 
@@ -143,6 +143,19 @@ def _members(ids: DataFrame) -> np.ndarray:
     return _sliced(ids, count) > 0
 
 
+def _maybe(ids: DataFrame):
+    """A filter that admits every row whose id is one of ``ids`` and few others,
+    as long as these fill a small part of the sketch."""
+    wanted = ids.sparkSession.sparkContext.broadcast(_members(ids))
+
+    @F.arrow_udf("boolean")
+    def maybe(col: pa.Array) -> pa.Array:
+        slots = (mix(col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U(_SLOTS - 1)).astype(np.int64)
+        return pa.array(wanted.value[slots])
+
+    return maybe
+
+
 # --- points ---------------------------------------------------------------------
 
 def least_overlap(n, rule: Rule):
@@ -414,14 +427,7 @@ def links(docs: DataFrame, pts: DataFrame, rule: Rule, region_shingles: int, lev
     heavy = written(_heavy(found, region_shingles), "heavy").select("region")
     members = written(_thinned(found.join(heavy, "region", "left_anti"), rule).unionByName(
         found.join(heavy, "region", "left_semi").drop("coords")), "regions")
-    wanted = docs.sparkSession.sparkContext.broadcast(_members(members.select("id").distinct()))
-
-    @F.arrow_udf("boolean")
-    def maybe(ids: pa.Array) -> pa.Array:
-        slots = (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U(_SLOTS - 1)).astype(np.int64)
-        return pa.array(wanted.value[slots])
-
-    texts = docs.where(maybe("id"))
+    texts = docs.where(_maybe(members.select("id").distinct())("id"))
     for level in range(levels + 1):
         heavy = written(_heavy(members, region_shingles), "heavy")
         if heavy.isEmpty():
@@ -459,3 +465,21 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
             .groupBy("id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id")))
     out = pts.select("id", "n").join(best, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the component of ``near_duplicates``'
+    result ``found``: one per group.
+
+    Rows without id stay; of rows that share an id, the smallest one stays.
+    Rows whose id is surely not to be treated pass without a shuffle.
+    """
+    found = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(id_col) != F.col("component_id")).alias("go"))
+    touched = written(found.groupBy("id").agg(F.max("go").alias("go"), (F.count("*") > 1).alias("several")).where("go or several"), "touched")
+    maybe = _maybe(touched.select("id"))
+    rows = boxed(docs, id=F.col(id_col).cast("long"))
+    rows = rows.withColumn("maybe", F.col("id").isNotNull() & maybe(F.coalesce("id", F.lit(0).cast("long"))))
+    rest = rows.where("maybe").join(touched, "id", "left").where(F.coalesce(~F.col("go"), F.lit(True)))
+    single = rest.where(~F.coalesce("several", F.lit(False))).select("_row.*")
+    first = rest.where("several").groupBy("id").agg(F.min("_row").alias("_row")).select("_row.*")
+    return rows.where("not maybe").select("_row.*").unionByName(single).unionByName(first)

@@ -17,6 +17,7 @@ segments reach.
 from __future__ import annotations
 
 import functools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,9 +30,10 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` labelled rows at most (those with the smallest hash of
-    their id) and one segment of at most ``segment_chars`` characters of
-    each, at a hashed position, are the training data."""
+    """About ``sample_rows`` labelled rows, drawn by a hash of their id (twice as
+    many at most, should ids repeat), and one segment of at most
+    ``segment_chars`` characters of each, at a hashed position, are the
+    training data."""
 
     sample_rows: int = 4000
     segment_chars: int = 1000
@@ -162,10 +164,15 @@ def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), *, i
     size = F.lit(settings.segment_chars)
     n_pieces = F.greatest(F.lit(1), F.floor(F.length(text_col) / size).cast("int"))
     turn = F.pmod(F.xxhash64(F.lit(settings.seed + 1), id_col), n_pieces).cast("int")
-    picked = (docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-              .select(F.xxhash64(F.lit(settings.seed), id_col).alias("h"), F.col(lang_col).cast("string").alias("y"),
+    labelled = docs.where(usable & F.col(lang_col).isNotNull())
+    share = min(1.0, settings.sample_rows / max(1, labelled.select(F.lit(1)).count()))
+    h = F.xxhash64(F.lit(settings.seed), id_col)
+    drawn = F.pmod(h, F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
+    picked = (labelled.where(drawn & F.col(text_col).isNotNull())
+              .select(h.alias("h"), F.col(lang_col).cast("string").alias("y"),
                       F.substring(F.col(text_col), turn * size + 1, size).alias("t"))
-              .orderBy("h", "y", "t").limit(settings.sample_rows).collect())
+              .limit(2 * settings.sample_rows).collect())
+    picked.sort(key=lambda r: (r["h"], r["y"], r["t"]))
     return train([r["t"] for r in picked], [r["y"] for r in picked], settings)
 
 

@@ -17,7 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sifter.llm.common import written
+from sifter.llm.common import boxed, written
 
 _UNIT = float(1 << 52)
 
@@ -74,13 +74,15 @@ def poisson_count(rate: Column, u: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), _most(rate)), start, step)["k"]
 
 
-def counted(docs: DataFrame, seed: int, *, id_col: str = "doc_id", source_col: str = "source", **rate_args) -> DataFrame:
-    """Every row with ``_rate`` and ``_copies``.  Rates above 700 are whole
-    repetitions plus a Poisson rest."""
-    per = rates(docs, source_col=source_col, **rate_args).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
-    joined = docs.join(per, F.col(source_col).eqNullSafe(F.col("_source"))).drop("_source")
-    whole = F.floor(F.greatest(F.col("_rate") - 700, F.lit(0.0))).cast("int")
-    return joined.withColumn("_copies", (whole + poisson_count(F.col("_rate") - whole, uniform(seed, F.col(id_col)))).cast("int"))
+def counted(docs: DataFrame, seed: int, *, keep: list[str], id_col: str = "doc_id", source_col: str = "source", **rate_args) -> DataFrame:
+    """(_row, id, copies): the ``keep`` columns as a struct and the number of
+    copies.  Rates above 700 are whole repetitions plus a Poisson rest."""
+    per = rates(docs, source_col=source_col, **rate_args).select("source", "rate")
+    rows = boxed(docs, keep, id=F.col(id_col), key=F.col(source_col))
+    joined = rows.join(per, F.col("key").eqNullSafe(F.col("source")))
+    whole = F.floor(F.greatest(F.col("rate") - 700, F.lit(0.0))).cast("int")
+    n = (whole + poisson_count(F.col("rate") - whole, uniform(seed, F.col("id")))).cast("int")
+    return joined.select("_row", "id", n.alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = 13, *, id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None,
@@ -88,13 +90,12 @@ def mix(docs: DataFrame, seed: int = 13, *, id_col: str = "doc_id", source_col:
     """``keep`` columns (default: all) of every copy of every row, with
     ``copy_no`` (from 1), ``n_copies`` and ``shuffle_key``, in the order of
     that key: the global shuffle.  Columns with these names are replaced."""
-    made = ["copy_no", "n_copies", "shuffle_key"]
-    rows = counted(docs, seed, id_col=id_col, source_col=source_col, **rate_args).where("_copies > 0")
-    cols = [f"`{c}`" for c in (keep or docs.columns) if c not in made]
-    copies = rows.select(*cols, F.col("_copies").alias("n_copies"), F.col(id_col).alias("_id"),
-                         F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
-    key = uniform(seed + 1, F.col("_id"), F.col("copy_no"))
-    return copies.withColumn("shuffle_key", key).drop("_id").orderBy("shuffle_key")
+    cols = [c for c in (keep or docs.columns) if c not in ("copy_no", "n_copies", "shuffle_key")]
+    rows = counted(docs, seed, keep=cols, id_col=id_col, source_col=source_col, **rate_args).where("copies > 0")
+    copies = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    key = uniform(seed + 1, F.col("id"), F.col("copy_no"))
+    return (copies.select("_row", "copy_no", F.col("copies").alias("n_copies"), key.alias("shuffle_key"))
+            .orderBy("shuffle_key").select("_row.*", "copy_no", "n_copies", "shuffle_key"))
 
 
 def expected_count(rate: float, u: float) -> int:

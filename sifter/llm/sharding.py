@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F
-from sifter.llm.common import written
+from sifter.llm.common import boxed, written
 
 BITS = 60  # bits of an id's hash that are used, fifteen hex digits
 
@@ -92,9 +92,7 @@ def shard(docs: DataFrame, limit: int, *, id_col: str = "doc_id", text_col: str
     """
     made = ["shard", "shard_depth", "n_bytes", "shard_bytes", "shard_rows", "fits"]
     cols = [c for c in (keep or docs.columns) if c not in made]
-    boxed = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")
-    rows = docs.select(boxed, hash_bits(F.col(id_col)).alias("h"),
-                       F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"))
+    rows = boxed(docs, cols, h=hash_bits(F.col(id_col)), n_bytes=F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"))
     sizes = rows.select("h", "n_bytes")
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     directory = _directory(sizes, limit, total)
