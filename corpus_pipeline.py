@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sifter.llm import decontaminate, jaccard, langid, mixing, sharding
-from sifter.llm.common import written
+from sifter.llm.common import boxed, written
 
 #: near duplicates share four fifths of their five-word shingles
 NEAR = jaccard.Rule(words=5, num=80, den=100)
@@ -24,21 +24,15 @@ SHARD_BYTES = 32 << 20
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter or without a trustworthy language go."""
     model = langid.learn(docs, langid.fold("doc_id", 5) != 0)
-    return langid.identify(docs, model).where("_langid.accepted").drop("_langid")
+    rows = boxed(docs, text=F.col("text"))
+    return langid.identify(rows, model).where("_langid.accepted").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; rows without id
     stay; of rows that share an id, one stays."""
     found = written(jaccard.near_duplicates(docs, NEAR), "near")
-    stay = found.where(F.col("doc_id") == F.col("component_id"))
-    once = stay.groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(once.where("n = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    twice = written(once.where("n > 1").select("doc_id"), "repeated")
-    if not twice.isEmpty():
-        row = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")
-        kept = kept.unionByName(docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("row.*"))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return jaccard.one_per_group(docs, found)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +42,8 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources repeated to their target weights, shuffled globally."""
-    return mixing.mix(docs, MIX_SEED, **MIX).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"))
+    return mixing.mix(rows, MIX_SEED, keep=["_row"], **MIX).select("_row.*")
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
