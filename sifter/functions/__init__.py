@@ -6,6 +6,7 @@ from sifter.functions.cols import (  # noqa: F401
     INT_PATTERN, ISO_PATTERN, try_timestamp,
 )
 from sifter.functions.order import (  # noqa: F401
-    with_ordinal, running_total, exact_quantiles, quantiles,
+    with_ordinal, running_total,
 )
+from sifter.functions.quantile import column_quantiles, quantiles  # noqa: F401
 from sifter.functions.cache import persisted, release  # noqa: F401

@@ -233,239 +233,6 @@ def value_counts(df: DataFrame, value_col: str, group_cols: Sequence[str] = ())
     return vals.groupBy(*group_cols, v).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def _names(probs, names):
-    return list(names or [f"q_{str(p).replace('.', '_')}" for p in probs])
-
-
-def _ranked_from_counts(counts: DataFrame, probs: Sequence[float], group_cols: Sequence[str],
-                        names: Sequence[str], num_partitions: int | None = None) -> DataFrame:
-    """Distributed plan: running count in value order, then pick the two
-    order statistics around each position with one aggregate."""
-    group_cols = list(group_cols)
-    v = "_q_v"
-    ranked = running_total(counts, [v], ["_c"], group_cols, prefix="_before",
-                           total_prefix="_n", num_partitions=num_partitions)
-    before, cnt, n = F.col("_before_c"), F.col("_c"), F.col("_n_c")
-    aggs = [F.max(n).alias("n")]
-    for i, p in enumerate(probs):
-        pos = F.lit(float(p)) * (n - 1)
-        lo = F.floor(pos)
-        hi = F.least(lo + 1, n - 1)
-        aggs.append(F.max(F.when((before <= lo) & (lo < before + cnt), F.col(v))).alias(f"_lo{i}"))
-        aggs.append(F.max(F.when((before <= hi) & (hi < before + cnt), F.col(v))).alias(f"_hi{i}"))
-        aggs.append(F.max(pos - lo).alias(f"_fr{i}"))
-    picked = ranked.groupBy(*group_cols).agg(*aggs)
-    cols = [*group_cols, "n"]
-    for i, name in enumerate(names):
-        lo_v, hi_v, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
-        cols.append((lo_v + (hi_v - lo_v) * fr).alias(name))
-    return picked.select(*cols)
-
-
-def _builtin_from_counts(counts: DataFrame, probs: Sequence[float], group_cols: Sequence[str],
-                         names: Sequence[str]) -> DataFrame:
-    """Single-pass plan: Spark's exact ``percentile`` with the counts as
-    frequencies (buffer = distinct values per group)."""
-    pc = F.percentile(F.col("_q_v"), F.array(*[F.lit(float(p)) for p in probs]), F.col("_c"))
-    out = counts.groupBy(*group_cols).agg(F.sum("_c").alias("n"), pc.alias("_pc"))
-    return out.select(*group_cols, "n", *[F.col("_pc")[i].alias(nm) for i, nm in enumerate(names)])
-
-
-def exact_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                    group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                    num_partitions: int | None = None) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``value_col`` per group, by
-    the distributed plan (no per-group buffer at all).
-
-    Same definition as pandas ``quantile`` / DuckDB ``quantile_cont``:
-    position p*(n-1), interpolate between the neighbouring order statistics.
-    Null and NaN values are ignored.  Output: group columns, ``n`` and one
-    column per probability (named by ``names``; default ``q_<p>``).
-    Groups without any value are absent.
-
-    Plan: count per distinct (group, value) (map-side partial aggregation,
-    so hot values collapse early) -> running count in value order ->
-    pick the two order statistics around each position with one aggregate.
-    """
-    counts = value_counts(df, value_col, group_cols)
-    return _ranked_from_counts(counts, probs, group_cols, _names(probs, names), num_partitions)
-
-
-# Largest number of distinct values per group for which the single-pass
-# built-in ``percentile`` is used: its buffer holds one (value, count) entry
-# per distinct value of a group, so it is only chosen under a checked bound.
-BUILTIN_DISTINCT_LIMIT = 200_000
-
-
-def builtin_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                      group_cols: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
-    """Exact quantiles with Spark's ``percentile`` over the value counts.
-    Memory grows with distinct values per group: call it only under a bound
-    (``quantiles`` checks one)."""
-    counts = value_counts(df, value_col, group_cols)
-    return _builtin_from_counts(counts, probs, group_cols, _names(probs, names))
-
-
-def max_distinct_per_group(counts: DataFrame, group_cols: Sequence[str] = ()) -> int:
-    """Exact largest number of distinct values of any group, read off the
-    value-count table (one small aggregation)."""
-    per = counts.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("d"))
-    return int(per.agg(F.max("d")).first()[0] or 0)
-
-
-BRACKET_ACCURACY = 10_000  # percentile_approx accuracy: rank error <= n / accuracy
-WINDOW_ROWS = 2_000_000    # largest bracket ranked by a plain window (one task per bracket)
-
-
-def bracketed_quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                        group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-                        sketch: DataFrame | None = None,
-                        accuracy: int = BRACKET_ACCURACY) -> DataFrame | None:
-    """Exact quantiles for high-cardinality values without moving them all.
-
-    1. ``sketch`` (one map-side-combined pass, no value shuffle): per group
-       ``n`` and ``percentile_approx`` at p -/+ 3/accuracy for every p, which
-       bracket the order statistics around p*(n-1);
-    2. one pass counts, per group and p, the values below the bracket and
-       keeps only the values inside it (about 6n/accuracy of them); the
-       brackets reach the rows as literals (no groups) or through a join on
-       the group keys (one row per group);
-    3. the exact running-count plan ranks those few values.
-    Returns None when a bracket misses its ranks (the caller then uses the
-    full distributed plan).
-    """
-    group_cols = list(group_cols)
-    names = _names(probs, names)
-    k = len(probs)
-    x = "_q_v"
-    vals = df.select(*group_cols, _nan_free(df, value_col).alias(x)).where(F.col(x).isNotNull())
-    if sketch is None:
-        sketch = _sketch(vals, x, probs, group_cols, accuracy)
-    if group_cols:
-        rows = vals.join(sketch.select(*group_cols, "n", "_br"), group_cols)
-        br = F.col("_br")
-    else:
-        one = sketch.first()  # a single row: the whole-table sketch
-        if one is None or not one["n"]:
-            return vals.limit(0).select(F.lit(0).cast("long").alias("n"),
-                                        *[F.lit(None).cast("double").alias(nm) for nm in names])
-        rows = vals.withColumn("n", F.lit(one["n"]))
-        br = F.array(*[F.lit(float(b)) for b in one["_br"]])
-    # 2. per group and p: values below the bracket; bracket members
-    below = rows.groupBy(*group_cols).agg(
-        *[F.count_if(F.col(x) < br[2 * i]).alias(f"b{i}") for i in range(k)])
-    member_of = F.filter(F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                                     lambda i: F.when((F.col(x) >= br[2 * i]) &
-                                                      (F.col(x) <= br[2 * i + 1]), i)),
-                         lambda i: i.isNotNull())
-    inside = rows.select(*group_cols, x, F.explode(member_of).alias("pi"))
-    counts = inside.groupBy(*group_cols, "pi", x).agg(F.count(F.lit(1)).alias("_c"))
-    # a bracket holds at most about 8n/accuracy values (the sketch's rank
-    # guarantee): under WINDOW_ROWS a window per (group, p) is a proven
-    # bound per task; beyond it the running total spreads the ranking.
-    n_max = one["n"] if not group_cols else sketch.agg(F.max("n")).first()[0]
-    if 8.0 * n_max / accuracy <= WINDOW_ROWS:
-        part = Window.partitionBy(*group_cols, "pi")
-        ranked = counts.withColumn(
-            "_before_c", F.coalesce(F.sum("_c").over(
-                part.orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) \
-            .withColumn("_in_c", F.sum("_c").over(part))
-    else:
-        ranked = running_total(counts, [x], ["_c"], [*group_cols, "pi"], prefix="_before",
-                               total_prefix="_in")
-    # target ranks per group and p, shifted by the values below the bracket
-    n_tab = (sketch.select(*group_cols, "n") if group_cols else
-             vals.sparkSession.createDataFrame([(int(one["n"]),)], "n long"))
-    stats = n_tab.join(below, group_cols) if group_cols else \
-        below.withColumn("n", F.lit(int(one["n"])))
-    n = F.col("n")
-    spec = []
-    for i, p in enumerate(probs):
-        r_lo = F.floor(F.lit(float(p)) * (n - 1)).cast("long")
-        spec.append(F.struct(F.lit(i).alias("pi"), r_lo.alias("r_lo"),
-                             F.least(r_lo + 1, n - 1).alias("r_hi"),
-                             F.col(f"b{i}").alias("below"),
-                             (F.lit(float(p)) * (n - 1) - r_lo).alias("fr")))
-    targets = stats.select(*group_cols, "n", F.explode(F.array(*spec)).alias("t")) \
-        .select(*group_cols, "n", "t.*").transform(persisted)
-    before, c = F.col("_before_c"), F.col("_c")
-    k_lo, k_hi = F.col("r_lo") - F.col("below"), F.col("r_hi") - F.col("below")
-    picked = ranked.join(targets, [*group_cols, "pi"]).groupBy(*group_cols, "pi").agg(
-        F.first("n").alias("n"), F.first("fr").alias("fr"), F.first("below").alias("below"),
-        F.first("r_lo").alias("r_lo"), F.first("r_hi").alias("r_hi"),
-        F.max("_in_c").alias("inside"),
-        F.max(F.when((before <= k_lo) & (k_lo < before + c), F.col(x))).alias("v_lo"),
-        F.max(F.when((before <= k_hi) & (k_hi < before + c), F.col(x))).alias("v_hi")) \
-        .transform(persisted)
-    ok = (F.col("below") <= F.col("r_lo")) & (F.col("below") + F.col("inside") >= F.col("r_hi") + 1) \
-        & F.col("v_lo").isNotNull() & F.col("v_hi").isNotNull()
-    if picked.where(ok).count() != targets.count():
-        return None  # a bracket missed its ranks: the approximation guarantee did not hold
-    val = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("fr")
-    wide = picked.groupBy(*group_cols).agg(
-        F.first("n").alias("n"),
-        *[F.max(F.when(F.col("pi") == i, val)).alias(nm) for i, nm in enumerate(names)])
-    return wide.select(*group_cols, "n", *names)
-
-
-def _sketch(vals: DataFrame, x: str, probs: Sequence[float], group_cols: Sequence[str],
-            accuracy: int) -> DataFrame:
-    """Per group: n, an HLL distinct estimate and the bracket quantiles."""
-    d = 3.0 / accuracy
-    qs = []
-    for p in probs:
-        qs += [max(0.0, p - d), min(1.0, p + d)]
-    return vals.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.approx_count_distinct(x, 0.05).alias("_d"),
-        F.percentile_approx(x, qs, accuracy).alias("_br"))
-
-
-def quantiles(df: DataFrame, value_col: str, probs: Sequence[float],
-              group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-              accuracy: str = "exact") -> DataFrame:
-    """Quantiles per group.
-
-    ``accuracy='exact'`` starts with one sketch pass (per group: count,
-    HyperLogLog distinct estimate, approximate brackets; no value shuffle)
-    and picks the plan from that checked bound:
-
-    * at most ``BUILTIN_DISTINCT_LIMIT`` distinct values per group -> the
-      single-pass built-in ``percentile`` over the value counts;
-    * more -> ``bracketed_quantiles`` (only the values inside the brackets
-      are ranked), falling back to the full distributed running-count plan
-      if a bracket misses.
-
-    All plans give the same numbers.  ``'distributed'`` and ``'builtin'``
-    force a plan; ``'approx'`` uses ``percentile_approx`` (one pass, bounded
-    memory, no interpolation)."""
-    names = _names(probs, names)
-    group_cols = list(group_cols)
-    if accuracy == "exact":
-        x = "_q_v"
-        vals = df.select(*group_cols, _nan_free(df, value_col).alias(x)).where(F.col(x).isNotNull())
-        sketch = _sketch(vals, x, probs, group_cols, BRACKET_ACCURACY).transform(persisted)
-        max_d = sketch.agg(F.max("_d")).first()[0] or 0
-        if max_d <= BUILTIN_DISTINCT_LIMIT:
-            accuracy = "builtin"
-        else:
-            out = bracketed_quantiles(df, value_col, probs, group_cols, names, sketch=sketch)
-            if out is not None:
-                return out
-            accuracy = "distributed"
-    if accuracy in ("builtin", "distributed"):
-        counts = value_counts(df, value_col, group_cols).transform(persisted)
-        if accuracy == "builtin":
-            return _builtin_from_counts(counts, probs, group_cols, names)
-        return _ranked_from_counts(counts, probs, group_cols, names)
-    x = _nan_free(df, value_col)
-    pa = F.percentile_approx(x, list(map(float, probs)), 10000)
-    out = (df.groupBy(*group_cols)
-           .agg(F.count(x).alias("n"), pa.alias("_pa"))
-           .where(F.col("n") > 0))
-    return out.select(*group_cols, "n", *[F.col("_pa")[i].alias(nm) for i, nm in enumerate(names)])
-
-
 def _nan_free(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     col = F.col(c).cast("double")

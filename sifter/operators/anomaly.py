@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import is_numeric, nan_to_null
-from sifter.functions.order import quantiles
+from sifter.functions.quantile import column_quantiles
 
 # Default severity thresholds and labels.
 SEVERITY_THRESHOLDS = {"low": 1.0, "medium": 2.0, "high": 3.0}
@@ -89,19 +89,16 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], accuracy: str = "exact",
                k: float = 1.5) -> dict[str, tuple[float, float]]:
     """(q1 - k*IQR, q3 + k*IQR) per column, linear interpolation.
 
-    All columns are quantiled in one pass over a long (field, value) view;
-    the result has one row per column (a bounded summary)."""
+    All columns share the scans (``column_quantiles``); the result is one
+    pair per column."""
     if not columns:
         return {}
-    pairs = F.array(*[F.struct(F.lit(c).alias("field"), _v(df, c).alias("value"))
-                      for c in columns])
-    long = df.select(F.inline(pairs))
-    q = quantiles(long, "value", [0.25, 0.75], ["field"], names=["q1", "q3"],
-                  accuracy=accuracy).collect()
-    out = {}
-    for r in q:
-        iqr = r["q3"] - r["q1"]
-        out[r["field"]] = (r["q1"] - k * iqr, r["q3"] + k * iqr)
+    if accuracy == "exact":
+        got = {c: q for c, (_, q) in column_quantiles(df, {c: _v(df, c) for c in columns}, [0.25, 0.75]).items()}
+    else:
+        one = df.agg(*[F.percentile_approx(_v(df, c), [0.25, 0.75], 10_000).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+        got = {c: one[f"q{i}"] for i, c in enumerate(columns) if one[f"q{i}"]}
+    out = {c: (q1 - k * (q3 - q1), q3 + k * (q3 - q1)) for c, (q1, q3) in got.items()}
     return out
 
 

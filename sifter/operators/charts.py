@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sifter.functions.cols import missing, safe_double, try_timestamp, truncate_label
-from sifter.functions.order import quantiles, with_ordinal
+from sifter.functions.order import with_ordinal
+from sifter.functions.quantile import quantiles
 
 BINS = 10
 MAX_VISIBLE_TICKS = 12

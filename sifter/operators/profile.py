@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sifter.functions.cache import persisted
 from sifter.functions.cols import missing, norm_field_expr, safe_double
-from sifter.functions.order import quantiles
+from sifter.functions.quantile import column_quantiles
 from sifter.operators.reshape import (
     CATEGORY_FIELDS, DATE_FIELDS, NUMERIC_FIELDS, TARGET_FIELD, analysis_frame,
     chart_context, resolve_fields,
@@ -47,16 +47,19 @@ def numeric_summary(af: DataFrame, fields: Sequence[str] = NUMERIC_FIELDS,
         return af.sparkSession.createDataFrame([], "field string, count long, missing long, "
                                                "min double, max double, mean double, "
                                                "median double, std double")
-    long = _long(af, labels, lambda l: safe_double(F.col(f"`{l}`"), af.schema[l].dataType))
-    v = F.col("value")
-    basic = long.groupBy("field").agg(
-        F.count(v).alias("count"),
-        (F.count(F.lit(1)) - F.count(v)).alias("missing"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"))
-    med = quantiles(long, "value", [0.5], ["field"], names=["median"], accuracy=accuracy) \
-        .select("field", "median")
-    out = basic.join(med, "field", "left")
+    cols = {l: safe_double(F.col(f"`{l}`"), af.schema[l].dataType) for l in labels}
+    aggs = []
+    for i, v in enumerate(cols.values()):
+        aggs += [F.count(v).alias(f"n{i}"), F.count(F.lit(1)).alias(f"r{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+        if accuracy != "exact":
+            aggs.append(F.percentile_approx(v, 0.5, 10_000).alias(f"q{i}"))
+    one = af.agg(*aggs).first()
+    median = ({l: q[0] for l, (_, q) in column_quantiles(af, cols, [0.5]).items()} if accuracy == "exact"
+              else {l: one[f"q{i}"] for i, l in enumerate(labels)})
+    rows = [(l, one[f"n{i}"], one[f"r{i}"] - one[f"n{i}"], one[f"lo{i}"], one[f"hi{i}"], one[f"m{i}"], median.get(l), one[f"s{i}"])
+            for i, l in enumerate(labels) if one[f"r{i}"]]
+    out = af.sparkSession.createDataFrame(rows, "field string, count long, missing long, min double, max double, mean double, median double, std double")
     return out.select("field", "count", "missing",
                       *[F.round(c, DIGITS).alias(c) for c in ("min", "max", "mean", "median")],
                       F.round(F.when(F.col("count") > 1, F.col("std")), DIGITS).alias("std"))

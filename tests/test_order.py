@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sifter.functions.order import exact_quantiles, quantiles, running_total, with_ordinal
+from sifter.functions.order import running_total, with_ordinal
+from sifter.functions.quantile import column_quantiles, quantiles
 
 
 def test_ordinal_dense_and_ordered(spark):
@@ -35,7 +36,7 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
     grp = np.where(np.arange(len(vals)) % 3 == 0, "x", "y")
     df = spark.createDataFrame(pd.DataFrame({"g": grp, "v": vals}))
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, "v", probs, ["g"], num_partitions=6).toPandas().set_index("g")
+    got = quantiles(df, "v", probs, ["g"]).toPandas().set_index("g")
     for g in ("x", "y"):
         x = vals[(grp == g) & ~np.isnan(vals)]
         for i, p in enumerate(probs):
@@ -45,23 +46,28 @@ def test_exact_quantiles_match_numpy_with_hot_value(spark):
 
 def test_quantiles_single_value_and_approx(spark):
     df = spark.createDataFrame([(5.0,)], "v double")
-    r = exact_quantiles(df, "v", [0.25, 0.75]).first()
+    r = quantiles(df, "v", [0.25, 0.75]).first()
     assert r["q_0_25"] == 5.0 and r["q_0_75"] == 5.0 and r["n"] == 1
     a = quantiles(spark.range(1001).select(F.col("id").cast("double").alias("v")), "v", [0.5],
                   accuracy="approx").first()
     assert abs(a["q_0_5"] - 500) <= 1
 
 
-def test_builtin_and_distributed_agree(spark):
+def test_quantiles_of_ties_few_values_and_wide_columns(spark):
     rng = np.random.default_rng(5)
-    pdf = pd.DataFrame({"g": rng.integers(0, 4, 2000).astype(str),
-                        "v": np.round(rng.exponential(size=2000), 2)})
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, 4000).astype(str), "two": np.repeat([1.0, 2.0], 2000),
+                        "v": np.round(rng.exponential(size=4000), 2), "none": np.full(4000, np.nan),
+                        "hot": np.where(np.arange(4000) % 3 == 0, 7.0, rng.normal(size=4000))})
     df = spark.createDataFrame(pdf)
-    probs = [0.25, 0.5, 0.75]
-    a = quantiles(df, "v", probs, ["g"], accuracy="builtin").toPandas().set_index("g").sort_index()
-    b = quantiles(df, "v", probs, ["g"], accuracy="distributed").toPandas().set_index("g").sort_index()
-    c = quantiles(df, "v", probs, ["g"]).toPandas().set_index("g").sort_index()
-    assert (a == b).all().all() and (a == c).all().all()
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = column_quantiles(df, {c: F.when(F.isnan(c), None).otherwise(F.col(c)) for c in ("two", "v", "none", "hot")}, probs)
+    assert set(got) == {"two", "v", "hot"}
+    for c, (n, q) in got.items():
+        assert n == 4000 and np.allclose(q, np.quantile(pdf[c], probs), atol=1e-12)
+    for c in ("two", "v", "hot"):
+        by = quantiles(df, c, probs, ["g"]).toPandas().set_index("g")
+        for g, part in pdf.groupby("g"):
+            assert np.allclose(by.loc[g].to_numpy()[1:], np.quantile(part[c], probs), atol=1e-12)
 
 
 def test_release_unpersists(spark):
@@ -74,41 +80,8 @@ def test_release_unpersists(spark):
     assert df.count() == 100  # still computable from lineage after release
 
 
-def test_bracketed_matches_numpy(spark):
-    from sifter.functions.order import bracketed_quantiles
-    rng = np.random.default_rng(11)
-    vals = np.concatenate([rng.normal(size=20000), np.full(8000, 0.3)])
-    grp = np.where(np.arange(len(vals)) % 4 == 0, "a", "b")
-    df = spark.createDataFrame(pd.DataFrame({"g": grp, "v": vals}))
-    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = bracketed_quantiles(df, "v", probs, ["g"], accuracy=1000)
-    assert got is not None
-    got = got.toPandas().set_index("g")
-    for g in ("a", "b"):
-        x = vals[grp == g]
-        for p in probs:
-            assert abs(got.loc[g, f"q_{str(p).replace('.', '_')}"] - np.quantile(x, p)) < 1e-12
-    one = bracketed_quantiles(df, "v", [0.5], accuracy=1000).first()
-    assert abs(one["q_0_5"] - np.quantile(vals, 0.5)) < 1e-12 and one["n"] == len(vals)
-
-
 def test_running_total_buckets_ungrouped_with_ties_in_values(spark):
     pdf = pd.DataFrame({"s": np.round(np.linspace(0, 1, 3001), 3), "c": np.arange(3001) % 7})
     df = spark.createDataFrame(pdf)
     out = running_total(df, ["s"], ["c"], num_partitions=16).toPandas().sort_values("s")
     assert (out["before_c"].to_numpy() == (pdf["c"].cumsum() - pdf["c"]).to_numpy()).all()
-
-
-def test_bracketed_spread_ranking(spark, monkeypatch):
-    from sifter.functions import order
-    monkeypatch.setattr(order, "WINDOW_ROWS", 0)  # force the running-total ranking
-    rng = np.random.default_rng(12)
-    vals = rng.exponential(size=6000)
-    grp = np.where(np.arange(6000) % 2 == 0, "a", "b")
-    df = spark.createDataFrame(pd.DataFrame({"g": grp, "v": vals}))
-    got = order.bracketed_quantiles(df, "v", [0.1, 0.5], ["g"], accuracy=500)
-    assert got is not None
-    got = got.toPandas().set_index("g")
-    for g in ("a", "b"):
-        assert abs(got.loc[g, "q_0_5"] - np.quantile(vals[grp == g], 0.5)) < 1e-12
-        assert abs(got.loc[g, "q_0_1"] - np.quantile(vals[grp == g], 0.1)) < 1e-12

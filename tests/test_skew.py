@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from sifter.functions.order import quantiles, with_ordinal
+from sifter.functions.order import with_ordinal
+from sifter.functions.quantile import quantiles
 from sifter.operators import metrics, validate
 from sifter.operators.kmeans import KMeansModel
 
@@ -31,14 +32,13 @@ def test_duplicates_hot_key(spark):
     assert all("_sifter_pid" in line for line in plan.split("\n") if "Window [" in line)
 
 
-def test_quantile_hot_value_both_plans(spark):
+def test_quantile_hot_value(spark):
     rng = np.random.default_rng(1)
     vals = np.concatenate([np.full(N // 3, 7.0), rng.normal(size=2 * N // 3)])
     df = spark.createDataFrame(pd.DataFrame({"v": vals}))
-    for acc in ("builtin", "distributed"):
-        r = quantiles(df, "v", [0.1, 0.5, 0.9], accuracy=acc).first()
-        assert abs(r["q_0_5"] - np.quantile(vals, 0.5)) < 1e-12
-        assert abs(r["q_0_9"] - np.quantile(vals, 0.9)) < 1e-12
+    r = quantiles(df, "v", [0.1, 0.5, 0.9]).first()
+    assert abs(r["q_0_5"] - np.quantile(vals, 0.5)) < 1e-12
+    assert abs(r["q_0_9"] - np.quantile(vals, 0.9)) < 1e-12
 
 
 def test_roc_auc_hot_score(spark):
