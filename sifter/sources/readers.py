@@ -47,18 +47,27 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None,
-             infer_schema: bool = True, header: bool = True, **options) -> DataFrame:
+             infer_schema: bool = True, header: bool = True, multiline: bool | None = None, **options) -> DataFrame:
     """A1/A2: header CSV (or TSV with ``sep='\\t'``).
 
+    A doubled quote inside quotes is one quote.  ``multiline`` (one task per
+    file, for line breaks inside quotes) is looked up when it isn't given:
+    only a table with an odd number of quotes on some line needs it.
+
     Without ``encoding`` the files are classified with ``detect_encodings``
     and each group is read with its charset (cp1252 needs
     ``spark.sql.legacy.javaCharsets``)."""
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
+        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
     def reader(enc: str):
         if enc == "cp1252":
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         r = spark.read.option("header", str(header).lower()).option("sep", sep) \
             .option("inferSchema", str(infer_schema).lower()) \
-            .option("encoding", SPARK_CHARSET.get(enc, enc))
+            .option("encoding", SPARK_CHARSET.get(enc, enc)) \
+            .option("escape", '"').option("multiLine", str(multiline).lower())
         for k, v in options.items():
             r = r.option(k, v)
         return r
@@ -83,8 +92,16 @@ def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
 
 # ---------------------------------------------------------------- A3-A5
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True, **options) -> DataFrame:
-    """A3: a top-level array of objects (or one object per file)."""
+def read_json(spark: SparkSession, path: str, multiline: bool | None = None, **options) -> DataFrame:
+    """A3: arrays of objects, single objects over several lines, or JSON Lines.
+
+    Without ``multiline`` the lines decide: if every non-blank line is an
+    object of its own the table is read line by line (and splits into many
+    tasks), otherwise a file is one value."""
+    if multiline is None:
+        lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> ''")
+        whole = F.col("v").rlike(r"^\{.*\}$") & F.json_object_keys("v").isNotNull()
+        multiline = not lines.where(~F.coalesce(whole, F.lit(False))).isEmpty()
     r = spark.read.option("multiLine", str(multiline).lower())
     for k, v in options.items():
         r = r.option(k, v)
@@ -153,9 +170,8 @@ def detect_formats(spark: SparkSession, path: str) -> DataFrame:
 
     First 4 bytes hold ``{`` or ``[`` -> json; ``PAR1`` -> parquet; ``PK`` and
     a workbook suffix -> excel; else the first line has a comma -> csv, a tab
-    -> tsv, otherwise text.  Only a bounded head of each file is looked at."""
-    files = spark.read.format("binaryFile").load(path).select(
-        "path", F.substring("content", 1, 4096).alias("head"))
+    -> tsv, otherwise text.  The whole first line counts, however long."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("head"))
     head4 = F.substring("head", 1, 4)
     first_line = F.substring_index(F.decode(F.col("head"), "ISO-8859-1"), "\n", 1)
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
@@ -195,6 +211,11 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
         from sifter.sources.workbook import read_workbooks
         return read_workbooks(spark, path)
     if fmt == "sql":
+        if path.startswith("sql://"):
+            _, schema, table = parse_sql_path(path)
+            options = {"schema": schema, "table": table} | options
+        if not options.get("url"):
+            raise ValueError("a SQL source needs the url of its database")
         return read_jdbc(spark, **options)
     raise ValueError(f"Unsupported data format: {fmt}")
 

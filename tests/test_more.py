@@ -20,7 +20,10 @@ def test_run_dataset_from_catalog(spark, tmp_dir):  # K2, A13, A14
     import pytest
     with pytest.raises(KeyError):
         pipeline.run_dataset(spark, "nope", catalog, os.path.join(tmp_dir, "s"))
-    assert routing.catalog_frame(spark, routing.DATASET_CATALOG).count() == 5
+    row = routing.catalog_frame(spark, catalog).first()
+    assert (row["dataset_id"], row["source_name"], row["source_location"]) == ("local_orders", "local_orders", src)
+    assert routing.register_catalog(spark, catalog | {"gone": {"path": src + ".no", "format": "csv"}}) == ["gone"]
+    assert spark.table("local_orders").count() == 2
 
 
 def test_flatten_with_metadata(spark):  # B11

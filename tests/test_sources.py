@@ -86,7 +86,7 @@ def test_sql_path_rules():  # A7
             readers.parse_sql_path(bad)
 
 
-def test_routing():  # A8, A12, A14
+def test_routing(spark):  # A8, A12, A14
     assert routing.object_store_path("acct", "raw", "csv/a.csv") == \
         "abfss://raw@acct.dfs.core.windows.net/csv/a.csv"
     assert routing.format_from_suffix("a.xlsm") == "xlsx"
@@ -98,10 +98,34 @@ def test_routing():  # A8, A12, A14
     with pytest.raises(ValueError):
         routing.route(None, "local", cfg)
     assert routing.route("sql://a/b/c") == ("sql", "sql://a/b/c")
-    meta = routing.dataset_metadata("sales_sql", routing.DATASET_CATALOG["sales_sql"])
-    assert meta["source_location"] == "sql://Northwind/dbo/Orders"
-    meta2 = routing.dataset_metadata("x", {"source_type": "blob", "path": "c/p.csv"})
+    assert routing.route("/abs/a.csv", None, cfg)[1] == "/abs/a.csv"
+    assert routing.route("s3a://b/a.csv", None, cfg)[1] == "s3a://b/a.csv"
+    spec = {"source_type": "sql", "database": "shop", "schema": "dbo", "table": "Orders", "jdbc_url": "jdbc:x"}
+    assert routing.dataset_metadata(spark, "orders", spec)["source_location"] == "sql://shop/dbo/Orders"
+    assert routing.resolve_source(spec) == ("sql", "sql://shop/dbo/Orders", {"url": "jdbc:x"})
+    meta2 = routing.dataset_metadata(spark, "x", {"source_type": "blob", "path": "c/p.csv"})
     assert meta2["source_name"] == "x" and meta2["source_location"] == "c/p.csv"
+    assert routing.resolve_source({"path": "c/p.csv"}, cfg)[1] == "abfss://c@acct.dfs.core.windows.net/p.csv"
+    with pytest.raises(ValueError):
+        readers.load(spark, "sql://shop/dbo/Orders")  # no url
+
+
+def test_json_lines_arrays_and_objects(spark, tmp_dir):  # A3
+    for name, text, n in (("l", "\n".join('{"a": %d, "b": "{x}"}' % i for i in range(1000)) + "\n\n", 1000),
+                          ("a", '[\n{"a": 1, "b": "x"},\n{"a": 2, "b": "y"}\n]', 2), ("o", '{\n"a": 1,\n"b": "x"\n}', 1),
+                          ("one", '[{"a": 1, "b": "}"}, {"a": 2, "b": "{"}]', 2)):
+        path = os.path.join(tmp_dir, f"{name}.json")
+        _write(path, text.encode())
+        assert readers.load(spark, path).select("a", "b").count() == n, name
+
+
+def test_csv_quotes_and_long_first_lines(spark, tmp_dir):  # A1, A10
+    path = os.path.join(tmp_dir, "q.csv")
+    _write(path, b'name,amount\n"a ""b"", c",1\n"two\nlines",2\n')
+    assert [tuple(r) for r in readers.read_csv(spark, path).orderBy("amount").collect()] == [('a "b", c', 1), ("two\nlines", 2)]
+    long = os.path.join(tmp_dir, "long.csv")
+    _write(long, b"x" * 6000 + b",y\n1,2\n")
+    assert readers.detect_format(spark, long) == "csv" and readers.load(spark, long).count() == 1
 
 
 def test_store_round_trip(spark, tmp_dir):  # FX8, A15-A20
