@@ -108,7 +108,11 @@ class IsolationForestModel(Detector):
     def fit(self, df: DataFrame) -> "IsolationForestModel":
         spark = df.sparkSession
         ship_package(spark)  # trees are grown in Python workers
-        train = df.select(self._present(df).alias("x")).where(F.col("x").isNotNull())
+        # a row's number hashes its key, so samples don't depend on partitions
+        key = [c for c in ("entity_id", "timestamp") if c in df.columns] or [
+            f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+        x = self._present(df)
+        train = df.select(x.alias("x"), F.xxhash64(*[F.col(f"`{c}`") for c in key], x).alias("rid")).where(F.col("x").isNotNull())
         n = train.count()
         if n == 0:
             self.fitted = False
@@ -118,8 +122,8 @@ class IsolationForestModel(Detector):
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
         # 1. bounded candidate pool, then per-tree membership by hash
         frac = min(1.0, self.oversample * self.n_trees * psi / n)
-        cand = train.sample(False, frac, self.seed) if frac < 1.0 else train
-        cand = cand.withColumn("rid", F.monotonically_increasing_id())
+        drawn = F.pmod(F.xxhash64(F.lit(self.seed + 1), "rid"), F.lit(1 << 40)) < F.lit(math.ceil(frac * (1 << 40)))
+        cand = train.where(drawn)
         n_cand = max(1, int(min(n, self.oversample * self.n_trees * psi)))
         p_keep = min(1.0, 2.0 * psi / n_cand) if n_cand > psi else 1.0
         thr = min(int(p_keep * 2.0 ** 63), 2 ** 63 - 1)  # hashes are uniform on [0, 2^63)

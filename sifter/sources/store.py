@@ -78,7 +78,9 @@ def load(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
             df = reader.json(path)
         else:
             df = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise  # an unreadable store is not an empty one
         return spark.createDataFrame([], CANONICAL_SCHEMA)
     if "entity_id" not in df.columns:  # an empty JSON store has no inferred columns
         return spark.createDataFrame([], CANONICAL_SCHEMA)
@@ -90,7 +92,9 @@ def load(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
 def _sidecar_schema(spark: SparkSession, path: str):
     try:
         row = spark.read.text(f"{path.rstrip('/')}/{SCHEMA_SIDECAR}").first()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return T.StructType.fromJson(json.loads(row[0])) if row else None
 

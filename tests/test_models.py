@@ -55,3 +55,15 @@ def test_isolation_forest_rate_and_determinism(spark):
 def test_c_factor():
     assert c_factor(1) == 0.0 and c_factor(2) == 1.0
     assert abs(c_factor(256) - 10.244770920116851) < 1e-9
+
+
+def test_isolation_forest_does_not_depend_on_partitions(spark):
+    from sifter.operators.forest import IsolationForestModel
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("entity_id"), F.lit("t").alias("timestamp"),
+                                    F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("value"))
+    flags = []
+    for n in (2, 7):  # more rows than candidates: 4 * 5 * 16
+        df = rows.repartition(n)
+        m = IsolationForestModel(n_trees=5, max_samples=16).fit(df)
+        flags.append({r["entity_id"] for r in m.transform(df).where("is_anomaly").collect()})
+    assert flags[0] == flags[1] and flags[0]

@@ -144,6 +144,10 @@ def test_store_round_trip(spark, tmp_dir):  # FX8, A15-A20
         store.reset(spark, path, fmt)
         assert store.load(spark, path, fmt).count() == 0
     assert store.load(spark, os.path.join(tmp_dir, "missing"), "json").count() == 0
+    os.makedirs(os.path.join(tmp_dir, "odd"))
+    _write(os.path.join(tmp_dir, "odd", "x.txt"), b"no parquet")
+    with pytest.raises(Exception):
+        store.load(spark, os.path.join(tmp_dir, "odd"), "parquet")
     with pytest.raises(ValueError):
         store.save(c, os.path.join(tmp_dir, "x"), "xml")
     assert store.metadata(c).first()["record_count"] == 2
