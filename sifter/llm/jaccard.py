@@ -344,16 +344,21 @@ def _join_region(rule: Rule):
 
 # --- regions across tasks -----------------------------------------------------------
 
-def regions(pts: DataFrame) -> DataFrame:
-    """(region, id, n, odd, coords): every point in the regions of its pivots.  A
-    pivot's number is its rank key; two points share a key only with a
-    probability of about 2**-56 per pair, which merges two regions."""
-    key = F.shiftleft(F.col("odd").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("id"), 8))
-    keyed = pts.withColumn("key", key)
-    entry = keyed.select("key", F.explode("first").alias("s"))
+def _key():
+    """A set's rank key: the most central sets first, then by their hash."""
+    return F.shiftleft(F.col("odd").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("n", "sig_a", "sig_b"), 8))
+
+
+def regions(pts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(region, id, n, odd, coords): every class of equal sets in the regions of
+    its pivots.  The key is a function of the set, so the copies of a text fall
+    together in the aggregations and their long rows need no shuffle before.
+    Two classes share a key only with a probability of about 2**-56 per pair,
+    which merges two regions."""
+    entry = pts.select(_key().alias("key"), F.explode("first").alias("s"))
     pivot = entry.groupBy("s").agg(F.min("key").alias("region"), F.count("*").alias("c")).where("c > 1").drop("c")
     member = entry.join(pivot, "s").groupBy("region", "key").agg(F.lit(1).alias("one")).drop("one")
-    return member.join(keyed.select("key", "id", "n", "odd", "coords"), "key").drop("key")
+    return member.join(classes.select(_key().alias("key"), F.col("rep").alias("id"), "n", "odd", "coords"), "key").drop("key")
 
 
 def _thinned(members: DataFrame, rule: Rule) -> DataFrame:
@@ -421,9 +426,9 @@ def _block_pairs(members: DataFrame, heavy: DataFrame, limit: int) -> DataFrame:
     return rows.select(pair.alias("region"), "id", "n", "odd")
 
 
-def links(docs: DataFrame, pts: DataFrame, rule: Rule, region_shingles: int, levels: int) -> DataFrame:
-    """(u, v) ids that connect all linked points of (id, n, odd, first)."""
-    found = written(regions(pts), "regions")
+def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, rule: Rule, region_shingles: int, levels: int) -> DataFrame:
+    """(u, v) representatives that connect all linked classes of equal sets."""
+    found = written(regions(pts, classes), "regions")
     heavy = written(_heavy(found, region_shingles), "heavy").select("region")
     members = written(_thinned(found.join(heavy, "region", "left_anti"), rule).unionByName(
         found.join(heavy, "region", "left_semi").drop("coords")), "regions")
@@ -453,9 +458,10 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     pts = written(points(source, rule), "points")
     usable = pts.where((F.col("n") > 0) & F.col("id").isNotNull())
     sets = ["n", "sig_a", "sig_b"]
-    same = written(usable.groupBy(*sets).agg(F.min("id").alias("rep")), "classes")
-    reps = usable.join(same.withColumnRenamed("rep", "id"), ["id", *sets], "left_semi").drop("sig_a", "sig_b")
-    found = links(source.where("id is not null"), reps, rule, region_shingles, levels)
+    # odd and coords are functions of the set, so they ride along as keys
+    classes = written(usable.groupBy(*sets, "odd", "coords").agg(F.min("id").alias("rep")), "classes")
+    same = classes.select(*sets, "rep")
+    found = links(source.where("id is not null"), usable, classes, rule, region_shingles, levels)
     # rows that share an id tie the classes of their sets together
     tied = written(usable.select("id", *sets).join(same, sets).select("id", "rep"), "members")
     several = tied.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
