@@ -9,11 +9,7 @@ partitions (plus the number of groups, when grouped).
 * ``with_ordinal``   -- 0-based position in a total order (JVM only).
 * ``running_total``  -- exclusive prefix sums of value columns in key order
   (the prefix inside a partition is a vectorised ``mapInPandas`` step).
-* ``quantiles``      -- linear-interpolated quantiles per group, exact by
-  default, computed from value counts so a value repeated in a third of all
-  rows is a single row before anything moves; the plan (single-pass
-  built-in ``percentile`` or the distributed running count) is chosen from
-  the exact distinct count per group.
+* ``value_counts``   -- the count of each distinct value per group.
 """
 
 from __future__ import annotations
@@ -47,20 +43,27 @@ def _range_sorted(df: DataFrame, keys: Sequence, num_partitions: int | None) ->
 def _key_buckets(df: DataFrame, key: str, n: int, out: str) -> DataFrame:
     """Add ``out``: the index of the key range (cut at ``percentile_approx``
     bounds, at most n ranges) holding each row.  Deterministic, so every
-    branch of a plan that recomputes it agrees."""
+    branch of a plan that recomputes it agrees.
+
+    Null keys sort first and NaN keys last.  Their rows are ties, so each kind
+    is spread over n ranges of its own by a hash of the row."""
     from pyspark.ml.feature import Bucketizer
     kd = "_sifter_key"
     keyed = df.withColumn(kd, F.col(key).cast("double"))
+    usable = F.when(~F.isnan(kd) & (F.abs(kd) < F.lit(math.inf)), F.col(kd))
     probs = [i / n for i in range(1, n)]
-    bounds = keyed.agg(F.percentile_approx(kd, probs, max(10_000, 10 * n)).alias("b")).first()["b"] \
+    bounds = keyed.agg(F.percentile_approx(usable, probs, max(10_000, 10 * n)).alias("b")).first()["b"] \
         if probs else []
     cuts = sorted({float(b) for b in (bounds or []) if b is not None})  # at most n - 1 values
-    if not cuts:  # one distinct key (or none): a single range
-        return df.withColumn(out, F.when(F.col(key).isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)))
+    # no cuts: one distinct key (or none), a single range
     ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=kd, outputCol=out,
-                        handleInvalid="keep").transform(keyed).drop(kd)
-    # a null key sorts first (NULLS FIRST) and must still meet its offset row
-    return ranged.withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
+                        handleInvalid="keep").transform(keyed) if cuts else keyed.withColumn(out, F.lit(0.0))
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields
+                if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    spread = F.pmod(F.xxhash64(*hashable), F.lit(n)).cast("double")
+    return ranged.withColumn(out, F.when(F.col(kd).isNull(), spread - n)
+                             .when(F.isnan(kd), spread + len(cuts) + 1)
+                             .otherwise(F.col(out))).drop(kd)
 
 
 def with_ordinal(df: DataFrame, order_by: Sequence, name: str = "record_index",

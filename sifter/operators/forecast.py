@@ -30,10 +30,12 @@ def _future(spark, steps: int, values_expr) -> DataFrame:
 
 
 def linear_trend(records: DataFrame, order_by: Sequence[str], steps: int = 5,
-                 value: str = "value") -> DataFrame:
+                 value: str = "value", actual: str | None = None) -> DataFrame:
     """OLS of value on position 0..n-1 over the present values (in
     order); fitted rows for those values and ``steps`` future rows, all
-    rounded to 4.  No values -> no rows; one value -> error."""
+    rounded to 4.  No values -> no rows; one value -> error.  ``actual`` names
+    an extra column with the observed value (null on future rows)."""
+    seen = f", {actual} double" if actual else ""
     v = nan_to_null(F.col(value), records.schema[value].dataType)
     present = records.where(v.isNotNull()).withColumn(value, v)
     indexed = with_ordinal(present, order_by, name="_x")
@@ -44,7 +46,7 @@ def linear_trend(records: DataFrame, order_by: Sequence[str], steps: int = 5,
     spark = records.sparkSession
     if n == 0:
         return spark.createDataFrame([], "entity_id string, timestamp string, value double, "
-                                         "is_anomaly boolean, anomaly_score double")
+                                         "is_anomaly boolean, anomaly_score double" + seen)
     if n < 2 or fit["slope"] is None:
         raise ValueError("Linear trend needs at least two values")
     slope, icpt = float(fit["slope"]), float(fit["icpt"])
@@ -57,9 +59,10 @@ def linear_trend(records: DataFrame, order_by: Sequence[str], steps: int = 5,
         F.col("entity_id").cast("string").alias("entity_id"),
         F.col("timestamp").cast("string").alias("timestamp"),
         pred(F.col("_x").cast("double")).alias("value"),
-        F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("anomaly_score"))
+        F.lit(False).alias("is_anomaly"), F.lit(None).cast("double").alias("anomaly_score"),
+        *([F.col(value).cast("double").alias(actual)] if actual else []))
     future = _future(spark, steps, pred((F.col("id") + F.lit(n - 1)).cast("double")))
-    return fitted.unionByName(future)
+    return fitted.unionByName(future, allowMissingColumns=True)
 
 
 def moving_average(records: DataFrame, order_by: Sequence[str], steps: int = 5,

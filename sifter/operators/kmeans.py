@@ -2,63 +2,32 @@
 
 Missing values count as 0.0; k = max(1, min(n_clusters, n)); a row's score
 is its distance to its own centre (rounded to 6); the threshold is mean +
-2 * population std of the fit distances; flag when strictly above.  The
-model is the best (lowest inertia) of ``n_init`` k-means++ starts refined
-with Lloyd iterations.
+2 * population std of the distances; flag when strictly above.
 
-Spark plan:
-* the data is one-dimensional, so the model is fitted on the distinct values
-  weighted by their counts (same objective; a value held by a third of all
-  rows is one weighted point), persisted once;
-* all ``n_init`` starts run *together*: every k-means++ seeding step and
-  every Lloyd iteration is ONE aggregation over the weighted points that
-  updates every start at once (sums per start and cluster), so the number
-  of Spark jobs is the number of iterations, not n_init times it;
-* k-means++ draws a point with probability proportional to w * D(x)^2 by
-  an exponential race: key = -ln(u) / (w * D^2) with u a per-(start, step,
-  point) hash uniform, and ``min_by(x, key)`` picks the winner;
-* each Lloyd step assigns points with a ``Bucketizer`` over the midpoints
-  between a start's sorted centres (the centres enter as data, so every
-  iteration reuses one compiled plan);
-* scoring is a closed-form nearest-centre expression over at most ``k``
-  literal centres -- no vector assembly, no UDF.
+The centres come from ``pyspark.ml.clustering.KMeans`` on the distinct values
+weighted by their counts (same objective; a value held by a third of all rows
+is one weighted point): the fit with the least cost of ``n_init`` seeds.
+Scoring is a closed-form nearest-centre expression over at most ``k`` literal
+centres, without vectors or a UDF.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifter.functions.cache import persisted
 from sifter.functions.cols import nan_to_null
 from sifter.operators.anomaly import Detector
 
 
-def _uniform(seed: int, run: int, step: int):
-    """A uniform draw in (0, 1) per point, reproducible from the seed."""
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(run), F.lit(step), F.col("x")), 11)
-    return (h.cast("double") + F.lit(0.5)) / F.lit(float(2 ** 53))
-
-
-def _nearest(x, centres):
-    """(index, distance) of the nearest centre; ties go to the lower index."""
-    best_i, best_d = F.lit(0), F.abs(x - F.lit(centres[0]))
-    for i, c in enumerate(centres[1:], start=1):
-        d = F.abs(x - F.lit(c))
-        closer = d < best_d
-        best_i = F.when(closer, F.lit(i)).otherwise(best_i)
-        best_d = F.when(closer, d).otherwise(best_d)
-    return best_i, best_d
-
-
 @dataclass
 class KMeansModel(Detector):
     n_clusters: int = 3
-    n_init: int = 10
+    n_init: int = 3
     seed: int = 42
     max_iter: int = 300
     tol: float = 1e-4
@@ -73,119 +42,34 @@ class KMeansModel(Detector):
 
     # -------------------------------------------------------------- fit
     def fit(self, df: DataFrame) -> "KMeansModel":
-        pts = (df.select(self._x(df).alias("x")).groupBy("x")
-               .agg(F.count(F.lit(1)).cast("double").alias("w"))
-               .transform(persisted))
-        st = pts.agg(F.sum("w").alias("n"),
-                     (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("m")).first()
-        n = int(st["n"] or 0)
-        if n == 0:
-            self.fitted, self.centres = False, []
-            pts.unpersist()
+        st = df.select(self._x(df).alias("x")).agg(F.count("x").alias("n"), F.avg("x").alias("m")).first()
+        self.fitted, self.centres = False, []
+        if not st["n"]:
             return self
-        var = pts.agg((F.sum(F.col("w") * (F.col("x") - F.lit(st["m"])) ** 2) / F.sum("w"))
-                      .alias("v")).first()["v"] or 0.0
-        k = max(1, min(self.n_clusters, n))
-        runs = list(range(self.n_init))
-        centres = self._seed(pts, runs, k)
-        centres, _ = self._lloyd(pts, centres, k, self.tol * var)
-        # exact inertia of every start in one pass (the sums used inside the
-        # iterations can lose precision when the spread is small)
-        exact = pts.agg(*[F.sum(F.col("w") * _nearest(F.col("x"), centres[r])[1] ** 2)
-                          .alias(f"c{r}") for r in runs]).first()
-        best = min(runs, key=lambda r: (exact[f"c{r}"], r))
-        self.centres = sorted(centres[best])
-        # threshold from the fit distances (weighted by the point counts)
-        dist = _nearest(F.col("x"), self.centres)[1]
-        mean = pts.agg((F.sum(dist * F.col("w")) / F.sum("w")).alias("m")).first()["m"]
-        pvar = pts.agg((F.sum(F.col("w") * (dist - F.lit(mean)) ** 2) / F.sum("w")).alias("v")) \
-            .first()["v"]
-        std = math.sqrt(pvar) if (n > 1 and pvar and pvar > 0) else 0.0
-        self.threshold = mean + 2 * std
-        self.fitted = True
-        pts.unpersist()
+        k = max(1, min(self.n_clusters, int(st["n"])))
+        self.centres = [st["m"]] if k == 1 else self._centres(df, k)
+        return self.calibrate(df)
+
+    def _centres(self, df: DataFrame, k: int) -> list[float]:
+        points = df.select(self._x(df).alias("x")).groupBy("x").agg(F.count("*").cast("double").alias("w"))
+        points = VectorAssembler(inputCols=["x"], outputCol="v").transform(points)
+        fits = [KMeans(k=k, seed=self.seed + i, maxIter=self.max_iter, tol=self.tol,
+                       featuresCol="v", weightCol="w").fit(points) for i in range(self.n_init)]
+        best = min(fits, key=lambda m: m.summary.trainingCost)
+        return sorted(float(c[0]) for c in best.clusterCenters())
+
+    def calibrate(self, df: DataFrame) -> "KMeansModel":
+        """The threshold of the given centres from the distances in ``df``."""
+        d = self._distance(self._x(df))
+        st = df.agg(F.avg(d).alias("m"), F.stddev_pop(d).alias("s")).first()
+        self.fitted = st["m"] is not None
+        self.threshold = (st["m"] or 0.0) + 2 * (st["s"] or 0.0)
         return self
 
-    def _seed(self, pts: DataFrame, runs, k: int) -> dict:
-        """k-means++ for every start at once: one aggregation per step."""
-        centres = {r: [] for r in runs}
-        for step in range(k):
-            picks = []
-            for r in runs:
-                u = _uniform(self.seed, r, step)
-                if step == 0:
-                    weight = F.col("w")
-                else:
-                    d2 = None
-                    for c in centres[r]:
-                        e = (F.col("x") - F.lit(c)) ** 2
-                        d2 = e if d2 is None else F.least(d2, e)
-                    weight = F.col("w") * d2
-                key = F.when(weight > 0, -F.log(u) / weight)
-                picks.append(F.min_by("x", key).alias(f"c{r}"))
-            row = pts.agg(*picks).first()
-            for r in runs:
-                c = row[f"c{r}"]
-                # every remaining point coincides with a centre: repeat one
-                centres[r].append(c if c is not None else centres[r][-1])
-        return centres
-
-    def _lloyd(self, pts: DataFrame, centres: dict, k: int, tol_shift: float):
-        """Lloyd iterations for every start at once.
-
-        In one dimension the nearest centre is decided by the midpoints
-        between sorted centres, so each start's assignment is a
-        ``Bucketizer`` over those midpoints (a binary search; the centres
-        enter as data, not as literals, so every iteration reuses the same
-        generated code).  One aggregation per iteration returns, per start
-        and cluster, the sums of w, w*x and w*x^2: new centres and each
-        start's inertia follow from them on the driver."""
-        runs = list(centres)
-        active = set(runs)
-        costs = {r: math.inf for r in runs}
-        wide = pts.select("x", "w", *[F.col("x").alias(f"x{r}") for r in runs])
-        aggs = []
-        for r in runs:
-            for j in range(k):
-                inj = F.col(f"b{r}") == F.lit(float(j))
-                aggs += [F.sum(F.when(inj, F.col("w"))).alias(f"w{r}_{j}"),
-                         F.sum(F.when(inj, F.col("w") * F.col("x"))).alias(f"s{r}_{j}"),
-                         F.sum(F.when(inj, F.col("w") * F.col("x") * F.col("x"))).alias(f"q{r}_{j}")]
-        for _ in range(self.max_iter + 1):
-            splits = []
-            for r in runs:
-                cs = sorted(centres[r])
-                mids = [(a + b) / 2.0 for a, b in zip(cs, cs[1:])]
-                # equal centres give equal midpoints: keep splits strictly increasing
-                mids = [m for i, m in enumerate(mids) if i == 0 or m > mids[i - 1]]
-                splits.append([-math.inf, *mids, math.inf])
-                centres[r] = cs
-            bucket = Bucketizer(splitsArray=splits, inputCols=[f"x{r}" for r in runs],
-                                outputCols=[f"b{r}" for r in runs])
-            row = bucket.transform(wide).agg(*aggs).first()
-            for r in runs:
-                cost, new = 0.0, []
-                for j in range(k):
-                    w, sx, sxx = row[f"w{r}_{j}"], row[f"s{r}_{j}"], row[f"q{r}_{j}"]
-                    c = centres[r][j] if j < len(centres[r]) else centres[r][-1]
-                    if w:
-                        cost += sxx - 2.0 * c * sx + c * c * w
-                        new.append(sx / w)
-                    else:
-                        new.append(c)
-                costs[r] = max(cost, 0.0)
-                if r in active:
-                    shift = max((a - b) ** 2 for a, b in zip(sorted(new), centres[r]))
-                    centres[r] = sorted(new)
-                    if shift <= tol_shift:
-                        active.discard(r)
-            if not active:
-                break
-        return centres, costs
-
     # -------------------------------------------------------------- transform
     def _distance(self, x):
-        return _nearest(x, self.centres)[1]
+        gaps = [F.abs(x - F.lit(float(c))) for c in self.centres]
+        return F.least(*gaps) if len(gaps) > 1 else gaps[0]
 
     def transform(self, df: DataFrame) -> DataFrame:
         if not self.fitted:

@@ -90,7 +90,7 @@ def split_valid(canon: DataFrame) -> tuple[DataFrame, DataFrame]:
 def batch_validation(canon: DataFrame) -> tuple[DataFrame, DataFrame]:
     """C4: one-row totals and the invalid rows ``(record_index, errors)``.
 
-    ``canon`` must carry ``record_index`` (see ``with_ordinal``)."""
+    The rows carry ``record_index`` if ``canon`` does (see ``with_ordinal``)."""
     checked = validate(canon)
     invalid = F.col("status") == "invalid"
     totals = checked.agg(
@@ -98,7 +98,7 @@ def batch_validation(canon: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.count_if(~invalid).alias("valid_records"),
         F.count_if(invalid).alias("invalid_records"),
     ).withColumn("status", F.when(F.col("invalid_records") > 0, "invalid").otherwise("valid"))
-    rows = checked.where(invalid).select("record_index", "errors")
+    rows = checked.where(invalid).select(*[c for c in ("record_index", "errors") if c in checked.columns])
     return totals, rows
 
 

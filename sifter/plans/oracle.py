@@ -141,7 +141,65 @@ fit AS (SELECT count(*) AS n, regr_slope(y, CAST(x AS DOUBLE)) AS slope,
                regr_intercept(y, CAST(x AS DOUBLE)) AS icpt FROM t)"""
 
 
+GAPPY = """gappy AS (
+  SELECT l_orderkey AS entity_id, l_shipdate AS order_date, l_extendedprice AS sales,
+         CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END AS quantity,
+         CASE WHEN l_orderkey % 4 <> 1 THEN l_discount END AS discount,
+         CASE WHEN l_orderkey % 5 <> 1 THEN l_returnflag END AS category,
+         l_extendedprice * (0.1 - l_discount) AS profit
+  FROM lineitem)"""
+
+
 ORACLE: dict[str, str] = {
+    "derived_metrics_gaps": f"""
+WITH {GAPPY}
+SELECT entity_id, {ISO('order_date')} AS timestamp,
+       CAST((entity_id IS NOT NULL)::INT + (sales IS NOT NULL)::INT + (quantity IS NOT NULL)::INT
+            + (discount IS NOT NULL)::INT + (profit IS NOT NULL)::INT AS BIGINT) AS feature_count,
+       {RND('coalesce(CAST(entity_id AS DOUBLE), 0) + coalesce(sales, 0) + coalesce(quantity, 0) + coalesce(discount, 0) + coalesce(profit, 0)')} AS feature_sum
+FROM gappy""",
+
+    "missing_by_field": f"WITH {GAPPY} " + " UNION ALL ".join(
+        f"SELECT '{label}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS missing FROM gappy"
+        for label, c in (("Sales", "sales"), ("Profit", "profit"), ("Quantity", "quantity"),
+                         ("Discount", "discount"), ("Category", "category"), ("Order Date", "order_date"))),
+
+    "complete_pairs": f"""
+WITH {GAPPY}
+SELECT entity_id AS order_id, discount, category FROM gappy
+WHERE discount IS NOT NULL AND category IS NOT NULL""",
+
+    "sanitized": f"""
+SELECT event_id, CASE WHEN event_id % 11 NOT IN (4, 5) AND NOT isnan(value) THEN {RND('value', 2)} END AS value
+FROM events""",
+
+    "usable_records": f"""
+WITH {DIRTY}
+SELECT CAST(entity_id AS VARCHAR) AS entity_id, timestamp, value FROM dirty
+WHERE value IS NOT NULL AND NOT isnan(value)""",
+
+    "required_fields": """
+SELECT event_id, event_id % 7 <> 3 AND event_id % 9 <> 2 AND event_id % 5 <> 1
+       AND ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL AS complete
+FROM events""",
+
+    "flatten_metadata": f"""
+SELECT event_id AS entity_id, {ISO('ts')} AS timestamp, event_type, value, props,
+       CASE WHEN event_id % 2 = 0 THEN event_type END AS meta_kind,
+       CASE WHEN event_id % 2 <> 0 THEN {ISO('ts')} END AS meta_seen
+FROM events""",
+
+    "forecast_summary": """
+SELECT count(*) + 5 AS total_records, CAST(0 AS BIGINT) AS anomaly_count FROM events""",
+
+    "kmeans_scores": f"""
+WITH d AS (SELECT event_id, value, least(abs(x), abs(x - 50.0), abs(x - 100.0)) AS dist
+           FROM (SELECT event_id, value, CASE WHEN value IS NULL OR isnan(value) THEN 0.0 ELSE value END AS x
+                 FROM events)),
+t AS (SELECT avg(dist) + 2 * stddev_pop(dist) AS level FROM d)
+SELECT event_id AS entity_id, value, dist > level AS is_anomaly, {RND('dist', 6)} AS anomaly_score
+FROM d, t""",
+
     "adapt_canonical": f"""
 SELECT o_orderkey AS entity_id, {ISO('o_orderdate')} AS timestamp, o_custkey, o_orderstatus,
        o_totalprice, o_orderpriority, CAST(0 AS INTEGER) AS metadata_size

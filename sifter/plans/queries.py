@@ -47,14 +47,15 @@ def indexed_events(spark, d, columns=None) -> DataFrame:
     return with_ordinal(ev.select(*columns) if columns else ev, ["event_id"])
 
 
-def dirty_events(spark, d) -> DataFrame:
+def dirty_events(spark, d, index: bool = True) -> DataFrame:
     """Events with defects injected: missing id (id % 7 = 0), missing time
     (id % 7 = 3), NaN value (id % 11 = 4), null event_type (id % 5 = 1),
-    null props (id % 9 = 2).  ``record_index`` is kept alongside."""
-    ev = indexed_events(spark, d)
+    null props (id % 9 = 2).  ``record_index`` is kept alongside unless
+    ``index`` is false."""
+    ev = indexed_events(spark, d) if index else table(spark, d, "events")
     i = F.col("event_id")
     return ev.select(
-        "record_index",
+        *(["record_index"] if index else []),
         F.when(i % 7 == 0, None).otherwise(i).alias("event_id"),
         F.when(i % 7 == 3, None).otherwise(F.col("ts")).alias("event_time"),
         "user_id",
@@ -63,8 +64,8 @@ def dirty_events(spark, d) -> DataFrame:
         F.when(i % 9 == 2, None).otherwise(F.col("props")).alias("props"))
 
 
-def dirty_canonical(spark, d) -> DataFrame:
-    return reshape.adapt(dirty_events(spark, d), keep=["record_index"])
+def dirty_canonical(spark, d, index: bool = True) -> DataFrame:
+    return reshape.adapt(dirty_events(spark, d, index), keep=["record_index"] if index else [])
 
 
 def hourly_events(spark, d) -> DataFrame:
@@ -149,7 +150,7 @@ def q_first_numeric_value(spark, d):
 
 
 def q_feature_dataset(spark, d):
-    canon = dirty_canonical(spark, d)
+    canon = dirty_canonical(spark, d, index=False)
     recs = reshape.model_records(canon)
     _, counts = reshape.feature_dataset(recs)
     return counts
@@ -172,11 +173,11 @@ def q_validate_records(spark, d):
 
 
 def q_invalid_reasons(spark, d):
-    return validate.invalid_reason_counts(validate.validate(dirty_canonical(spark, d)))
+    return validate.invalid_reason_counts(validate.validate(dirty_canonical(spark, d, index=False)))
 
 
 def q_batch_validation(spark, d):
-    totals, _ = validate.batch_validation(dirty_canonical(spark, d))
+    totals, _ = validate.batch_validation(dirty_canonical(spark, d, index=False))
     return totals
 
 
@@ -264,7 +265,7 @@ def q_top_values(spark, d):
 
 
 def q_missing_by_column(spark, d):
-    return profile.missing_by_column(reshape.flatten(dirty_canonical(spark, d).drop("record_index")))
+    return profile.missing_by_column(reshape.flatten(dirty_canonical(spark, d, index=False)))
 
 
 def q_shape(spark, d):
@@ -374,12 +375,8 @@ def q_future_rows(spark, d):
 
 
 def q_regression_metrics(spark, d):
-    recs = order_series(spark, d)
-    fitted = forecast.linear_trend(recs, ["entity_id"], steps=0) \
-        .select(F.col("entity_id").alias("_e"), F.col("value").alias("prediction"))
-    pairs = recs.select(F.col("entity_id").cast("string").alias("_e"), "value") \
-        .join(fitted, "_e")
-    return metrics.regression_metrics(pairs, "value", "prediction")
+    fitted = forecast.linear_trend(order_series(spark, d), ["entity_id"], steps=0, actual="actual")
+    return metrics.regression_metrics(fitted, "actual", "value")
 
 
 def q_classification_metrics(spark, d):
@@ -411,7 +408,7 @@ def q_isolation_forest(spark, d):
 
 
 def q_validation_report(spark, d):
-    totals, _ = validate.batch_validation(dirty_canonical(spark, d))
+    totals, _ = validate.batch_validation(dirty_canonical(spark, d, index=False))
     return validate.validation_report(totals)
 
 
@@ -453,7 +450,85 @@ def q_column_iqr(spark, d):
     return flagged.select("o_orderkey", "o_totalprice", "is_anomaly")
 
 
+# ---------------------------------------------------------------- rows with gaps
+
+def gappy_sales(spark, d) -> DataFrame:
+    """Line items with gaps: null quantity (order % 3 = 0), NaN discount
+    (order % 4 = 1), null category (order % 5 = 1)."""
+    i = F.col("order_id")
+    return sales_raw(spark, d).select(
+        "order_id", "order_date", "sales",
+        F.when(i % 3 != 0, F.col("quantity")).alias("quantity"),
+        F.when(i % 4 == 1, F.lit(float("nan"))).otherwise(F.col("discount")).alias("discount"),
+        F.when(i % 5 != 1, F.col("category")).alias("category"), "profit")
+
+
+def q_derived_metrics_gaps(spark, d):
+    out = reshape.derived_metrics(reshape.flatten(reshape.adapt(gappy_sales(spark, d))))
+    return out.select("entity_id", "timestamp", "feature_count",
+                      F.round("feature_sum", 4).alias("feature_sum"))
+
+
+def q_missing_by_field(spark, d):
+    flat = reshape.flatten(reshape.adapt(gappy_sales(spark, d)))
+    return profile.missing_by_field(reshape.analysis_frame(flat))
+
+
+def q_complete_pairs(spark, d):
+    raw = gappy_sales(spark, d).select("order_id", "discount", "category")
+    return validate.drop_missing_pairs(raw, ["discount", "category"])
+
+
+def q_sanitized(spark, d):
+    i, v = F.col("event_id"), F.col("value")
+    raw = table(spark, d, "events").select(
+        "event_id", F.when(i % 11 == 4, F.lit(float("nan"))).when(i % 11 == 5, F.lit(float("-inf"))).otherwise(v).alias("value"))
+    return validate.sanitize(raw, 2)
+
+
+def q_usable_records(spark, d):
+    return reshape.keep_usable(reshape.model_records(dirty_canonical(spark, d, index=False)))
+
+
+def q_required_fields(spark, d):
+    i = F.col("event_id")
+    entries = F.create_map(
+        F.lit("timestamp"), F.when(i % 7 != 3, F.col("ts").cast("string")),
+        F.lit("source"), F.when(i % 9 != 2, F.col("user_id").cast("string")),
+        F.lit("event_type"), F.when(i % 5 != 1, F.col("event_type")))
+    raw = table(spark, d, "events").select("event_id", F.map_filter(entries, lambda k, v: v.isNotNull()).alias("record"))
+    return raw.select("event_id", validate.required_fields_present().alias("complete"))
+
+
+def q_flatten_metadata(spark, d):
+    ev = table(spark, d, "events").withColumnRenamed("ts", "event_time")
+    meta = F.when(F.col("entity_id") % 2 == 0, F.create_map(F.lit("kind"), F.col("features.event_type"))) \
+        .otherwise(F.create_map(F.lit("seen"), F.col("timestamp")))
+    return reshape.flatten_with_metadata(reshape.adapt(ev).withColumn("metadata", meta))
+
+
+def q_forecast_summary(spark, d):
+    return forecast.forecast_summary(
+        forecast.moving_average(event_series(spark, d), ["entity_id"], steps=5, window=2))
+
+
+def q_kmeans_scores(spark, d):
+    from sifter.operators.kmeans import KMeansModel
+    recs = event_series(spark, d)
+    out = KMeansModel(centres=[0.0, 50.0, 100.0]).calibrate(recs).transform(recs)
+    return out.select("entity_id", "value", "is_anomaly", "anomaly_score")
+
+
 QUERIES = {
+    "derived_metrics_gaps": q_derived_metrics_gaps,
+    "missing_by_field": q_missing_by_field,
+    "complete_pairs": q_complete_pairs,
+    "sanitized": q_sanitized,
+    "usable_records": q_usable_records,
+    "required_fields": q_required_fields,
+    "flatten_metadata": q_flatten_metadata,
+    "forecast_summary": q_forecast_summary,
+    "kmeans_scores": q_kmeans_scores,
     "adapt_canonical": q_adapt_canonical,
     "flatten_canonical": q_flatten_canonical,
     "derived_metrics": q_derived_metrics,
