@@ -27,7 +27,7 @@ from sifter.operators.anomaly import Detector
 @dataclass
 class KMeansModel(Detector):
     n_clusters: int = 3
-    n_init: int = 3
+    n_init: int = 10
     seed: int = 42
     max_iter: int = 300
     tol: float = 1e-4
