@@ -325,7 +325,7 @@ FROM c, d""",
 
     "entity_lookup": f"""
 WITH {HOURLY}
-SELECT record_index, entity_id, timestamp, value FROM hourly WHERE entity_id = 42""",
+SELECT entity_id, timestamp, value FROM hourly WHERE entity_id = 42""",
 
     "cleaning_audit": f"""
 WITH {HOURLY},

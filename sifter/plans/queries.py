@@ -68,18 +68,20 @@ def dirty_canonical(spark, d, index: bool = True) -> DataFrame:
     return reshape.adapt(dirty_events(spark, d, index), keep=["record_index"] if index else [])
 
 
-def hourly_events(spark, d) -> DataFrame:
+def hourly_events(spark, d, index: bool = True) -> DataFrame:
     """Events keyed by (user, hour): natural repeated keys for F2, with the
     same missing-key rule as ``dirty_events``."""
-    ev = indexed_events(spark, d, ["event_id", "ts", "user_id", "event_type", "value"])
+    columns = ["event_id", "ts", "user_id", "event_type", "value"]
+    ev = indexed_events(spark, d, columns) if index else table(spark, d, "events").select(*columns)
     i = F.col("event_id")
+    kept = ["record_index"] if index else []
     raw = ev.select(
-        "record_index",
+        *kept,
         F.when(i % 7 == 0, None).otherwise(F.col("user_id")).alias("user_id"),
         F.when(i % 7 == 3, None).otherwise(F.date_trunc("hour", "ts")).alias("event_hour"),
         "event_type", "value")
     roles = reshape.Roles(["user_id"], ["event_hour"], ["event_type", "value"])
-    return reshape.to_canonical(raw, roles, keep=["record_index"])
+    return reshape.to_canonical(raw, roles, keep=kept)
 
 
 def order_series(spark, d) -> DataFrame:
@@ -232,9 +234,9 @@ def q_quality_report(spark, d):
 
 
 def q_entity_lookup(spark, d):
-    canon = hourly_events(spark, d)
+    canon = hourly_events(spark, d, index=False)
     return validate.entity_lookup(canon, 42).select(
-        "record_index", "entity_id", "timestamp", F.col("features.value").alias("value"))
+        "entity_id", "timestamp", F.col("features.value").alias("value"))
 
 
 def q_cleaning_audit(spark, d):

@@ -16,6 +16,20 @@ def test_ordinal_dense_and_ordered(spark):
     assert all(r["record_index"] == int(r["s"]) for r in out)
 
 
+def test_ordinal_with_null_nan_and_infinite_keys(spark):
+    key = (F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, float("nan"))
+           .when(F.col("id") == 5, float("inf")).when(F.col("id") == 2, float("-inf"))
+           .otherwise(F.col("id").cast("double")))
+    df = spark.range(0, 3000).select("id", key.alias("k"))
+    out = with_ordinal(df, ["k"], num_partitions=7).orderBy("record_index").collect()
+    assert [r["record_index"] for r in out] == list(range(3000))
+    assert all(r["k"] is None for r in out[:1000]) and all(np.isnan(r["k"]) for r in out[2000:])
+    middle = [r["k"] for r in out[1000:2000]]
+    assert middle == sorted(middle) and middle[0] == -np.inf and middle[-1] == np.inf
+    odd = df.where("k is null or isnan(k)")  # no cuts at all
+    assert sorted(r["record_index"] for r in with_ordinal(odd, ["k"], num_partitions=4).collect()) == list(range(2000))
+
+
 def test_running_total_groups_span_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
     pdf = pd.DataFrame({"g": np.repeat(["a", "b", "c"], [400, 3, 700]),

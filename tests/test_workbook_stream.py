@@ -3,9 +3,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from sifter.operators import anomaly, reshape
+from sifter.operators import anomaly, reshape, validate
 from sifter.sources import readers, workbook
-from sifter import streaming
 
 WB = """<?xml version="1.0" encoding="UTF-8"?>
 <workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -55,12 +54,13 @@ def test_stream_validate_and_flag(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     ev.withColumnRenamed("ts", "event_time").repartition(3).write.parquet(src)
-    raw = streaming.read_stream(spark, src, spark.read.parquet(src).schema)
-    checked = streaming.validated_stream(raw)
+    raw = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
+    checked = validate.validate(reshape.adapt(raw))
     recs = reshape.first_numeric_value(checked).select("entity_id", "timestamp", "value", "status")
-    flagged = streaming.scored_stream(recs, anomaly.ThresholdModel(threshold=100.0))
+    flagged = anomaly.ThresholdModel(threshold=100.0).transform(recs)
     out = os.path.join(tmp_dir, "out")
-    q = streaming.write_stream(flagged, out, os.path.join(tmp_dir, "ckpt"), trigger_once=True)
+    q = (flagged.writeStream.option("checkpointLocation", os.path.join(tmp_dir, "ckpt"))
+         .trigger(availableNow=True).start(out))
     q.awaitTermination(120)
     res = spark.read.parquet(out)
     assert res.count() == ev.count()
