@@ -9,10 +9,11 @@ spans are of the whole match):
 
 The method adds what a decoder confirms:
 
-* ``key``: a base64 or hex run (base64 may go on over lines) that decodes to a
-  private key: DER whose nested lengths all add up and whose fields are those
-  of a PKCS#1, PKCS#8 or EC key, or an OpenSSH container whose length-prefixed
-  fields fill it
+* ``key``: a base64 or hex run (base64 may go on over lines, also over escaped
+  line breaks) that decodes to a private key: DER whose nested lengths all add
+  up and whose fields are those of a PKCS#1, PKCS#8 or EC key, or an OpenSSH
+  container of length-prefixed fields.  The key's own lengths say where it
+  ends, so what follows the run doesn't matter
 * ``jwt``: three base64url parts whose header is a JSON object with an
   algorithm and whose payload is a JSON object
 
@@ -39,7 +40,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so the length may stand in the pattern
 _NAMES = ("password", "passwd", "secret", "token", "api")
 
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-P]|b3Bl)[A-Za-z0-9+/_-]{28,}(?:\r?\n[A-Za-z0-9+/_-]{4,})*={0,2}")
+# a key starts its run, or follows an armour line or an escaped break
+_START = r"(?:(?<![A-Za-z0-9+/_-]{0})|(?<=-----{0})|(?<=\\[nrt]{0}))"
+_DER = re.compile(r"M(?:[A-H]|I(?=[E-T]))" + _START.format(".."))
+_OPENSSH = re.compile("b3BlbnNzaC1rZXktdjEA" + _START.format("." * 20))
+_LINE = re.compile(r"(?:[A-Za-z0-9+/_]|-(?!----))+")  # up to the dashes of an armour line
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|\\+r\\+n|\\+n)[ \t]*")
+_LEAST = 22  # bytes
 _HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6f70656e7373682d|6F70656E7373682D)[0-9A-Fa-f]{46,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(ey[A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
@@ -55,31 +62,50 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _decoded(run: str, is_hex: bool) -> bytes | None:
-    try:
-        if is_hex:
-            return bytes.fromhex(run[:len(run) // 2 * 2])
-        body = re.sub(r"[\r\n=]", "", run)
-        return base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None, validate=True)
-    except (ValueError, binascii.Error):
+def _gather(text: str, at: int, n: int) -> tuple[str, int]:
+    """Up to ``n`` base64 digits from ``at`` on over line breaks, and the end of the last."""
+    parts, have, end = [], 0, at
+    while have < n and (m := _LINE.match(text, at)):
+        stop = min(m.end(), at + n - have)
+        parts.append(text[at:stop])
+        have, end = have + stop - at, stop
+        if have == n or not (gap := _BREAK.match(text, end)):
+            break
+        at = gap.end()
+    return "".join(parts), end
+
+
+def _digits(n_bytes: int) -> int:
+    return -(-n_bytes * 4 // 3)
+
+
+def _unbase64(body: str) -> bytes:
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4), altchars=b"-_" if "-" in body or "_" in body else None, validate=True)
+
+
+def _head(data: bytes, at: int) -> tuple[int, int, int] | None:
+    """(tag, size, where the content starts) of the field at ``at``."""
+    if at + 2 > len(data):
+        return None
+    tag, size = data[at], data[at + 1]
+    at += 2
+    if size == 0x80 or size > 0x84:
         return None
+    if size > 0x80:
+        n = size - 0x80
+        size, at = int.from_bytes(data[at:at + n], "big"), at + n
+    return tag, size, at
 
 
 def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
     """(tag, content) of the fields that fill ``data`` exactly, or None."""
     fields, at = [], 0
     while at < len(data):
-        if at + 2 > len(data):
-            return None
-        tag, size = data[at], data[at + 1]
-        at += 2
-        if size == 0x80 or size > 0x84:
-            return None
-        if size > 0x80:
-            n = size - 0x80
-            size, at = int.from_bytes(data[at:at + n], "big"), at + n
-        if at + size > len(data):
+        head = _head(data, at)
+        if head is None or head[2] + head[1] > len(data):
             return None
+        tag, size, at = head
         fields.append((tag, data[at:at + size]))
         at += size
     return fields
@@ -105,31 +131,96 @@ def is_der_key(data: bytes) -> bool:
     return len(tags) >= 2 and tags[1] == _OCTETS and parts[0][1] == b"\x01" and len(parts[1][1]) in (28, 32, 48, 66)
 
 
-def is_openssh_key(data: bytes) -> bool:
+def der_extent(data: bytes) -> int | None:
+    """Bytes of the sequence that ``data`` begins, if a key's version number comes first in it."""
+    outer = _head(data, 0)
+    version = outer and _head(data, outer[2])
+    if not version or outer[0] != _SEQUENCE or version[:2] != (_INTEGER, 1) or data[version[2]:version[2] + 1] not in (b"\x00", b"\x01"):
+        return None
+    return outer[2] + outer[1]
+
+
+def openssh_extent(data: bytes) -> tuple[int, bool] | None:
     """Magic, three length-prefixed names, a key count and that many public
-    parts and one private part, up to the end."""
+    parts and one private part: bytes up to the end of the last part, True; or
+    if ``data`` stops before that is known, the bytes needed to go on, False."""
     magic = b"openssh-key-v1\x00"
     if not data.startswith(magic):
-        return False
+        return None
     at, left = len(magic), 3
     keys = None
     while True:
         if at + 4 > len(data):
-            return False
+            return at + 4, False
         size = int.from_bytes(data[at:at + 4], "big")
         at += 4
         if left == 0 and keys is None:
             keys = size
             left = keys + 1
             if not 1 <= keys <= 64:
-                return False
+                return None
             continue
         at += size
         left -= 1
-        if at > len(data):
-            return False
         if left == 0 and keys is not None:
-            return at == len(data)
+            return at, True
+
+
+def is_openssh_key(data: bytes) -> bool:
+    """An OpenSSH container that fills ``data``."""
+    return openssh_extent(data) == (len(data), True)
+
+
+def _openssh_size(text: str, start: int, limit: int) -> tuple[int | None, int]:
+    """Bytes of the container at ``start``; or None and, if its run is too short, the run's end."""
+    want = 512
+    while True:
+        body, end = _gather(text, start, want)
+        extent = openssh_extent(_unbase64(body))
+        if extent is None or extent[1]:
+            return extent and extent[0], 0
+        if len(body) < want or start + _digits(extent[0]) > limit:
+            return None, end if len(body) < want else 0
+        want = max(2 * want, _digits(extent[0]))
+
+
+def _base64_keys(text: str) -> list[tuple[str, int, int]]:
+    """Keys in base64; after a failed start the search goes on right behind it."""
+    out = []
+    for pattern, is_key in ((_DER, is_der_key), (_OPENSSH, is_openssh_key)):
+        at, dry = 0, 0  # the run that ends at ``dry`` was too short once
+        while m := pattern.search(text, at):
+            start, at = m.start(), m.end()
+            limit = dry if start < dry else len(text)
+            if is_key is is_der_key:
+                size = der_extent(_unbase64(_gather(text, start, 24)[0]))
+            else:
+                size, end = _openssh_size(text, start, limit)
+                dry = max(dry, end)
+            n = _digits(size or 0)
+            if not size or size < _LEAST or start + n > limit:
+                continue
+            body, end = _gather(text, start, n)
+            if len(body) < n:
+                dry = end
+            elif is_key(_unbase64(body)[:size]):
+                for _ in range(-n % 4):
+                    gap = _BREAK.match(text, end)
+                    pad = gap.end() if gap else end
+                    end = pad + 1 if text[pad:pad + 1] == "=" else end
+                out.append(("key", start, end))
+                at = end
+    return out
+
+
+def _hex_keys(text: str) -> list[tuple[str, int, int]]:
+    out = []
+    for m in _HEX_ANY.finditer(text):
+        data = bytes.fromhex(m[0][:len(m[0]) // 2 * 2])
+        size = der_extent(data) or (openssh_extent(data) or (0, False))[0]
+        if _LEAST <= size <= len(data) and (is_der_key(data[:size]) or is_openssh_key(data[:size])):
+            out.append(("key", m.start(), m.start() + 2 * size))
+    return out
 
 
 def _json(part: str) -> dict | None:
@@ -142,12 +233,7 @@ def _json(part: str) -> dict | None:
 
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """What decoding and parsing confirm."""
-    out = []
-    for pattern, is_hex in ((_BASE64, False), (_HEX_ANY, True)):
-        for m in pattern.finditer(text):
-            data = _decoded(m[0], is_hex)
-            if data and (is_der_key(data) or is_openssh_key(data)):
-                out.append(("key", *m.span()))
+    out = _base64_keys(text) + _hex_keys(text)
     if "ey" in text:
         for m in _JWT.finditer(text):
             header = _json(m[1])

@@ -142,6 +142,29 @@ def test_structural_confirmation_of_keys_and_tokens():
     assert not secrets.confirmed_spans("eyJhbGciOi.eyJ.abc")
 
 
+def test_keys_of_every_length_in_armour_and_before_prose():
+    name = lambda b: len(b).to_bytes(4, "big") + b
+    pkcs8 = lambda n: tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, b"\xfb" * n)))
+    openssh = lambda n: b"openssh-key-v1\0" + name(b"none") * 2 + name(b"") + (1).to_bytes(4, "big") + name(b"pub") + name(b"p" * n)
+    keys = [pkcs8(n) for n in range(32, 32 + 200)] + [openssh(n) for n in range(80, 80 + 200)]
+    assert {len(k) % 48 for k in keys[:200]} == {len(k) % 48 for k in keys[200:]} == set(range(48))
+    for key in keys:
+        for encode in (base64.b64encode, base64.urlsafe_b64encode):
+            plain = encode(key).decode()
+            for brk in ("\n", "\r\n", "\\n", "\\r\\n", "\n  "):
+                body = brk.join(plain[i:i + 64] for i in range(0, len(plain), 64))
+                for before, after in ((f"-----BEGIN PRIVATE KEY-----{brk}", f"{brk}-----END PRIVATE KEY-----{brk}"), ("-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"),
+                                      ("see ", f"{brk}Then some prose"), ('{"k": "', '"}'), ("", brk + body)):
+                    spans = secrets.confirmed_spans(before + body + after)
+                    assert spans[0] == ("key", len(before), len(before + body)), (len(key), before, brk)
+                    assert len(spans) == 1 + after.endswith(body)
+        cut = base64.b64encode(key[:-3 - len(key) % 3]).decode()  # what the armour line says doesn't fill a gap
+        assert not secrets.confirmed_spans("\n".join(["-----BEGIN PRIVATE KEY-----", cut, "-----END PRIVATE KEY-----"]))
+    key = base64.b64encode(pkcs8(32)).decode()
+    assert secrets.confirmed_spans("MIIEMAAA\n" + key) == [("key", 9, 9 + len(key))]  # behind a start that fails
+    assert secrets.confirmed_spans(f"{pkcs8(32).hex()}00ff") == [("key", 0, 2 * len(pkcs8(32)))]
+
+
 def test_base_spans_equal_the_stated_patterns(spark):
     patterns = {"assign": (re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
                 "access": (re.compile("AKIA[A-Z0-9]+"), 0, 18), "hex": (re.compile("[0-9a-f]+"), 0, 16)}
