@@ -2,9 +2,10 @@
 
 ``binaryFile`` lists the workbooks; ``mapInPandas`` opens one workbook per
 row with the standard library (zip + XML) and emits its first sheet as long
-cells ``(path, row, col, value)``; Spark pivots the cells back into a table
-whose header is the sheet's first row, then types each column (numbers when
-every present value parses).  No third-party spreadsheet library is needed.
+cells ``(path, row, col, name, head, value)``, where ``name`` is the header of
+the cell's column in its own sheet's first row; Spark pivots the cells back
+into a table by name, then types each column (numbers when every present value
+parses).  No third-party spreadsheet library is needed.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from sifter.session import ship_package
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
       "rel": "http://schemas.openxmlformats.org/package/2006/relationships"}
-CELL_SCHEMA = "path string, row int, col int, value string"
+CELL_SCHEMA = "path string, row int, col int, name string, head boolean, value string"
 
 
 def _col_index(ref: str) -> int:
@@ -76,12 +77,20 @@ def first_sheet_cells(content: bytes) -> Iterator[tuple[int, int, str | None]]:
                 yield r_num, col, val
 
 
+def _named_cells(path: str, content: bytes) -> pd.DataFrame:
+    """The first sheet's cells, each with its column's name from the sheet's first row."""
+    cells = list(first_sheet_cells(content))
+    first = min((r for r, _, _ in cells), default=0)
+    header = {c: v for r, c, v in cells if r == first}
+    names = clean_headers([header.get(i) for i in range(max((c for _, c, _ in cells), default=-1) + 1)])
+    return pd.DataFrame([(path, r, c, names[c], r == first, v) for r, c, v in cells],
+                        columns=["path", "row", "col", "name", "head", "value"])
+
+
 def _explode_workbooks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = []
         for path, content in zip(pdf["path"], pdf["content"]):
-            rows.extend((path, r, c, v) for r, c, v in first_sheet_cells(bytes(content)))
-        yield pd.DataFrame(rows, columns=["path", "row", "col", "value"])
+            yield _named_cells(path, bytes(content))
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -94,20 +103,20 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """First sheet of each workbook -> one table (header = first row).
 
-    Cells are pivoted by (path, row); the header names (one per column, a
-    bounded list) come from each workbook's first row.  A column whose
-    present values all parse as integers becomes long, as numbers double,
-    otherwise string."""
+    Cells are pivoted by (path, row) under the names of their own workbook's
+    first row, so the order of columns may differ between workbooks; a name
+    that a workbook doesn't have is null there.  Columns come in the order of
+    the first workbook (by path) that has them; a column without a header is
+    ``column_{i}``.  A column whose present values all parse as integers
+    becomes long, as numbers double, otherwise string."""
     cells = persisted(workbook_cells(spark, path))
-    first_row = cells.groupBy("path").agg(F.min("row").alias("_h"))
-    header = (cells.join(first_row, "path").where(F.col("row") == F.col("_h"))
-              .groupBy("col").agg(F.first("value", ignorenulls=True).alias("name"))
-              .orderBy("col").collect())  # one row per column
-    cols = [r["col"] for r in header]
-    names = clean_headers([r["name"] for r in header])
-    body = cells.join(first_row, "path").where(F.col("row") > F.col("_h"))
-    table = body.groupBy("path", "row").pivot("col", cols).agg(F.first("value"))
-    table = table.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(cols, names)])
+    header = (cells.where(F.col("head") | F.col("value").isNotNull())
+              .groupBy("name").agg(F.min(F.struct("path", "col")).alias("_at"))
+              .orderBy("_at").collect())  # one row per distinct name
+    names = [r["name"] for r in header]
+    table = (cells.where(~F.col("head")).groupBy("path", "row").pivot("name", names).agg(F.first("value"))
+             .toDF("path", "row", *[f"_{i}" for i in range(len(names))])
+             .select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)]))
     # type each column from one aggregate over all of them
     checks = table.agg(*[F.count_if(F.col(f"`{n}`").isNotNull() & ~F.col(f"`{n}`").rlike(INT_PATTERN))
                          .alias(f"i{i}") for i, n in enumerate(names)],

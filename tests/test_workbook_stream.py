@@ -50,6 +50,39 @@ def test_workbook_first_sheet(spark, tmp_dir):  # A6
     assert readers.load(spark, tmp_dir, "xlsx").count() == 2
 
 
+def _book(path, rows):
+    cell = lambda c, r, v: f'<c r="{"ABCD"[c]}{r}" t="inlineStr"><is><t>{v}</t></is></c>' if v is not None else ""
+    sheet = ('<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+             + "".join(f'<row r="{r}">' + "".join(cell(c, r, v) for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+             + "</sheetData></worksheet>")
+    with zipfile.ZipFile(path, "w") as z:
+        for file, text in (("workbook.xml", WB), ("_rels/workbook.xml.rels", RELS), ("worksheets/sheet1.xml", sheet)):
+            z.writestr(f"xl/{file}", text)
+
+
+def test_workbooks_keep_their_own_headers(spark, tmp_dir):  # A6
+    sheets = {"a.xlsx": [("id", "name"), ("1", "ann"), ("2", "bob")], "b.xlsx": [("name", "id", "city"), ("cy", "3", "Oslo")],
+              "c.xlsx": [("city", None, "id", "id"), ("Rome", "x", "4", "5")]}
+    for file, rows in sheets.items():
+        _book(os.path.join(tmp_dir, file), rows)
+    for parts in ("1b", "128m"):  # each workbook in its own task, or all in one
+        with_parts = spark.newSession()
+        with_parts.conf.set("spark.sql.files.maxPartitionBytes", parts)
+        df = workbook.read_workbooks(with_parts, tmp_dir)
+        assert df.columns == ["id", "name", "city", "column_2", "id_2"]
+        assert sorted(map(tuple, df.collect())) == [(1, "ann", None, None, None), (2, "bob", None, None, None),
+                                                    (3, "cy", "Oslo", None, None), (4, None, "Rome", "x", 5)]
+
+
+def test_one_frame_per_workbook():
+    import io
+
+    import pandas as pd
+    books = [_xlsx(io.BytesIO()).getvalue() for _ in range(3)]
+    frames = list(workbook._explode_workbooks([pd.DataFrame({"path": list("abc"), "content": books})]))
+    assert [set(f["path"]) for f in frames] == [{"a"}, {"b"}, {"c"}]
+
+
 def test_stream_validate_and_flag(spark, tmp_dir):
     src = os.path.join(tmp_dir, "in")
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
