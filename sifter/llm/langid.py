@@ -9,9 +9,16 @@ table of scores per (bucket, language), so a whole text of any length is
 scored with one pass of sums.
 
 A temperature, fitted on a calibration part of the labelled rows, turns the
-softmax into a probability.  A text is rejected if it has no letter or its
-probability is below what all but ``reject_share`` of the calibration
-segments reach.
+softmax into a probability.  As a softmax knows no "none of these", a second
+number says how typical a text is of the learned languages together: the mean
+log frequency of its buckets, as deviations from the calibration segments' mean
+(a deviation has a part per document and a part that falls with the length).
+
+A text is rejected if it has no letter or if its probability or its typicality
+is below what all but ``reject_share`` of the calibration segments reach.  A
+calibration part of fewer than 1 / ``reject_share`` segments doesn't show that
+quantile: then the level is the lowest probability times ``margin`` and the
+lowest deviation carried on by Chebyshev's rule (shares fall with its square).
 """
 
 from __future__ import annotations
@@ -30,10 +37,11 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """About ``sample_rows`` labelled rows, drawn by a hash of their id (twice as
-    many at most, should ids repeat), and one segment of at most
-    ``segment_chars`` characters of each, at a hashed position, are the
-    training data."""
+    """About ``sample_rows`` + ``calibration_rows`` labelled rows, drawn by a hash
+    of their id (twice as many at most, should ids repeat), and one segment of
+    at most ``segment_chars`` characters of each, at a hashed position, are the
+    training data.  ``calibration_share`` of ``sample_rows`` and all rows beyond
+    those are the calibration part."""
 
     sample_rows: int = 4000
     segment_chars: int = 1000
@@ -43,7 +51,10 @@ class Settings:
     epochs: int = 4
     rate: float = 0.5
     calibration_share: float = 0.2
+    calibration_rows: int = 4000
     reject_share: float = 0.0005
+    margin: float = 0.9
+    least_spread: float = 0.01  # variance of a document's mean log frequency, at least
     seed: int = 11
 
 
@@ -81,33 +92,39 @@ def subwords(text: str, settings: Settings) -> tuple[np.ndarray, bool]:
 
 
 class Model:
-    """scores[bucket, language], bias, temperature and the rejection level."""
+    """scores[bucket, language], with log frequencies as a last column; bias,
+    temperature, and the levels of probability and typicality."""
 
     def __init__(self, langs: list[str], settings: Settings):
         self.langs, self.settings = langs, settings
-        self.scores = np.zeros((settings.buckets, len(langs)), np.float32)
+        self.scores = np.zeros((settings.buckets, len(langs) + 1), np.float32)
         self.bias = np.zeros(len(langs))
         self.temperature, self.level = 1.0, 0.0
+        self.mean, self.spread, self.floor = 0.0, (settings.least_spread, 0.0), -math.inf
 
-    def _logits(self, text: str, piece: int = 1 << 18) -> np.ndarray | None:
-        """Mean score over all subwords; a long text is summed piece by piece."""
-        total, count = np.zeros(len(self.langs)), 0
+    def _means(self, text: str, piece: int = 1 << 18) -> tuple[np.ndarray, int] | None:
+        """Mean scores over all subwords and their number; a long text is summed piece by piece."""
+        total, count = np.zeros(len(self.langs) + 1), 0
         for at in range(0, len(text), piece):
             part = text[max(0, at - 3):at + piece]
             buckets, any_letter = subwords(part, self.settings)
             if any_letter and len(buckets):
                 total += self.scores[buckets].sum(axis=0, dtype=np.float64)
                 count += len(buckets)
-        return total / count + self.bias if count else None
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, calibrated probability); ``und`` and 0 without letters."""
-        logits = self._logits(text) if text and self.langs else None
-        if logits is None:
-            return UNKNOWN, 0.0
-        p = _softmax(logits[None, :] / self.temperature)[0]
+        return (total / count, count) if count else None
+
+    def deviation(self, typical: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Mean log frequencies as standard deviations from the calibration mean."""
+        return (typical - self.mean) / np.sqrt(self.spread[0] + self.spread[1] / count)
+
+    def judge(self, text: str | None) -> tuple[str, float, bool]:
+        """(language, calibrated probability, accepted); ``und``, 0, false without letters."""
+        means = self._means(text) if text and self.langs else None
+        if means is None:
+            return UNKNOWN, 0.0, False
+        p = _softmax((means[0][:-1] + self.bias)[None, :] / self.temperature)[0]
         best = int(p.argmax())
-        return self.langs[best], float(p[best])
+        return self.langs[best], float(p[best]), bool(p[best] >= self.level and self.deviation(means[0][-1], means[1]) >= self.floor)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -116,21 +133,33 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
-    """Fit on a bounded list of segments.  With one language or none there is
-    nothing to separate: its probability is 1."""
+    """Fit on a bounded list of segments.  With one language there is nothing
+    to separate: its probability is 1, and only typicality rejects."""
     langs = sorted(set(labels))
     model = Model(langs, settings)
-    if len(langs) < 2:
-        return model
     rng = np.random.default_rng(settings.seed)
     rows = [(b, langs.index(y)) for t, y in zip(texts, labels) for b, any_letter in [subwords(t, settings)] if any_letter]
+    if not rows:
+        return model
     rng.shuffle(rows)
-    n_cal = max(1, int(len(rows) * settings.calibration_share))
+    n_cal = max(1, int(len(rows) * settings.calibration_share), len(rows) - int(settings.sample_rows * (1 - settings.calibration_share)))
     held, used = rows[:n_cal], rows[n_cal:] or rows
-    share = np.bincount([y for _, y in used], minlength=len(langs)).astype(float)
+    if len(langs) > 1:
+        model.scores[:, :-1], model.bias = _fit(used, len(langs), rng, settings)
+    seen = np.full((settings.buckets, len(langs)), 0.5)
+    for buckets, y in used:
+        np.add.at(seen[:, y], buckets, 1)
+    model.scores[:, -1] = np.log((seen / seen.sum(axis=0)).mean(axis=1))
+    _calibrate(model, held)
+    return model
+
+
+def _fit(used: list[tuple[np.ndarray, int]], n_langs: int, rng: np.random.Generator, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and bias by stochastic gradient descent."""
+    share = np.bincount([y for _, y in used], minlength=n_langs).astype(float)
     weight = np.sqrt(share.max(initial=1.0) / np.maximum(share, 1))  # rare languages count for more
     embed = rng.uniform(-1, 1, (settings.buckets, settings.width)) / settings.width
-    layer, bias = np.zeros((settings.width, len(langs))), np.zeros(len(langs))
+    layer, bias = np.zeros((settings.width, n_langs)), np.zeros(n_langs)
     steps, done = settings.epochs * len(used), 0
     for _ in range(settings.epochs):
         for i in rng.permutation(len(used)):
@@ -146,15 +175,29 @@ def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
             bias -= rate * 0.1 * grad
             uniq, times = np.unique(buckets, return_counts=True)
             embed[uniq] -= (rate * times / len(buckets))[:, None] * back * settings.width
-    model.scores, model.bias = (embed @ layer).astype(np.float32), bias
-    logits = np.array([model.scores[b].mean(axis=0) + bias for b, _ in held])
+    return (embed @ layer).astype(np.float32), bias
+
+
+def _calibrate(model: Model, held: list[tuple[np.ndarray, int]]) -> None:
+    """Temperature, spread and both levels from the calibration part."""
+    settings = model.settings
+    means = np.array([model.scores[b].mean(axis=0) for b, _ in held], float)
+    count = np.array([len(b) for b, _ in held], float)
     truth = np.array([y for _, y in held])
+    logits = means[:, :-1] + model.bias
     grid = np.geomspace(0.02, 50, 120)
     loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-300)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
+    model.mean = float(np.average(means[:, -1], weights=count))
+    parts = np.linalg.lstsq(np.c_[np.ones(len(count)), 1 / count], (means[:, -1] - model.mean) ** 2, rcond=None)[0]
+    model.spread = max(settings.least_spread, float(parts[0])), max(0.0, float(parts[1]))
     reached = np.sort(_softmax(logits / model.temperature).max(axis=1))
-    model.level = float(reached[int(settings.reject_share * len(reached))]) * 0.9
-    return model
+    deviation = np.sort(model.deviation(means[:, -1], count))
+    shown = settings.reject_share * len(held)
+    model.level, model.floor = float(reached[int(shown)]), float(deviation[int(shown)])
+    if shown < 1:
+        model.level *= settings.margin
+        model.floor = min(model.floor, -1.0) / math.sqrt(shown)
 
 
 def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), *, id_col: str = "doc_id",
@@ -165,13 +208,14 @@ def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), *, i
     n_pieces = F.greatest(F.lit(1), F.floor(F.length(text_col) / size).cast("int"))
     turn = F.pmod(F.xxhash64(F.lit(settings.seed + 1), id_col), n_pieces).cast("int")
     labelled = docs.where(usable & F.col(lang_col).isNotNull())
-    share = min(1.0, settings.sample_rows / max(1, labelled.select(F.lit(1)).count()))
+    wanted = settings.sample_rows + settings.calibration_rows
+    share = min(1.0, wanted / max(1, labelled.select(F.lit(1)).count()))
     h = F.xxhash64(F.lit(settings.seed), id_col)
     drawn = F.pmod(h, F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
     picked = (labelled.where(drawn & F.col(text_col).isNotNull())
               .select(h.alias("h"), F.col(lang_col).cast("string").alias("y"),
                       F.substring(F.col(text_col), turn * size + 1, size).alias("t"))
-              .limit(2 * settings.sample_rows).collect())
+              .limit(2 * wanted).collect())
     picked.sort(key=lambda r: (r["h"], r["y"], r["t"]))
     return train([r["t"] for r in picked], [r["y"] for r in picked], settings)
 
@@ -187,9 +231,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     @F.pandas_udf("lang_pred string, score double, accepted boolean")
     def classify(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        got = [m.predict(t) for t in texts]
-        return pd.DataFrame({"lang_pred": [x[0] for x in got], "score": [x[1] for x in got],
-                             "accepted": [x[0] != UNKNOWN and x[1] >= m.level for x in got]})
+        return pd.DataFrame([m.judge(t) for t in texts], columns=["lang_pred", "score", "accepted"])
 
     return docs.withColumn("_langid", classify(F.col(text_col)))
 

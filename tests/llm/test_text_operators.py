@@ -80,6 +80,22 @@ def test_language_held_out_accuracy_and_rejection(spark):
     assert langid.identify(odd, nothing).where("_langid.accepted").count() == 0
 
 
+def test_rejection_of_noise_and_of_an_unlearned_language(spark):
+    docs = spark.read.parquet(DOCS.replace("0.001", "0.1") + "/documents.parquet").select("doc_id", "text", "lang").where("doc_id % 2 = 0 or lang != 'de'")
+    new = F.col("lang") == "de"
+    model = langid.learn(docs.where(~new), langid.fold("doc_id", 5) != 0)
+    got = langid.identify(docs.where(langid.fold("doc_id", 5) == 0), model)
+    clean, kept, unlearned, passed = got.agg(*[F.count_if(c) for c in (~new, ~new & F.col("_langid.accepted"), new, new & F.col("_langid.accepted"))]).first()
+    assert clean > 1000 and kept >= 0.995 * clean
+    assert unlearned > 100 and passed <= 0.1 * unlearned
+    rng = random.Random(5)
+    noise = [("".join(rng.choice(letters) for _ in range(rng.randint(60, 2000))),) for letters in (LATIN, "абвгдежзиклмнопр   ") for _ in range(100)]
+    assert langid.identify(spark.createDataFrame(noise, "text string"), model).where("_langid.accepted").count() == 0
+
+
+LATIN = "abcdefghijklmnopqrstuvwxyz     "
+
+
 def contaminated(docs, items, window):
     rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     out = []
