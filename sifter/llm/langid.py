@@ -37,13 +37,15 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Settings:
-    """About ``sample_rows`` + ``calibration_rows`` labelled rows, drawn by a hash
-    of their id (twice as many at most, should ids repeat), and one segment of
-    at most ``segment_chars`` characters of each, at a hashed position, are the
-    training data.  ``calibration_share`` of ``sample_rows`` and all rows beyond
-    those are the calibration part."""
+    """About ``sample_rows`` + ``calibration_rows`` labelled rows, and of each
+    language about ``language_rows`` (or all it has, if fewer), drawn by a hash
+    of id and text, and one segment of at most ``segment_chars`` characters of
+    each, at a hashed position, are the training data.  ``calibration_share`` of
+    ``sample_rows`` and all rows beyond those are the calibration part, but
+    ``language_rows`` of each language train, less their calibration share."""
 
     sample_rows: int = 4000
+    language_rows: int = 200
     segment_chars: int = 1000
     buckets: int = 1 << 16
     width: int = 16
@@ -142,8 +144,15 @@ def train(texts: list[str], labels: list[str], settings: Settings) -> Model:
     if not rows:
         return model
     rng.shuffle(rows)
-    n_cal = max(1, int(len(rows) * settings.calibration_share), len(rows) - int(settings.sample_rows * (1 - settings.calibration_share)))
-    held, used = rows[:n_cal], rows[n_cal:] or rows
+    train_share = 1 - settings.calibration_share
+    share = min(train_share, settings.sample_rows * train_share / len(rows))
+    size = np.bincount([y for _, y in rows], minlength=len(langs))
+    quota = np.ceil(np.maximum(size * share, np.minimum(size, settings.language_rows) * train_share))
+    held, used, taken = [], [], np.zeros(len(langs))
+    for row in rows:
+        taken[row[1]] += 1
+        (used if taken[row[1]] <= quota[row[1]] else held).append(row)
+    held = held or rows
     if len(langs) > 1:
         model.scores[:, :-1], model.bias = _fit(used, len(langs), rng, settings)
     seen = np.full((settings.buckets, len(langs)), 0.5)
@@ -203,19 +212,24 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, int]]) -> None:
 def learn(docs: DataFrame, usable: Column, settings: Settings = Settings(), *, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on the bounded sample of the rows that ``usable`` admits and that
-    have a text and a language."""
+    have a text and a language.  Rows of each language are counted first, so a
+    rare one is learned at every size of the table."""
     size = F.lit(settings.segment_chars)
     n_pieces = F.greatest(F.lit(1), F.floor(F.length(text_col) / size).cast("int"))
     turn = F.pmod(F.xxhash64(F.lit(settings.seed + 1), id_col), n_pieces).cast("int")
-    labelled = docs.where(usable & F.col(lang_col).isNotNull())
-    wanted = settings.sample_rows + settings.calibration_rows
-    share = min(1.0, wanted / max(1, labelled.select(F.lit(1)).count()))
-    h = F.xxhash64(F.lit(settings.seed), id_col)
-    drawn = F.pmod(h, F.lit(1 << 30)) < F.lit(math.ceil(share * (1 << 30)))
-    picked = (labelled.where(drawn & F.col(text_col).isNotNull())
-              .select(h.alias("h"), F.col(lang_col).cast("string").alias("y"),
-                      F.substring(F.col(text_col), turn * size + 1, size).alias("t"))
-              .limit(2 * wanted).collect())
+    lang = F.col(lang_col).cast("string")
+    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counts = labelled.groupBy(lang.alias("y")).count().collect()  # one row per language
+    if not counts:
+        return train([], [], settings)
+    share = (settings.sample_rows + settings.calibration_rows) / sum(r["count"] for r in counts)
+    below = {r["y"]: math.ceil(min(1.0, max(share, settings.language_rows / r["count"])) * (1 << 30)) for r in counts}
+    h = F.xxhash64(F.lit(settings.seed), id_col, text_col)
+    limits = F.create_map(*[F.lit(v) for pair in below.items() for v in pair])
+    wanted = sum(math.ceil(r["count"] * below[r["y"]] / (1 << 30)) for r in counts)
+    picked = (labelled.where(F.pmod(h, F.lit(1 << 30)) < limits[lang])
+              .select(h.alias("h"), lang.alias("y"), F.substring(F.col(text_col), turn * size + 1, size).alias("t"))
+              .limit(2 * wanted).collect())  # repeated rows share a hash
     picked.sort(key=lambda r: (r["h"], r["y"], r["t"]))
     return train([r["t"] for r in picked], [r["y"] for r in picked], settings)
 

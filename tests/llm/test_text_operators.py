@@ -96,6 +96,20 @@ def test_rejection_of_noise_and_of_an_unlearned_language(spark):
 LATIN = "abcdefghijklmnopqrstuvwxyz     "
 
 
+def test_a_rare_language_is_learned_at_every_size(spark):
+    settings = langid.Settings(sample_rows=200, calibration_rows=100, language_rows=20)
+    text = F.when(F.col("lang") == "el", "και το των " * 5).when(F.col("lang") == "de", "der und die " * 5).otherwise("the and of " * 5)
+    for n in (500, 50000):
+        docs = (spark.range(n).withColumnRenamed("id", "doc_id")
+                .withColumn("lang", F.when(F.col("doc_id") < 5, "el").when(F.col("doc_id") % 3 == 0, "de").otherwise("en")).withColumn("text", text))
+        model = langid.learn(docs, F.lit(True), settings)
+        assert model.langs == ["de", "el", "en"]
+        got = langid.identify(docs.where("doc_id < 50"), model).where("lang = _langid.lang_pred and _langid.accepted").count()
+        assert got == 50
+    only = docs.where("doc_id >= 5").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.rand(1).cast("string")))
+    assert langid.learn(only, F.lit(True), settings).langs == ["de", "en"]  # rows without id are drawn as well
+
+
 def contaminated(docs, items, window):
     rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     out = []
