@@ -15,10 +15,11 @@ log frequency of its buckets, as deviations from the calibration segments' mean
 (a deviation has a part per document and a part that falls with the length).
 
 A text is rejected if it has no letter or if its probability or its typicality
-is below what all but ``reject_share`` of the calibration segments reach.  A
-calibration part of fewer than 1 / ``reject_share`` segments doesn't show that
-quantile: then the level is the lowest probability times ``margin`` and the
-lowest deviation carried on by Chebyshev's rule (shares fall with its square).
+is below what all but ``reject_share`` of the calibration segments reach; the
+probability's level is ``margin`` times that, as clean texts of two languages lie
+there.  A calibration part of fewer than 1 / ``reject_share`` segments doesn't
+show that quantile: then both start from the lowest segment, and the deviation
+is carried on by Chebyshev's rule (shares fall with its square).
 """
 
 from __future__ import annotations
@@ -203,9 +204,8 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, int]]) -> None:
     reached = np.sort(_softmax(logits / model.temperature).max(axis=1))
     deviation = np.sort(model.deviation(means[:, -1], count))
     shown = settings.reject_share * len(held)
-    model.level, model.floor = float(reached[int(shown)]), float(deviation[int(shown)])
+    model.level, model.floor = settings.margin * float(reached[int(shown)]), float(deviation[int(shown)])
     if shown < 1:
-        model.level *= settings.margin
         model.floor = min(model.floor, -1.0) / math.sqrt(shown)
 
 
