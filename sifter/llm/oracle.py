@@ -113,3 +113,74 @@ reach AS (SELECT doc_id AS id, doc_id AS r FROM docs UNION SELECT id, y FROM rea
 least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM docs JOIN least ON id = doc_id LEFT JOIN sized USING (doc_id)"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 of an expression whose characters are ASCII
+    or U+00C0 to U+00FF, where ``crc_table`` (the CTE of ``CRC_TABLE``) is joined."""
+    points = f"list_transform(string_split({text}, ''), lambda ch: unicode(ch)::BIGINT)"
+    octets = f"flatten(list_transform(list_filter({points}, lambda c: c >= 0), lambda c: CASE WHEN c < 128 THEN [c] ELSE [195, c - 64] END))"
+    step = "lambda crc, b: xor(crc >> 8, crc_of[(xor(crc, b) & 255) + 1])"
+    return f"xor(list_reduce({octets}, {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_SHIFT = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+CRC_TABLE = f"""crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS crc_of FROM (
+    WITH RECURSIVE bits AS (
+      SELECT i, i::BIGINT AS c, 0 AS k FROM range(256) r(i)
+      UNION ALL SELECT i, {_SHIFT}, k + 1 FROM bits WHERE k < 8)
+    SELECT i, c FROM bits WHERE k = 8))"""
+
+
+def merkle_sql(table: str = "documents") -> str:
+    """Trees of 16 by aggregation level by level; proofs and folded roots level
+    by level over the siblings' texts."""
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def tree(name: str, base: str) -> str:
+        return f"""{name} AS (
+  {base}
+  UNION ALL
+  SELECT g, lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16
+  FROM {name} WHERE n > 1 GROUP BY g, lvl, pos // 16, n)"""
+
+    def steps(start: str, tree: str, first: int) -> str:
+        return f"""SELECT s.rid, {first} + t.lvl AS step,
+         coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos < s.pos >> (4 * t.lvl)), '') AS before,
+         coalesce(string_agg(t.digest, '' ORDER BY t.pos) FILTER (t.pos > s.pos >> (4 * t.lvl)), '') AS after
+  FROM {start} s JOIN {tree} t ON t.g IS NOT DISTINCT FROM s.g AND t.n > 1 AND t.pos >> 4 = s.pos >> (4 * t.lvl + 4)
+  GROUP BY s.rid, t.lvl"""
+
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+rows_ AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source AS g, {leaf('text')} AS leaf,
+         CASE WHEN {crc32_sql('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(low)} ELSE {leaf('text')} END AS changed
+  FROM {table}, crc_table),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, rid) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM rows_),
+{tree('trees', 'SELECT g, 0 AS lvl, pos, leaf AS digest, n FROM leaves')},
+subroots AS MATERIALIZED (
+  SELECT g AS source, digest, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM trees WHERE n = 1),
+{tree('top', "SELECT '' AS g, 0 AS lvl, pos, digest, n FROM subroots")},
+above AS (SELECT l.rid, '' AS g, s.pos FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.g),
+steps AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY step) AS turn FROM (
+  {steps('leaves', 'trees', 0)}
+  UNION ALL
+  {steps('above', 'top', 100)})),
+folds AS (
+  SELECT rid, 0::BIGINT AS turn, changed AS digest FROM leaves
+  UNION ALL
+  SELECT f.rid, s.turn, sha256(s.before || f.digest || s.after) FROM folds f JOIN steps s ON s.rid = f.rid AND s.turn = f.turn + 1),
+proved AS (SELECT rid, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM steps GROUP BY rid)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = r.digest AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.g
+CROSS JOIN (SELECT digest FROM top WHERE n = 1) r LEFT JOIN proved p ON p.rid = l.rid
+JOIN (SELECT rid, arg_max(digest, turn) AS digest FROM folds GROUP BY rid) f ON f.rid = l.rid"""

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sifter.llm import decontaminate, jaccard, langid, lm, mixing, oracle, secrets, sharding, tokens, topk, warc
+from sifter.llm import decontaminate, jaccard, langid, lm, merkle, mixing, oracle, secrets, sharding, tokens, topk, warc
 from sifter.llm.common import scratch_path
 
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
@@ -77,7 +77,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"), MIX_SEED, keep=["doc_id", "source"], **MIX)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op5_jaccard_join, op6_decontamination, op7_secrets, op8_lm_scoring, op9_warc, op10_mixing)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(langid.fold("doc_id", 5) == 0, lowered).otherwise(F.col("text"))
+    manifest = merkle.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], group_col="source", order_col="doc_id", changed={"text": tampered})
+    return merkle.proofs(manifest).select(
+        F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", "proof_sha256",
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op5_jaccard_join, op6_decontamination, op7_secrets, op8_lm_scoring, op9_warc, op10_mixing,
+                                  op11_merkle)}
 
 ORACLE = {
     "op1_topk": oracle.topk_sql(50, 5),
@@ -86,4 +97,5 @@ ORACLE = {
     "op6_decontamination": oracle.decontamination_sql(10),
     "op9_warc": oracle.warc_sql(1000),
     "op10_mixing": oracle.mixing_sql(MIX_SEED, **MIX),
+    "op11_merkle": oracle.merkle_sql(),
 }
