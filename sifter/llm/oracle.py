@@ -184,3 +184,38 @@ SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, coalesce(p.proof
 FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.g
 CROSS JOIN (SELECT digest FROM top WHERE n = 1) r LEFT JOIN proved p ON p.rid = l.rid
 JOIN (SELECT rid, arg_max(digest, turn) AS digest FROM folds GROUP BY rid) f ON f.rid = l.rid"""
+
+
+def spelling_sql(letters: int, times: int, ratio: int, typo: int, table: str = "documents") -> str:
+    """Near words by the strings that one deletion leaves; forms by order, roots by
+    recursion."""
+    rx = "[A-Za-z\\u00C0-\\u00FF]+".encode().decode("unicode_escape")
+    low = "translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+raw AS (SELECT doc_id, {low} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{rx}')) AS run FROM {table})),
+runs AS (SELECT doc_id, run, count(*) AS c FROM raw WHERE length(run) >= {letters} GROUP BY ALL),
+keyed AS (SELECT run, c, {crc} AS h FROM runs, crc_table),
+dealt AS (
+  SELECT c, CASE WHEN h % {typo} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM keyed),
+words AS MATERIALIZED (
+  SELECT word, sum(c)::BIGINT AS n FROM dealt WHERE length(word) >= {letters} GROUP BY word HAVING sum(c) >= {times}),
+cut AS MATERIALIZED (
+  SELECT word, i, length(word) AS len, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.len = b.len AND a.word <> b.word
+  UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)),
+near AS (
+  SELECT p.word, count(*)::BIGINT AS n_near, arg_min(p.other, (-b.n, encode(p.other))) AS best, max(b.n) AS best_n
+  FROM pairs p JOIN words b ON b.word = p.other GROUP BY p.word),
+formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {ratio} * w.n THEN best END AS form,
+         CASE WHEN best_n >= {ratio} * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+chain AS (
+  SELECT word, word AS root, form FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON f.word = c.form)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word AND c.form IS NULL"""

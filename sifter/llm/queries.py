@@ -6,13 +6,14 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sifter.llm import decontaminate, jaccard, langid, lm, merkle, mixing, oracle, secrets, sharding, tokens, topk, warc
+from sifter.llm import decontaminate, jaccard, langid, lm, merkle, mixing, oracle, quality, secrets, sharding, spelling, tokens, topk, warc
 from sifter.llm.common import scratch_path
 
 PIECES = os.path.join(os.environ.get("TOKENIZER_DIR", "/opt/tokenizers"), "piece_bpe_32k.model")
 SHARD_BYTES = 32 << 20
 MIX = {"temperature": 0.5, "epochs": 1.0}
 MIX_SEED = 13
+WORDS = spelling.Rule(letters=5, times=3, ratio=2, typo=97)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,8 +88,20 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, _read(spark, sf_dir, "labels"), langid.fold("doc_id", 5) != 0)
+    return quality.score(docs, model).select(
+        "doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), F.col("_quality").alias("score"),
+        (F.col("_quality") >= 0.3).cast("int").alias("predicted"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), WORDS)
+
+
 QUERIES = {f.__name__: f for f in (op1_topk, op2_token_counts, op3_language_id, op4_sharding, op5_jaccard_join, op6_decontamination, op7_secrets, op8_lm_scoring, op9_warc, op10_mixing,
-                                  op11_merkle)}
+                                  op11_merkle, op12_quality, op13_spelling)}
 
 ORACLE = {
     "op1_topk": oracle.topk_sql(50, 5),
@@ -98,4 +111,5 @@ ORACLE = {
     "op9_warc": oracle.warc_sql(1000),
     "op10_mixing": oracle.mixing_sql(MIX_SEED, **MIX),
     "op11_merkle": oracle.merkle_sql(),
+    "op13_spelling": oracle.spelling_sql(WORDS.letters, WORDS.times, WORDS.ratio, WORDS.typo),
 }
