@@ -1,93 +1,26 @@
-"""Table readers and the loaded-table normaliser.
+"""Table readers and the loaded-table normaliser.
 
 Every reader returns a DataFrame planned by Spark; formats are chosen per
 file by a distributed scan when content decides (encoding, format sniffing),
-never by pulling a file to the driver.
+never by pulling a file to the driver.  Delimited text is read in ``delimited``
+(A1, A2), header rows are found in ``headers`` (B2, B3).
 """
 
 from __future__ import annotations
 
 import re
-from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sifter.functions.cols import missing
+from sifter.sources.delimited import detect_encodings, read_csv, read_tsv  # noqa: F401
+from sifter.sources.headers import clean_headers, promote_header_row  # noqa: F401
+from sifter.sources.heads import first_lines, opening
 
-# Encodings tried in order, bytes undefined in cp1252, the
-# identifier pattern for SQL table parts, header-search keywords.
-ENCODINGS = ("utf-8", "cp1252", "latin-1")
-CP1252_UNDEFINED = "\u0081\u008d\u008f\u0090\u009d"
+# Fixed value: the pattern of a part of a SQL table's name.
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*$"
-HEADER_KEYWORDS = ("id", "date", "time", "name", "amount", "salary", "department")
-HEADER_SEARCH_ROWS = 10
-SPARK_CHARSET = {"utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
-
-
-# ---------------------------------------------------------------- A1, A2
-
-def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: ``utf-8`` when it decodes as UTF-8, else ``cp1252`` unless a
-    byte undefined in cp1252 occurs, else ``latin-1`` (which never fails).
-
-    One distributed pass over whole files: the text reader keeps each line's
-    raw bytes, ``is_valid_utf8`` checks them, and the hex form of the bytes
-    is searched for the undefined cp1252 bytes at byte boundaries."""
-    undefined = "|".join(f"{ord(ch):02X}" for ch in CP1252_UNDEFINED)
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value")
-    raw_hex = F.hex(F.col("value").cast("binary"))
-    per_file = lines.groupBy("file").agg(
-        F.max(~F.is_valid_utf8("value")).alias("bad_utf8"),
-        F.max(raw_hex.rlike(f"^(..)*?({undefined})")).alias("undef"))
-    return per_file.select("file", F.when(~F.col("bad_utf8"), "utf-8")
-                           .when(F.col("undef"), "latin-1")
-                           .otherwise("cp1252").alias("encoding"))
-
-
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str | None = None,
-             infer_schema: bool = True, header: bool = True, multiline: bool | None = None, **options) -> DataFrame:
-    """A1/A2: header CSV (or TSV with ``sep='\\t'``).
-
-    A doubled quote inside quotes is one quote.  ``multiline`` (one task per
-    file, for line breaks inside quotes) is looked up when it isn't given:
-    only a table with an odd number of quotes on some line needs it.
-
-    Without ``encoding`` the files are classified with ``detect_encodings``
-    and each group is read with its charset (cp1252 needs
-    ``spark.sql.legacy.javaCharsets``)."""
-    if multiline is None:
-        quotes = F.length("value") - F.length(F.regexp_replace("value", '"', ""))
-        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-    def reader(enc: str):
-        if enc == "cp1252":
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        r = spark.read.option("header", str(header).lower()).option("sep", sep) \
-            .option("inferSchema", str(infer_schema).lower()) \
-            .option("encoding", SPARK_CHARSET.get(enc, enc)) \
-            .option("escape", '"').option("multiLine", str(multiline).lower())
-        for k, v in options.items():
-            r = r.option(k, v)
-        return r
-    if encoding:
-        return reader(encoding).csv(path)
-    groups = detect_encodings(spark, path).groupBy("encoding") \
-        .agg(F.collect_list("file").alias("files")).collect()  # one row per encoding (<= 3)
-    if not groups:
-        return reader("utf-8").csv(path)
-    if len(groups) == 1:
-        return reader(groups[0]["encoding"]).csv(path)
-    out = None
-    for g in sorted(groups, key=lambda r: ENCODINGS.index(r["encoding"])):
-        part = reader(g["encoding"]).csv(g["files"])
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
-def read_tsv(spark: SparkSession, path: str, **kw) -> DataFrame:
-    return read_csv(spark, path, sep="\t", **kw)
 
 
 # ---------------------------------------------------------------- A3-A5
@@ -170,18 +103,17 @@ def detect_formats(spark: SparkSession, path: str) -> DataFrame:
 
     First 4 bytes hold ``{`` or ``[`` -> json; ``PAR1`` -> parquet; ``PK`` and
     a workbook suffix -> excel; else the first line has a comma -> csv, a tab
-    -> tsv, otherwise text.  The whole first line counts, however long."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("head"))
-    head4 = F.substring("head", 1, 4)
-    first_line = F.substring_index(F.decode(F.col("head"), "ISO-8859-1"), "\n", 1)
+    -> tsv, otherwise text; an empty file has no row.  The whole first line counts,
+    however long; the rest of a file isn't read (``heads``)."""
+    rows = [(file, head[:4], head.split(b"\n", 1)[0]) for file, head in first_lines(spark, path, opening)]
+    files = spark.createDataFrame(rows, "path string, start binary, line binary")
+    start, line = F.decode("start", "ISO-8859-1"), F.decode("line", "ISO-8859-1")
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    fmt = (F.when(F.instr(F.decode(head4, "ISO-8859-1"), "{") > 0, "json")
-           .when(F.instr(F.decode(head4, "ISO-8859-1"), "[") > 0, "json")
-           .when(head4 == F.lit(b"PAR1"), "parquet")
-           .when((F.substring("head", 1, 2) == F.lit(b"PK")) &
-                 suffix.isin(".xlsx", ".xlsm", ".xltx", ".xltm"), "excel")
-           .when(F.instr(first_line, ",") > 0, "csv")
-           .when(F.instr(first_line, "\t") > 0, "tsv")
+    fmt = (F.when(F.contains(start, F.lit("{")) | F.contains(start, F.lit("[")), "json")
+           .when(start == "PAR1", "parquet")
+           .when(F.startswith(start, F.lit("PK")) & suffix.isin(".xlsx", ".xlsm", ".xltx", ".xltm"), "excel")
+           .when(F.contains(line, F.lit(",")), "csv")
+           .when(F.contains(line, F.lit("\t")), "tsv")
            .otherwise("text"))
     return files.select("path", fmt.alias("format"))
 
@@ -222,58 +154,6 @@ def load(spark: SparkSession, path: str, fmt: str | None = None, **options) -> D
 
 # ---------------------------------------------------------------- B1-B5
 
-def _placeholder(name: str) -> bool:
-    return name is None or str(name).startswith("Unnamed:") or re.match(r"^_c\d+$", str(name)) is not None
-
-
-def clean_headers(names: Sequence) -> list[str]:
-    """Trim; blank -> ``column_{i}`` (1-based); repeats -> ``name_{n}``."""
-    out, seen = [], {}
-    for i, n in enumerate(names, start=1):
-        s = "" if n is None else str(n).strip()
-        if not s:
-            s = f"column_{i}"
-        if s in seen:
-            seen[s] += 1
-            s = f"{s}_{seen[s]}"
-        else:
-            seen[s] = 1
-        out.append(s)
-    return out
-
-
-def promote_header_row(df: DataFrame, order: str | None = None) -> DataFrame:
-    """B2: when every column name is a placeholder, look at the first 10 rows
-    (a bounded ``limit``) with >= 2 non-null values that are all distinct
-    (ignoring case) non-blank strings; score = count + 3 per value holding a
-    keyword; the first best row becomes the header and it and the rows above
-    it are dropped."""
-    if not all(_placeholder(c) for c in df.columns):
-        return df
-    idx = order or "_sifter_row"
-    base = df if order else df.withColumn(idx, F.monotonically_increasing_id())
-    head = base.orderBy(idx).limit(HEADER_SEARCH_ROWS).collect()  # bounded: 10 rows
-    best, best_score = None, -1
-    for row in head:
-        vals = [row[c] for c in df.columns]
-        present = [v for v in vals if v is not None]
-        if len(present) < 2 or not all(isinstance(v, str) and v.strip() for v in present):
-            continue
-        lowered = [v.strip().lower() for v in present]
-        if len(set(lowered)) != len(lowered):
-            continue
-        score = len(present) + 3 * sum(any(k in v for k in HEADER_KEYWORDS) for v in lowered)
-        if score > best_score:
-            best, best_score = row, score
-    if best is None:
-        return df
-    names = clean_headers([best[c] for c in df.columns])
-    body = base.where(F.col(idx) > F.lit(best[idx]))
-    renamed = body.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)],
-                          *([F.col(idx)] if order else []))
-    return renamed
-
-
 def drop_empty_rows(df: DataFrame) -> DataFrame:
     """Drop rows where every value is missing."""
     if not df.columns:
