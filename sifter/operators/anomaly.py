@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import is_numeric, nan_to_null
@@ -30,6 +30,16 @@ class Detector:
     """J10 contract: ``fit`` on one frame, ``transform`` any frame,
     ``evaluate`` = transform + E19 summary (total and anomaly counts)."""
 
+    def state(self) -> dict:
+        """What ``fit`` found, as plain values (``detectors.save`` stores it)."""
+        return {}
+
+    def restore(self, spark: SparkSession, state: dict) -> "Detector":
+        """Take over what another detector's ``fit`` found."""
+        for name, found in state.items():
+            setattr(self, name, found)
+        return self
+
     def evaluate(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = self.transform(df)
         return rows, detector_summary(rows)
@@ -71,6 +81,9 @@ class ZScoreModel(Detector):
         self.std = row["s"] if row["s"] is not None else 0.0
         return self
 
+    def state(self) -> dict:
+        return {"mean": self.mean, "std": self.std}
+
     def transform(self, df: DataFrame) -> DataFrame:
         if self.mean is None:
             self.fit(df)
@@ -120,6 +133,9 @@ class IQRModel(Detector):
         self.fences = iqr_fences(df, self._cols(df), self.accuracy)
         return self
 
+    def state(self) -> dict:
+        return {"columns": list(self.fences), "fences": {c: list(f) for c, f in self.fences.items()}}
+
     def transform(self, df: DataFrame) -> DataFrame:
         cols = self._cols(df)
         if not cols:

@@ -8,9 +8,12 @@ score = -2^(-E[h]/c(psi)) (lower = more anomalous); the offset is the
 offset; flagged when negative.  Missing values are scored as 0.0.
 
 Spark plan:
-1. a bounded Bernoulli pre-sample of the present values, then each
-   candidate joins a tree with a hash test; a window keeps psi per tree
-   (at most n_trees * psi rows leave this step);
+1. every tree draws psi different positions out of 0 .. n - 1; a tree's sample
+   are the values at these positions of the sorted column.  Values are counted
+   first, so a value that a third of the rows hold is one row, and each of its
+   copies is as likely drawn as any other row; running totals of the counts
+   (no global window) tell which value lies at a position.  The sample is
+   exactly psi values and depends on the values alone, not on partitions;
 2. ``groupBy(tree).applyInPandas`` grows one tree per group (psi values);
    in one dimension a tree is a step function of the value, emitted as
    (interval start, path length);
@@ -21,7 +24,8 @@ Spark plan:
 5. the offset is the exact quantile of the training scores, computed from
    the number of training values per bucket (one map-side-combined pass).
 The random stream differs from other implementations; the tests check the
-invariants (flag rate, the extreme value flagged, determinism per seed).
+invariants (flag rate, the extreme value flagged, determinism per seed) and a
+brute-force score of a grown forest.
 """
 
 from __future__ import annotations
@@ -31,11 +35,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import nan_to_null
+from sifter.functions.order import running_total
 from sifter.operators.anomaly import Detector
 from sifter.session import ship_package
 
@@ -67,7 +73,10 @@ def _grow(seed: int, max_depth: int):
                 out_start.append(lo)
                 out_h.append(depth + c_factor(n))
                 continue
-            split = rng.uniform(vals[0], vals[-1])
+            u = rng.uniform()
+            split = vals[0] * (1 - u) + vals[-1] * u  # no overflow, whatever the range
+            if not vals[0] < split <= vals[-1]:  # rounded to the end
+                split = vals[-1]
             cut = np.searchsorted(vals, split, side="left")
             stack.append((vals[cut:], depth + 1, split))   # right, popped second
             stack.append((vals[:cut], depth + 1, lo))      # left, popped first
@@ -97,7 +106,6 @@ class IsolationForestModel(Detector):
     n_trees: int = 100
     max_samples: int = 256
     seed: int = 42
-    oversample: float = 4.0
     value: str = "value"
     fitted: bool = False
 
@@ -105,40 +113,38 @@ class IsolationForestModel(Detector):
         return nan_to_null(F.col(self.value), df.schema[self.value].dataType)
 
     # -------------------------------------------------------------- fit
+    def sample(self, values: DataFrame, n: int, psi: int) -> DataFrame:
+        """(tree, x): psi of the n values of column x per tree, without replacement."""
+        draws = [np.random.default_rng([self.seed, t, 1]).choice(n, psi, replace=False, shuffle=False) for t in range(self.n_trees)]
+        position, tree = np.concatenate(draws).astype(np.int64), np.repeat(np.arange(self.n_trees, dtype=np.int32), psi)
+        order = np.argsort(position, kind="stable")
+        drawn = values.sparkSession.sparkContext.broadcast((position[order], tree[order]))  # n_trees * psi numbers
+
+        def pick(batches):
+            position, tree = drawn.value
+            for batch in batches:
+                x, c, before = (batch.column(k).to_numpy() for k in ("x", "c", "before_c"))
+                lo, hi = np.searchsorted(position, before), np.searchsorted(position, before + c)
+                at = np.repeat(np.arange(len(x)), hi - lo)
+                nth = np.arange(len(at)) - np.repeat(np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + lo[at]
+                yield pa.RecordBatch.from_arrays([pa.array(tree[nth]), pa.array(x[at])], names=["tree", "x"])
+
+        counts = values.groupBy("x").agg(F.count("*").alias("c"))
+        return running_total(counts, ["x"], ["c"]).select("x", "c", "before_c").mapInArrow(pick, "tree int, x double")
+
     def fit(self, df: DataFrame) -> "IsolationForestModel":
         spark = df.sparkSession
         ship_package(spark)  # trees are grown in Python workers
-        # a row's number hashes its key, so samples don't depend on partitions
-        key = [c for c in ("entity_id", "timestamp") if c in df.columns] or [
-            f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
-        x = self._present(df)
-        train = df.select(x.alias("x"), F.xxhash64(*[F.col(f"`{c}`") for c in key], x).alias("rid")).where(F.col("x").isNotNull())
+        most = float(np.finfo(float).max)
+        train = df.select(self._present(df).cast("double").alias("x")).where("x is not null")
+        train = train.select(F.greatest(F.lit(-most), F.least(F.lit(most), F.col("x"))).alias("x"))  # infinities are the ends
         n = train.count()
         if n == 0:
             self.fitted = False
             return self
         psi = min(self.max_samples, n)
-        self.psi = psi
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
-        # 1. bounded candidate pool, then per-tree membership by hash
-        frac = min(1.0, self.oversample * self.n_trees * psi / n)
-        drawn = F.pmod(F.xxhash64(F.lit(self.seed + 1), "rid"), F.lit(1 << 40)) < F.lit(math.ceil(frac * (1 << 40)))
-        cand = train.where(drawn)
-        n_cand = max(1, int(min(n, self.oversample * self.n_trees * psi)))
-        p_keep = min(1.0, 2.0 * psi / n_cand) if n_cand > psi else 1.0
-        thr = min(int(p_keep * 2.0 ** 63), 2 ** 63 - 1)  # hashes are uniform on [0, 2^63)
-        trees = F.sequence(F.lit(0), F.lit(self.n_trees - 1))
-        member = F.filter(
-            F.transform(trees, lambda t: F.struct(
-                t.alias("tree"),
-                F.shiftrightunsigned(F.xxhash64(F.lit(self.seed), t, F.col("rid")), 1).alias("h"))),
-            lambda s: s["h"] <= F.lit(thr))
-        tagged = cand.select("x", F.explode(member).alias("m"))
-        from pyspark.sql import Window
-        w = Window.partitionBy("tree").orderBy("h")
-        sample = (tagged.select("x", F.col("m.tree").alias("tree"), F.col("m.h").alias("h"))
-                  .withColumn("r", F.row_number().over(w)).where(F.col("r") <= psi)
-                  .select("tree", "x"))
+        sample = self.sample(train, n, psi)
         # 2. grow one tree per group (psi values each); a tree has at most
         #    2^max_depth leaves, so the forest is at most n_trees * psi rows
         steps = sample.groupBy("tree").applyInPandas(
@@ -152,11 +158,10 @@ class IsolationForestModel(Detector):
         cpsi = c_factor(psi)
         scores = -np.power(2.0, -eh / (cpsi if cpsi > 0 else 1.0))
         starts = merged.index.to_numpy()
-        self.splits = [-math.inf] + [float(x) for x in starts if x != -math.inf] + [math.inf]
-        self.scores = scores
-        self.lookup = spark.createDataFrame(
-            pd.DataFrame({"bucket": np.arange(len(scores), dtype=float), "score": scores}))
-        self.fitted = True
+        inner = [float(x) for x in starts if x != -math.inf]
+        if not inner:  # one value only: a single leaf, on both sides of any point
+            inner, scores = [0.0], np.repeat(scores, 2)
+        self.restore(spark, {"psi": psi, "splits": inner, "scores": scores.tolist(), "offset": 0.0})
         # 4. offset: the contamination quantile of the training scores, from
         #    the count of training values per bucket (one combined pass)
         b = Bucketizer(splits=self.splits, inputCol="x", outputCol="bucket", handleInvalid="keep")
@@ -166,6 +171,19 @@ class IsolationForestModel(Detector):
                                          self.contamination)
         return self
 
+    # -------------------------------------------------------------- stored form
+    def state(self) -> dict:
+        return {"psi": self.psi, "splits": self.splits[1:-1], "scores": [float(x) for x in self.scores], "offset": self.offset}
+
+    def restore(self, spark: SparkSession, state: dict) -> "IsolationForestModel":
+        """Take over a fitted forest: breakpoints, a score per interval, offset."""
+        self.psi, self.offset = state["psi"], state["offset"]
+        self.splits = [-math.inf, *state["splits"], math.inf]
+        self.scores = np.array(state["scores"])
+        self.lookup = spark.createDataFrame([(float(i), float(x)) for i, x in enumerate(state["scores"])], "bucket double, score double")
+        self.fitted = True
+        return self
+
     def _score(self, df: DataFrame, col: str) -> DataFrame:
         b = Bucketizer(splits=self.splits, inputCol=col, outputCol="bucket", handleInvalid="keep")
         # lookup has at most n_trees * psi rows: a proven bound for broadcast

@@ -13,11 +13,13 @@ centres, without vectors or a UDF.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import nan_to_null
@@ -28,6 +30,7 @@ from sifter.operators.anomaly import Detector
 class KMeansModel(Detector):
     n_clusters: int = 3
     n_init: int = 10
+    patience: int = 3
     seed: int = 42
     max_iter: int = 300
     tol: float = 1e-4
@@ -51,12 +54,24 @@ class KMeansModel(Detector):
         return self.calibrate(df)
 
     def _centres(self, df: DataFrame, k: int) -> list[float]:
+        """The cheapest of up to ``n_init`` fits over the distinct values, which are
+        counted once; no more seeds are tried after ``patience`` in a row that
+        bring no lower cost."""
         points = df.select(self._x(df).alias("x")).groupBy("x").agg(F.count("*").cast("double").alias("w"))
-        points = VectorAssembler(inputCols=["x"], outputCol="v").transform(points)
-        fits = [KMeans(k=k, seed=self.seed + i, maxIter=self.max_iter, tol=self.tol,
-                       featuresCol="v", weightCol="w").fit(points) for i in range(self.n_init)]
-        best = min(fits, key=lambda m: m.summary.trainingCost)
-        return sorted(float(c[0]) for c in best.clusterCenters())
+        points = VectorAssembler(inputCols=["x"], outputCol="v").transform(points).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            best, cost, vain = None, math.inf, 0
+            for i in range(self.n_init):
+                fit = KMeans(k=k, seed=self.seed + i, maxIter=self.max_iter, tol=self.tol, featuresCol="v", weightCol="w").fit(points)
+                found = fit.summary.trainingCost
+                vain = 0 if found < cost * (1 - 1e-9) else vain + 1
+                if found < cost:
+                    best, cost = fit, found
+                if vain >= self.patience:
+                    break
+            return sorted(float(c[0]) for c in best.clusterCenters())
+        finally:
+            points.unpersist()
 
     def calibrate(self, df: DataFrame) -> "KMeansModel":
         """The threshold of the given centres from the distances in ``df``."""
@@ -66,6 +81,13 @@ class KMeansModel(Detector):
         self.threshold = (st["m"] or 0.0) + 2 * (st["s"] or 0.0)
         return self
 
+    def state(self) -> dict:
+        return {"centres": self.centres, "threshold": self.threshold}
+
+    def restore(self, spark: SparkSession, state: dict) -> "KMeansModel":
+        self.centres, self.threshold, self.fitted = state["centres"], state["threshold"], True
+        return self
+
     # -------------------------------------------------------------- transform
     def _distance(self, x):
         gaps = [F.abs(x - F.lit(float(c))) for c in self.centres]

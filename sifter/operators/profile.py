@@ -8,6 +8,8 @@ field adds rows to a shuffle-free ``stack`` rather than another scan.
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -157,7 +159,8 @@ def target_stats(af: DataFrame, target: str = TARGET_FIELD) -> DataFrame:
 def overview(flat: DataFrame, accuracy: str = "exact") -> dict:
     """The composite dataset overview as a dict of small DataFrames.
 
-    The analysis frame is persisted once and shared by every summary."""
+    The analysis frame is persisted once and shared by every summary.
+    ``overview_document`` is the same as one nested row, without persisting."""
     af = analysis_frame(flat).transform(persisted)
     resolved = resolve_fields(flat.columns)
     return {
@@ -174,6 +177,56 @@ def overview(flat: DataFrame, accuracy: str = "exact") -> dict:
     }
 
 
+DOCUMENT = """rows long, columns int, fields array<string>, compare_options array<string>,
+numeric array<struct<field:string,count:long,missing:long,min:double,max:double,mean:double,median:double,std:double>>,
+dates array<struct<field:string,count:long,missing:long,min_date:string,max_date:string>>,
+categories array<struct<field:string,count:long,missing:long,unique:long,top:array<struct<value:string,count:long>>>>,
+charts map<string,map<string,string>>, source map<string,string>"""
+
+
+def _rounded(x: float | None) -> float | None:
+    """To 4 digits, halves away from zero, as Spark rounds."""
+    return None if x is None else float(Decimal(repr(x)).quantize(Decimal(10) ** -DIGITS, ROUND_HALF_UP)) if math.isfinite(x) else x
+
+
+def overview_document(flat: DataFrame, source: dict | None = None, k: int = 10) -> DataFrame:
+    """The whole overview as one nested row, to show or to export
+    (``store.export_document``); ``source`` is the data set's description (A14).
+
+    One aggregate yields the counts, extremes and moments of all fields and one
+    count per distinct value those of all categorical fields together; medians
+    come from the shared brackets of ``column_quantiles``.  Only these bounded
+    results reach the driver: per categorical field its counts and ``k`` values.
+    """
+    spark, af = flat.sparkSession, analysis_frame(flat)
+    numeric = {l: safe_double(F.col(f"`{l}`"), af.schema[l].dataType) for l in _present(af, NUMERIC_FIELDS)}
+    dates = {l: F.col(f"`{l}`").cast("timestamp") for l in _present(af, DATE_FIELDS)}
+    texts = _present(af, CATEGORY_FIELDS)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, v in enumerate(numeric.values()):
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"), F.stddev_samp(v).alias(f"s{i}")]
+    for i, v in enumerate(dates.values()):
+        aggs += [F.count(v).alias(f"dn{i}"), F.date_format(F.min(v), "yyyy-MM-dd").alias(f"dlo{i}"), F.date_format(F.max(v), "yyyy-MM-dd").alias(f"dhi{i}")]
+    one = af.agg(*aggs).first()
+    rows = one["rows"]
+    median = {l: q[0] for l, (_, q) in column_quantiles(af, numeric, [0.5]).items()} if rows and numeric else {}
+    numbers = [(l, one[f"n{i}"], rows - one[f"n{i}"], *map(_rounded, (one[f"lo{i}"], one[f"hi{i}"], one[f"m{i}"], median.get(l), one[f"s{i}"])))
+               for i, l in enumerate(numeric)]
+    days = [(l, one[f"dn{i}"], rows - one[f"dn{i}"], one[f"dlo{i}"], one[f"dhi{i}"]) for i, l in enumerate(dates)]
+    categories = []
+    if texts:
+        counted = _long(af, texts, lambda l: _as_text(af, l)).where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
+        totals = counted.groupBy("field").agg(F.sum("n").alias("n"), F.count("*").alias("u"))
+        found = {r["field"]: (r["n"], r["u"]) for r in totals.collect()}
+        top = {l: [(r["value"], r["n"]) for r in counted.where(F.col("field") == l).orderBy(F.desc("n"), "value").limit(k).collect()] for l in texts}
+        categories = [(l, found.get(l, (0, 0))[0], rows - found.get(l, (0, 0))[0], found.get(l, (0, 0))[1], top[l]) for l in texts]
+    have = list(resolve_fields(flat.columns))
+    context = {chart: {v: l for v, l in roles.items() if l} for chart, roles in chart_context(flat.columns).items()}
+    source = {key: str(value) for key, value in (source or {}).items() if value is not None}
+    document = (rows, len(flat.columns), have, [l for l in have if l != TARGET_FIELD], numbers, days, categories, context, source)
+    return spark.createDataFrame([document], DOCUMENT)
+
+
 def filter_fields(summary: DataFrame, selected, field_col: str = "field") -> DataFrame:
     """Keep the summary rows of the chosen fields, names compared after
     trimming, lower-casing, ``_`` -> space and collapsing whitespace."""

@@ -77,12 +77,9 @@ def to_canonical(df: DataFrame, roles: Roles | None = None, keep: Sequence[str]
     """
     keep = list(keep)
     roles = roles or classify_columns([c for c in df.columns if c not in keep])
-    if not roles.entity:
-        raise ValueError("No entity_id column found in data. Expected a column containing "
-                         f"'id'. Available columns: {list(df.columns)}")
-    if not roles.timestamp:
-        raise ValueError("No timestamp column found in data. Expected a column containing "
-                         f"'time' or 'date'. Available columns: {list(df.columns)}")
+    wanted = {"entity_id (a name with 'id')": roles.entity, "timestamp (a name with 'time' or 'date')": roles.timestamp}
+    if absent := [what for what, found in wanted.items() if not found]:
+        raise ValueError(f"no column for {' or '.join(absent)}; the table's columns are {', '.join(df.columns)}")
     e, t = roles.entity[0], roles.timestamp[0]
     ts_type = df.schema[t].dataType
     feats = [F.col(f"`{c}`") for c in roles.features if c not in keep]
@@ -280,20 +277,12 @@ CATEGORY_FIELDS = ["Category"]
 
 
 def resolve_fields(columns: Sequence[str]) -> dict[str, str]:
-    """Analysis label -> column, matching names ignoring case, blanks
-    and underscores; ``Order Date`` falls back to ``order_date`` then
-    ``timestamp``."""
-    by_norm: dict[str, str] = {}
-    for c in columns:
-        by_norm[norm_field_name(c)] = c
-    resolved = {}
-    for label in ANALYSIS_FIELDS:
-        for cand in FIELD_CANDIDATES[label]:
-            hit = by_norm.get(norm_field_name(cand))
-            if hit is not None:
-                resolved[label] = hit
-                break
-    return resolved
+    """Analysis label -> column.  Names are compared without case, blanks
+    and underscores; a label takes the first of its candidates that the table
+    has, and of columns with one such name the last."""
+    place = {norm_field_name(c): c for c in columns}
+    hits = {label: [place[n] for n in map(norm_field_name, names) if n in place] for label, names in FIELD_CANDIDATES.items()}
+    return {label: found[0] for label, found in hits.items() if found}
 
 
 def numeric_column_names(df: DataFrame) -> list[str]:
@@ -301,22 +290,30 @@ def numeric_column_names(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
+# The variables that each chart shows, by role.
+CHART_ROLES = {
+    "histogram": {"target_variable": "target"},
+    "boxplot": {"target_variable": "target"},
+    "bar-category": {"compare_variable": "compare"},
+    "scatter": {"target_variable": "target", "compare_variable": "compare"},
+    "grouped-comparison": {"target_variable": "target", "compare_variable": "compare"},
+    "grouped-boxplot": {"target_variable": "target", "compare_variable": "compare"},
+    "time-line": {"target_variable": "target", "compare_variable": "day"},
+}
+
+
+def chart_roles(columns: Sequence[str], compare: str | None = "Profit") -> dict[str, str | None]:
+    """The label in each role: the target, the wanted compare variable (else the
+    first one there is) and the day; None where the table has none."""
+    have = resolve_fields(columns)
+    ranked = {"target": [TARGET_FIELD], "compare": [compare, *COMPARE_FIELDS], "day": DATE_FIELDS}
+    return {role: next((label for label in labels if label in have), None) for role, labels in ranked.items()}
+
+
 def chart_context(columns: Sequence[str], compare: str = "Profit") -> dict:
-    """Which resolved field plays target / compare for each chart."""
-    resolved = resolve_fields(columns)
-    cmp_label = compare if compare in resolved else \
-        next((c for c in COMPARE_FIELDS if c in resolved), None)
-    target = TARGET_FIELD if TARGET_FIELD in resolved else None
-    return {
-        "histogram": {"target_variable": target},
-        "bar-category": {"compare_variable": cmp_label},
-        "boxplot": {"target_variable": target},
-        "scatter": {"target_variable": target, "compare_variable": cmp_label},
-        "grouped-comparison": {"target_variable": target, "compare_variable": cmp_label},
-        "grouped-boxplot": {"target_variable": target, "compare_variable": cmp_label},
-        "time-line": {"target_variable": target,
-                      "compare_variable": "Order Date" if "Order Date" in resolved else None},
-    }
+    """Chart -> variable -> label."""
+    roles = chart_roles(columns, compare)
+    return {chart: {variable: roles[role] for variable, role in wanted.items()} for chart, wanted in CHART_ROLES.items()}
 
 
 def analysis_frame(flat: DataFrame) -> DataFrame:

@@ -67,6 +67,27 @@ def _numeric_summary() -> str:
     return f"WITH {SALES} " + " UNION ALL ".join(parts)
 
 
+def _overview_document() -> str:
+    parts = ["SELECT 'table' AS part, '' AS field, 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM sales",
+             "SELECT 'table', '', 'columns', 7.0 FROM (SELECT 1)"]
+    for label, col in (("Sales", "sales"), ("Profit", "profit"), ("Quantity", "quantity"), ("Discount", "discount")):
+        for metric, expr in (("count", f"count({col})"), ("missing", f"count(*) - count({col})"), ("min", RND(f"min({col})")), ("max", RND(f"max({col})")),
+                             ("mean", RND(f"avg({col})")), ("median", RND(f"quantile_cont({col}, 0.5)")), ("std", RND(f"stddev_samp({col})"))):
+            parts.append(f"SELECT 'numeric', '{label}', '{metric}', CAST({expr} AS DOUBLE) FROM sales")
+    for metric, expr in (("count", "count(order_date)"), ("missing", "count(*) - count(order_date)")):
+        parts.append(f"SELECT 'dates', 'Order Date', '{metric}', CAST({expr} AS DOUBLE) FROM sales")
+    for metric, expr in (("count", "count(category)"), ("missing", "count(*) - count(category)"), ("unique", "count(DISTINCT category)")):
+        parts.append(f"SELECT 'categories', 'Category', '{metric}', CAST({expr} AS DOUBLE) FROM sales")
+    parts.append("""SELECT 'top', 'Category:' || category, 'count', CAST(n AS DOUBLE) FROM (
+  SELECT category, count(*) AS n FROM sales WHERE category IS NOT NULL GROUP BY category ORDER BY n DESC, category LIMIT 10)""")
+    for chart in ("histogram", "boxplot", "scatter", "grouped-comparison", "grouped-boxplot", "time-line"):
+        parts.append(f"SELECT 'chart:{chart}', 'Sales', 'target_variable', 1.0 FROM (SELECT 1)")
+    for chart in ("bar-category", "scatter", "grouped-comparison", "grouped-boxplot"):
+        parts.append(f"SELECT 'chart:{chart}', 'Profit', 'compare_variable', 1.0 FROM (SELECT 1)")
+    parts.append("SELECT 'chart:time-line', 'Order Date', 'compare_variable', 1.0 FROM (SELECT 1)")
+    return f"WITH {SALES} " + " UNION ALL ".join(parts)
+
+
 def _iqr_scored() -> str:
     cols = ["entity_id", "sales", "quantity", "discount", "profit", "feature_count", "feature_sum"]
     fences = ", ".join(
@@ -192,6 +213,51 @@ FROM events""",
     "forecast_summary": """
 SELECT count(*) + 5 AS total_records, CAST(0 AS BIGINT) AS anomaly_count FROM events""",
 
+    "run_metrics": f"""
+WITH {DIRTY},
+c AS (SELECT count(*) AS n, count(*) FILTER (WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL) AS v FROM dirty)
+SELECT unnest(['records_ingested', 'records_valid', 'records_invalid', 'records_persisted', 'valid', 'invalid', 'stored']) AS metric,
+       unnest([n, v, n - v, v, v, n - v, v]) AS count FROM c""",
+
+    "model_ready": f"""
+WITH {DIRTY}
+SELECT CAST(entity_id AS VARCHAR) AS entity_id, timestamp, value FROM dirty
+WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)""",
+
+    "model_ready_counts": f"""
+WITH {DIRTY},
+c AS (SELECT count(*) AS n FROM dirty
+      WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL AND value IS NOT NULL AND NOT isnan(value))
+SELECT n AS total_records, n AS valid_records, CAST(0 AS BIGINT) AS invalid_records FROM c""",
+
+    "detector_run": f"""
+WITH {DIRTY},
+r AS (SELECT value FROM dirty WHERE entity_id IS NOT NULL AND timestamp IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)),
+t AS (SELECT avg(value) AS m, stddev_pop(value) AS s FROM r)
+SELECT count(*) AS total_records, count(*) FILTER (WHERE abs((value - m) / s) > 1.5) AS anomaly_count, 'value' AS value_field FROM r, t""",
+
+    "overview_document": _overview_document(),
+
+    "chart_data": f"""
+SELECT 'bar-category' AS chart, l_returnflag AS value, CAST(count(*) AS DOUBLE) AS number FROM lineitem
+WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag
+UNION ALL
+SELECT 'grouped-comparison', l_returnflag, {RND('avg(l_extendedprice)')} FROM lineitem
+WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY l_returnflag
+UNION ALL
+SELECT 'time-line', strftime(l_shipdate, '%Y-%m-%d'), {RND('avg(CAST(l_extendedprice AS DECIMAL(18,2)))')}
+FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY strftime(l_shipdate, '%Y-%m-%d')""",
+
+    "forest_scores": f"""
+WITH x AS (SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN 0.0 ELSE value END AS v FROM events),
+s AS (SELECT event_id, CASE WHEN v < 5 THEN -0.7 WHEN v < 50 THEN -0.5 WHEN v < 95 THEN -0.4 WHEN v < 140 THEN -0.45 ELSE -0.8 END::DOUBLE + 0.55::DOUBLE AS d FROM x)
+SELECT event_id AS entity_id, d < 0 AS is_anomaly, {RND('d', 6)} AS anomaly_score FROM s""",
+
+    "stored_detector": f"""
+WITH t AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)
+SELECT l_orderkey, l_linenumber, coalesce(abs((l_extendedprice - m) / s) > 1.0, false) AS is_anomaly,
+       {RND('abs((l_extendedprice - m) / s)')} AS anomaly_score FROM lineitem, t""",
+
     "kmeans_scores": f"""
 WITH d AS (SELECT event_id, value, least(abs(x), abs(x - 50.0), abs(x - 100.0)) AS dist
            FROM (SELECT event_id, value, CASE WHEN value IS NULL OR isnan(value) THEN 0.0 ELSE value END AS x

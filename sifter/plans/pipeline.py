@@ -1,8 +1,8 @@
 """Compositions a user calls (K1-K6) and the cleaning audit.
 
-The pipeline is one lazy plan from source to validated records; the
-validated frame is persisted once and feeds two actions (the store write and
-the counts).  Intelligence steps run best effort, as in the reference: their
+The pipeline is one lazy plan from source to stored records: the one write
+scans the source and counts what it validates on the way (``Observation``), and
+the scores read the store back.  Intelligence steps run best effort: their
 failure is logged, not fatal.
 """
 
@@ -13,13 +13,12 @@ import time
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sifter.functions.cols import missing
 from sifter.operators import anomaly, charts, forecast, reshape, validate
-from sifter.sources import readers, store
+from sifter.sources import readers, routing, store
 
 log = logging.getLogger("sifter.pipeline")
 
@@ -124,50 +123,49 @@ def run_breakdown(spark: SparkSession, summary: RunSummary) -> tuple[DataFrame,
     return metrics, breakdown
 
 
-def run_pipeline(spark: SparkSession, source: str, store_path: str, data_format: str | None = None,
+def run_pipeline(spark: SparkSession, source: str | None, store_path: str, data_format: str | None = None,
                  store_format: str = "json", summary_path: str | None = None,
                  options: dict | None = None,
-                 stage_hook: Callable[[str], None] | None = None) -> RunSummary:
-    """K1: source -> normalise -> adapt -> validate -> persist valid records
-    -> (IQR -> severity -> evaluation, best effort) -> run summary.
-
-    A failing stage marks the run FAILED and names the stage; persisted is 0
-    then.  ``stage_hook`` is called with each stage name before it runs
-    (tests use it to inject failures)."""
+                 stage_hook: Callable[[str], None] | None = None,
+                 mode: str | None = None, config: routing.StoreConfig | None = None) -> RunSummary:
+    """K1: route -> read -> normalise -> adapt -> validate -> store the valid
+    records -> (IQR -> severity -> evaluation, best effort) -> run summary.
+
+    ``mode`` and ``config`` route the source (A12).  A failing stage marks the
+    run FAILED and names the stage; persisted is 0 then, and the store keeps
+    the records it had.  ``stage_hook`` is called with each stage name before
+    it runs (tests use it to inject failures)."""
     t0 = time.time()
     summary = RunSummary()
     stage = "ingestion"
-    checked = None
-    try:
-        if stage_hook:
-            stage_hook(stage)
-        raw = readers.load(spark, source, data_format, **(options or {}))
-        raw = readers.normalize_loaded(raw)
-        stage = "adapter"
+
+    def enter(name: str) -> None:
+        nonlocal stage
+        stage = name
         if stage_hook:
-            stage_hook(stage)
+            stage_hook(name)
+
+    try:
+        enter("ingestion")
+        fmt, path = routing.route(source, mode, config, data_format)
+        raw = readers.normalize_loaded(readers.load(spark, path, fmt, **(options or {})))
+        enter("adapter")
         canon = reshape.adapt(raw)
-        stage = "validation"
-        if stage_hook:
-            stage_hook(stage)
-        checked = validate.validate(canon).persist(StorageLevel.MEMORY_AND_DISK)
-        counts = checked.agg(F.count(F.lit(1)).alias("n"),
-                             F.count_if(F.col("status") == "valid").alias("v")).first()
-        summary.records_ingested = int(counts["n"])
-        summary.records_valid = int(counts["v"])
+        enter("validation")
+        counts = Observation()
+        good = F.col("status") == "valid"
+        checked = validate.validate(canon).observe(counts, F.count(F.lit(1)).alias("n"), F.count_if(good).alias("v"))
+        enter("persistence")
+        stored = store.save(checked.where(good).drop("errors", "status"), store_path, store_format)
+        summary.records_ingested, summary.records_valid = counts.get["n"], counts.get["v"]
         summary.records_invalid = summary.records_ingested - summary.records_valid
-        valid = checked.where(F.col("status") == "valid").drop("errors", "status")
-        stage = "persistence"
-        if stage_hook:
-            stage_hook(stage)
-        store.save(valid, store_path, store_format)
-        summary.records_persisted = summary.records_valid
+        summary.records_persisted = stored["record_count"]
         stage = "intelligence"
         try:
-            scored = anomaly.severity(anomaly.iqr_detect(reshape.flatten(valid)))
+            scored = anomaly.severity(anomaly.iqr_detect(reshape.flatten(store.load(spark, store_path, store_format))))
             ev = anomaly.evaluation(scored).first()
             summary.intelligence = ev.asDict() if ev else {}
-        except Exception as exc:  # best effort, as in the reference
+        except Exception as exc:  # best effort
             log.warning("intelligence stage failed: %s", exc)
     except Exception as exc:
         summary.status = "FAILED"
@@ -175,9 +173,6 @@ def run_pipeline(spark: SparkSession, source: str, store_path: str, data_format:
         summary.error_type = type(exc).__name__
         summary.error_message = str(exc)
         summary.records_persisted = 0
-    finally:
-        if checked is not None:
-            checked.unpersist()
     summary.runtime_seconds = round(time.time() - t0, 3)
     if summary_path:
         store.write_run_summary(spark, summary.as_row(), summary_path)
@@ -188,22 +183,21 @@ def run_dataset(spark: SparkSession, dataset_id: str, catalog: dict, store_path:
                 summary_path: str | None = None, config=None) -> tuple[RunSummary, dict]:
     """K2: catalog lookup -> K1 -> counts + source metadata.  ``config``
     (``routing.StoreConfig``) locates entries that lie in an object store."""
-    from sifter.sources.routing import dataset_metadata, resolve_source
     if dataset_id not in catalog:
         raise KeyError(f"Unknown dataset id: {dataset_id}")
     spec = catalog[dataset_id]
-    fmt, path, opts = resolve_source(spec, config)
+    fmt, path, opts = routing.resolve_source(spec, config)
     summary = run_pipeline(spark, path, store_path, fmt, summary_path=summary_path, options=opts)
-    return summary, dataset_metadata(spark, dataset_id, spec)
+    return summary, routing.dataset_metadata(spark, dataset_id, spec)
 
 
 # ---------------------------------------------------------------- K3-K6
 
-def model_ready(spark: SparkSession, store_path: str, store_format: str = "json") -> DataFrame:
-    """K3: stored records -> first numeric value -> usable rows."""
+def model_ready(spark: SparkSession, store_path: str, store_format: str = "json") -> tuple[DataFrame, DataFrame]:
+    """K3: stored records -> first numeric value -> usable rows -> typed feature
+    rows, and their counts (total, valid and invalid records; B16)."""
     canon = store.load(spark, store_path, store_format)
-    recs = reshape.model_records(canon)
-    return reshape.keep_usable(recs)
+    return reshape.feature_dataset(reshape.keep_usable(reshape.model_records(canon)))
 
 
 def detect(records: DataFrame, model: str = "zscore", **params) -> tuple[DataFrame, DataFrame, dict]:
@@ -225,58 +219,58 @@ def detect(records: DataFrame, model: str = "zscore", **params) -> tuple[DataFra
 
 
 def predict(records: DataFrame, order_by: Sequence[str], model: str = "linear",
-            steps: int = 5, window: int = 2) -> DataFrame:
-    """K5: linear trend or moving-average forecast."""
+            steps: int = 5, window: int = 2) -> tuple[DataFrame, DataFrame, dict]:
+    """K5: linear trend or moving-average forecast -> (rows, summary, context).
+
+    The summary is one row: all rows, no anomalies."""
     if model == "linear":
-        return forecast.linear_trend(records, order_by, steps)
-    if model == "moving_average":
-        return forecast.moving_average(records, order_by, steps, window)
-    raise ValueError(f"Unknown forecaster: {model}")
+        rows = forecast.linear_trend(records, order_by, steps)
+    elif model == "moving_average":
+        rows = forecast.moving_average(records, order_by, steps, window)
+    else:
+        raise ValueError(f"Unknown forecaster: {model}")
+    return rows, forecast.forecast_summary(rows), anomaly.ml_context(records)
+
+
+def _scatter(af: DataFrame, target: str, compare: str) -> DataFrame:
+    from sifter.functions.order import with_ordinal
+    rows = with_ordinal(af.withColumn("_mono", F.monotonically_increasing_id()), ["_mono"]).drop("_mono")
+    return charts.scatter_pairs(rows, target, compare, dates=reshape.DATE_FIELDS)
 
 
-CHARTS = ("histogram", "bar-category", "boxplot", "scatter", "grouped-comparison",
-          "grouped-boxplot", "time-line")
+#: chart -> (what computes it, whether an empty result is an error)
+CHARTS = {
+    "histogram": (lambda af, t, c: charts.histogram(af, t), False),
+    "boxplot": (lambda af, t, c: charts.box_stats(af, t), False),
+    "bar-category": (lambda af, t, c: charts.category_counts(af, c), False),
+    "grouped-comparison": (charts.grouped_mean, False),
+    "grouped-boxplot": (charts.grouped_box_stats, True),
+    "scatter": (_scatter, False),
+    "time-line": (charts.daily_mean, True),
+}
 
 
-def chart_data(flat: DataFrame, chart: str, target: str = "Sales",
+def chart_data(flat: DataFrame, chart: str, target: str = reshape.TARGET_FIELD,
                compare: str | None = None) -> DataFrame:
-    """K6: resolve fields and compute one chart's data."""
-    resolved = reshape.resolve_fields(flat.columns)
-    if target != reshape.TARGET_FIELD:
-        raise ValueError(f"Target variable must be '{reshape.TARGET_FIELD}'.")
-    if target not in resolved:
-        raise ValueError(f"Target variable '{target}' is not available in the active dataset.")
-    if compare is not None:
-        if compare not in reshape.COMPARE_FIELDS:
-            raise ValueError("Compare variable must be one of " + ", ".join(reshape.COMPARE_FIELDS) + ".")
-        if compare not in resolved:
-            raise ValueError(f"Compare variable '{compare}' is not available in the active dataset.")
-    af = reshape.analysis_frame(flat)
-    if chart == "histogram":
-        return charts.histogram(af, target)
-    if chart == "boxplot":
-        return charts.box_stats(af, target)
-    if compare is None:
-        raise ValueError(f"Chart '{chart}' needs a compare variable")
-    if chart == "bar-category":
-        return charts.category_counts(af, compare)
-    if chart == "grouped-comparison":
-        return charts.grouped_mean(af, target, compare)
-    if chart == "grouped-boxplot":
-        out = charts.grouped_box_stats(af, target, compare)
-        if out.limit(1).count() == 0:
-            raise ValueError("No valid rows available for grouped box plot.")
-        return out
-    if chart == "scatter":
-        from sifter.functions.order import with_ordinal
-        idx = af.withColumn("_mono", F.monotonically_increasing_id())
-        idx = with_ordinal(idx, ["_mono"]).drop("_mono")
-        return charts.scatter_pairs(idx, target, compare, dates=["Order Date"])
-    if chart == "time-line":
-        if compare != "Order Date":
-            raise ValueError("Time line chart requires 'Order Date' as the compare variable.")
-        out = charts.daily_mean(af, target, compare)
-        if out.limit(1).count() == 0:
-            raise ValueError("Time line chart requires numeric values and a valid date/time field.")
-        return out
-    raise ValueError(f"Unknown chart: {chart}")
+    """K6: one chart's data.  The chart's roles say which variables it needs; the
+    target is the analysis target, a compare variable must be one of the compare
+    fields, the time line's is the day, and all must be in the table."""
+    if chart not in CHARTS:
+        raise ValueError(f"no chart is called {chart!r}; there are {', '.join(CHARTS)}")
+    compute, rows_needed = CHARTS[chart]
+    roles = reshape.CHART_ROLES[chart]
+    allowed = {"target_variable": [reshape.TARGET_FIELD],
+               "compare_variable": reshape.DATE_FIELDS if roles.get("compare_variable") == "day" else reshape.COMPARE_FIELDS}
+    given = {"target_variable": target, "compare_variable": compare}
+    have = reshape.resolve_fields(flat.columns)
+    for variable, label in given.items():
+        if label is None and variable not in roles:
+            continue
+        if label not in allowed[variable]:
+            raise ValueError(f"{chart}: the {variable.replace('_', ' ')} can be {' or '.join(allowed[variable])}, not {label!r}")
+        if label not in have:
+            raise ValueError(f"{chart}: the table has no column for {label!r}")
+    out = compute(reshape.analysis_frame(flat), target, compare)
+    if rows_needed and out.isEmpty():
+        raise ValueError(f"{chart}: no row has both {target!r} and {compare!r}")
+    return out

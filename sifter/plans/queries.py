@@ -521,7 +521,103 @@ def q_kmeans_scores(spark, d):
     return out.select("entity_id", "value", "is_anomaly", "anomaly_score")
 
 
+# ---------------------------------------------------------------- K1-K6, E8, J10
+
+def stored_run(spark, d):
+    """K1 over the dirty events: (run summary, path of the Parquet store)."""
+    from uuid import uuid4
+
+    from sifter.plans.pipeline import run_pipeline
+    from sifter.session import ensure_checkpoint_dir
+    base = f"{ensure_checkpoint_dir(spark)}/sifter-run-{uuid4().hex}"
+    dirty_events(spark, d, index=False).write.parquet(f"{base}/source")
+    summary = run_pipeline(spark, f"{base}/source", f"{base}/store", "parquet", "parquet", mode="local")
+    if summary.status != "SUCCESS":
+        raise RuntimeError(f"{summary.failed_stage}: {summary.error_message}")
+    return summary, f"{base}/store"
+
+
+def q_run_metrics(spark, d):
+    from sifter.plans.pipeline import run_breakdown
+    from sifter.sources import store
+    summary, path = stored_run(spark, d)
+    metrics, breakdown = run_breakdown(spark, summary)
+    names = ["records_ingested", "records_valid", "records_invalid", "records_persisted"]
+    rows = metrics.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("count")) for n in names])))
+    kept = store.stored_metadata(spark, path).select(F.lit("stored").alias("metric"), F.col("record_count").alias("count"))
+    return rows.unionByName(breakdown.withColumnRenamed("status", "metric")).unionByName(kept)
+
+
+def q_model_ready(spark, d):
+    from sifter.plans.pipeline import model_ready
+    rows, _ = model_ready(spark, stored_run(spark, d)[1], "parquet")
+    return rows.select("entity_id", "timestamp", "value")
+
+
+def q_model_ready_counts(spark, d):
+    from sifter.plans.pipeline import model_ready
+    return model_ready(spark, stored_run(spark, d)[1], "parquet")[1]
+
+
+def q_detector_run(spark, d):
+    from sifter.plans.pipeline import detect, model_ready
+    rows, summary, context = detect(model_ready(spark, stored_run(spark, d)[1], "parquet")[0], "zscore", threshold=1.5)
+    return summary.withColumn("value_field", F.lit(context["value"]))
+
+
+def q_overview_document(spark, d):
+    doc = profile.overview_document(sales_flat(spark, d), {"source_name": "lineitem"})
+    fact = lambda part, field, metric, value: F.struct(F.lit(part).alias("part"), field.alias("field"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+    each = lambda part, metrics: F.flatten(F.transform(part, lambda x: F.array(*[fact(part, x["field"], m, x[m]) for m in metrics])))
+    whole = F.array(*[fact("table", F.lit(""), m, F.col(m)) for m in ("rows", "columns")])
+    tops = F.flatten(F.transform("categories", lambda x: F.transform(x["top"], lambda t: F.struct(
+        F.lit("top").alias("part"), F.concat_ws(":", x["field"], t["value"]).alias("field"), F.lit("count").alias("metric"), t["count"].cast("double").alias("value")))))
+    charts_ = F.flatten(F.transform(F.map_entries("charts"), lambda c: F.transform(F.map_keys(c["value"]), lambda v: F.struct(
+        F.concat(F.lit("chart:"), c["key"]).alias("part"), c["value"][v].alias("field"), v.alias("metric"), F.lit(1.0).alias("value")))))
+    return doc.select(F.inline(F.concat(
+        whole, each("numeric", ("count", "missing", "min", "max", "mean", "median", "std")), each("dates", ("count", "missing")),
+        each("categories", ("count", "missing", "unique")), tops, charts_)))
+
+
+def q_chart_data(spark, d):
+    from sifter.plans.pipeline import chart_data
+    flat = sales_flat(spark, d)
+    bars = chart_data(flat, "bar-category", compare="Category").select(F.lit("bar-category").alias("chart"), "value", F.col("count").cast("double").alias("number"))
+    means = chart_data(flat, "grouped-comparison", compare="Category")
+    days = chart_data(flat, "time-line", compare="Order Date")
+    return bars.unionByName(means.select(F.lit("grouped-comparison").alias("chart"), F.col(means.columns[0]).alias("value"), F.round("mean", 4).alias("number"))) \
+        .unionByName(days.select(F.lit("time-line").alias("chart"), F.col(days.columns[0]).cast("string").alias("value"), F.round("mean", 4).alias("number")))
+
+
+#: a forest for the query below: breakpoints, a score per interval, offset
+GIVEN_FOREST = {"psi": 256, "splits": [5.0, 50.0, 95.0, 140.0], "scores": [-0.7, -0.5, -0.4, -0.45, -0.8], "offset": -0.55}
+
+
+def q_forest_scores(spark, d):
+    from sifter.operators.forest import IsolationForestModel
+    recs = table(spark, d, "events").select(F.col("event_id").alias("entity_id"), "value")
+    return IsolationForestModel().restore(spark, GIVEN_FOREST).transform(recs).select(
+        "entity_id", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+
+def q_stored_detector(spark, d):
+    """Fitted on the orders, stored as a row, applied to the line items."""
+    from sifter.operators import detectors
+    orders = table(spark, d, "orders").select(F.col("o_totalprice").alias("value"))
+    kept = detectors.to_frame(spark, anomaly.ZScoreModel(threshold=1.0).fit(orders))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"))
+    return detectors.from_frame(kept).transform(items).select("l_orderkey", "l_linenumber", "is_anomaly", "anomaly_score")
+
+
 QUERIES = {
+    "run_metrics": q_run_metrics,
+    "model_ready": q_model_ready,
+    "model_ready_counts": q_model_ready_counts,
+    "detector_run": q_detector_run,
+    "overview_document": q_overview_document,
+    "chart_data": q_chart_data,
+    "forest_scores": q_forest_scores,
+    "stored_detector": q_stored_detector,
     "derived_metrics_gaps": q_derived_metrics_gaps,
     "missing_by_field": q_missing_by_field,
     "complete_pairs": q_complete_pairs,

@@ -164,14 +164,23 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(any_present)
 
 
+#: rows that usually show which columns have values
+_GLANCE = 1000
+
+
 def drop_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop columns with no present value (one aggregation for all)."""
-    if not df.columns:
-        return df
-    counts = df.agg(*[F.count_if(~missing(F.col(f"`{f.name}`"), f.dataType)).alias(f"c{i}")
-                      for i, f in enumerate(df.schema.fields)]).first()
-    keep = [f.name for i, f in enumerate(df.schema.fields) if counts[f"c{i}"] > 0]
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+    """Drop columns with no present value.  Some first rows settle most
+    columns; only those without a value there are counted over the table."""
+    def present(rows: DataFrame, fields: list) -> set[str]:
+        counts = rows.agg(*[F.count_if(~missing(F.col(f"`{f.name}`"), f.dataType)) for f in fields]).first()
+        return {f.name for f, n in zip(fields, counts) if n}
+
+    fields = df.schema.fields
+    found = present(df.limit(_GLANCE), fields) if fields else set()
+    rest = [f for f in fields if f.name not in found]
+    if rest:
+        found |= present(df.select(*[f"`{f.name}`" for f in rest]), rest)
+    return df.select(*[f"`{f.name}`" for f in fields if f.name in found])
 
 
 def normalize_loaded(df: DataFrame) -> DataFrame:

@@ -1,20 +1,29 @@
-"""Canonical record store and run-summary files.
-
-Records are written as JSON lines or Parquet with ``mode('overwrite')``;
-timestamps are already ISO strings in the canonical record.  Reading a
-missing store gives an empty frame with the canonical schema.
+"""Canonical record store and run-summary files.
+
+A store is a folder of versions.  Records are written to a new version (JSON
+lines or Parquet; timestamps are already ISO strings); only then a manifest, one
+small file with the next number, names it.  Readers take the highest manifest,
+so a job that dies while saving leaves the old records as they were, and a store
+can be overwritten from a frame that reads it.  The manifest keeps the schema,
+the record count, taken from the write itself, and its time.  The version before
+the current one stays for readers that have begun.  Reading a missing store gives
+an empty frame with the canonical schema; a folder of plain JSON or Parquet
+files without manifests is read as it is.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from sifter.session import shuffle_partitions
+
 FORMATS = ("json", "parquet")
 
 CANONICAL_SCHEMA = T.StructType([
@@ -30,7 +39,6 @@ EMPTY_STORE_SCHEMA = T.StructType([
     T.StructField("features", T.StructType([T.StructField("_none", T.StringType())]), True),
     CANONICAL_SCHEMA["metadata"],
 ])
-SCHEMA_SIDECAR = "_schema"  # leading underscore: skipped by Spark's file listing
 
 RUN_SUMMARY_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
@@ -53,50 +61,98 @@ def _check(fmt: str) -> str:
     return fmt
 
 
-def save(records: DataFrame, path: str, fmt: str = "json") -> None:
-    """Overwrite the store with ``records``."""
+MANIFESTS = "_manifest"
+KEPT_VERSIONS = 2
+_ORPHAN_MS = 24 * 3600 * 1000  # a staged version this old belongs to no running job
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _listed(spark: SparkSession, path: str) -> list:
+    fs, where = _folder(spark, path)
+    return list(fs.listStatus(where)) if fs.exists(where) else []
+
+
+def _manifests(spark: SparkSession, path: str, last: int = 1) -> list[dict]:
+    """The newest manifests, newest first."""
+    names = sorted((f.getPath().getName() for f in _listed(spark, f"{path}/{MANIFESTS}")), reverse=True)
+    out = []
+    for name in names[:last]:
+        fs, where = _folder(spark, f"{path}/{MANIFESTS}/{name}")
+        stream = fs.open(where)
+        try:
+            out.append(json.loads(bytes(stream.readAllBytes())) | {"number": int(name.partition(".")[0])})
+        finally:
+            stream.close()
+    return out
+
+
+def _commit(spark: SparkSession, path: str, entry: dict) -> None:
+    """Write the next manifest.  Its file must not exist: of two jobs that save at
+    the same time one fails."""
+    number = 1 + next((m["number"] for m in _manifests(spark, path)), 0)
+    fs, where = _folder(spark, f"{path}/{MANIFESTS}/{number:020d}.json")
+    stream = fs.create(where, False)
+    try:
+        stream.write(bytearray(json.dumps(entry).encode()))
+    finally:
+        stream.close()
+
+
+def _prune(spark: SparkSession, path: str) -> None:
+    """Delete what no reader of the current or the last version needs."""
+    kept = {m["version"] for m in _manifests(spark, path, KEPT_VERSIONS)}
+    old = {m["version"] for m in _manifests(spark, path, 1000)} - kept
+    now = _dt.datetime.now().timestamp() * 1000
+    for f in _listed(spark, path):
+        name = f.getPath().getName()
+        staged = name.startswith("v-") and name not in old  # perhaps of a job that still writes
+        if name != MANIFESTS and name not in kept and (not staged or now - f.getModificationTime() > _ORPHAN_MS):
+            _folder(spark, path)[0].delete(f.getPath(), True)
+
+
+def save(records: DataFrame, path: str, fmt: str = "json", lookup: bool = False) -> dict:
+    """Make ``records`` the store's records; returns its manifest.
+
+    ``lookup`` lays Parquet out for C7: sorted by entity, with Bloom filters, so
+    that a lookup reads the row groups that may hold the entity."""
     fmt = _check(fmt)
-    w = records.write.mode("overwrite")
-    if fmt == "json":
-        w.option("ignoreNullFields", "false").json(path)
-        # JSON inference would sort struct fields by name and lose the
-        # feature order (which decides the model value); keep the schema.
-        spark = records.sparkSession
-        spark.createDataFrame([(records.schema.json(),)], "schema string").coalesce(1) \
-             .write.mode("overwrite").text(f"{path.rstrip('/')}/{SCHEMA_SIDECAR}")
-    else:
-        w.parquet(path)
+    spark, path = records.sparkSession, path.rstrip("/")
+    counts = Observation()
+    rows = records.repartitionByRange(shuffle_partitions(spark), "entity_id").sortWithinPartitions("entity_id") if lookup else records
+    w = rows.observe(counts, F.count(F.lit(1)).alias("n")).write
+    if lookup and fmt == "parquet":
+        w = w.option("parquet.bloom.filter.enabled#entity_id", "true")
+    version = f"v-{uuid.uuid4().hex}"
+    (w.option("ignoreNullFields", "false").json if fmt == "json" else w.parquet)(f"{path}/{version}")
+    entry = {"version": version, "format": fmt, "schema": records.schema.json(), "record_count": counts.get["n"],
+             "last_updated": _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")}
+    _commit(spark, path, entry)
+    _prune(spark, path)
+    return entry
 
 
 def load(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Read the store back; a missing store is empty."""
-    fmt = _check(fmt)
+    """The store's current records; a missing store is empty.  The
+    manifest knows the format and the schema (JSON inference would sort the
+    features by name and lose the order that decides the model value)."""
+    fmt, path = _check(fmt), path.rstrip("/")
+    current = next(iter(_manifests(spark, path)), None)
+    if current:
+        schema = T.StructType.fromJson(json.loads(current["schema"]))
+        if schema["features"].dataType == EMPTY_STORE_SCHEMA["features"].dataType and not current["record_count"]:
+            return spark.createDataFrame([], CANONICAL_SCHEMA)
+        return spark.read.schema(schema).format(current["format"]).load(f"{path}/{current['version']}")
     try:
-        if fmt == "json":
-            schema = _sidecar_schema(spark, path)
-            reader = spark.read.schema(schema) if schema is not None else spark.read
-            df = reader.json(path)
-        else:
-            df = spark.read.parquet(path)
+        df = spark.read.format(fmt).load(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise  # an unreadable store is not an empty one
         return spark.createDataFrame([], CANONICAL_SCHEMA)
-    if "entity_id" not in df.columns:  # an empty JSON store has no inferred columns
-        return spark.createDataFrame([], CANONICAL_SCHEMA)
-    if df.schema["features"].dataType == EMPTY_STORE_SCHEMA["features"].dataType:
-        return spark.createDataFrame([], CANONICAL_SCHEMA) if df.limit(1).count() == 0 else df
-    return df
-
-
-def _sidecar_schema(spark: SparkSession, path: str):
-    try:
-        row = spark.read.text(f"{path.rstrip('/')}/{SCHEMA_SIDECAR}").first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return T.StructType.fromJson(json.loads(row[0])) if row else None
+    return df if "entity_id" in df.columns else spark.createDataFrame([], CANONICAL_SCHEMA)
 
 
 def reset(spark: SparkSession, path: str, fmt: str = "json") -> None:
@@ -111,6 +167,12 @@ def metadata(records: DataFrame) -> DataFrame:
                                                             "yyyy-MM-dd'T'HH:mm:ss"))
 
 
+def stored_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A19 from the manifest alone: no record is read (no row: no such store)."""
+    rows = [(m["record_count"], m["last_updated"]) for m in _manifests(spark, path.rstrip("/"))]
+    return spark.createDataFrame(rows, "record_count long, last_updated string")
+
+
 def write_run_summary(spark: SparkSession, row: dict, path: str) -> None:
     """Append one summary row (the history is the folder)."""
     vals = dict(row)
@@ -121,16 +183,13 @@ def write_run_summary(spark: SparkSession, row: dict, path: str) -> None:
 
 
 def last_run_summary(spark: SparkSession, path: str) -> DataFrame:
-    """The most recent summary, or one ``no runs recorded`` row."""
-    try:
-        df = spark.read.schema(RUN_SUMMARY_SCHEMA).json(path)
-        latest = df.orderBy(F.desc("recorded_at")).limit(1)
-        if latest.count() > 0:
-            return latest
-    except AnalysisException:
-        pass
-    return spark.createDataFrame([["no runs recorded"] + [None] * (len(RUN_SUMMARY_SCHEMA) - 1)],
-                                 RUN_SUMMARY_SCHEMA)
+    """The most recent summary, or one ``no runs recorded`` row if there is
+    no history; one that can't be read raises."""
+    none = spark.createDataFrame([["no runs recorded"] + [None] * (len(RUN_SUMMARY_SCHEMA) - 1)], RUN_SUMMARY_SCHEMA)
+    if not any(not f.getPath().getName().startswith(("_", ".")) for f in _listed(spark, path)):
+        return none
+    latest = spark.read.schema(RUN_SUMMARY_SCHEMA).option("mode", "FAILFAST").json(path).orderBy(F.desc("recorded_at")).limit(1)
+    return none if latest.isEmpty() else latest
 
 
 def export_document(df: DataFrame, path: str) -> None:

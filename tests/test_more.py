@@ -73,6 +73,6 @@ def test_quick_start_flow(spark, tmp_dir):  # the README's quick start, on a loc
     assert profile.overview(flat)["shape"].first()["rows"] == 4
     assert pipeline.chart_data(flat, "grouped-boxplot", compare="Category").count() == 2
     assert anomaly.severity(anomaly.iqr_detect(flat)).where("is_anomaly").count() >= 1
-    rows, summary, ctx = pipeline.detect(pipeline.model_ready(spark, out, "parquet"), "zscore",
+    rows, summary, ctx = pipeline.detect(pipeline.model_ready(spark, out, "parquet")[0], "zscore",
                                          threshold=1.5)
     assert summary.first()["total_records"] == 4 and ctx["value"] == "value"

@@ -26,7 +26,8 @@ def test_pipeline_success(spark, tmp_dir):  # K1
     assert (s.records_ingested, s.records_valid, s.records_invalid, s.records_persisted) == (3, 2, 1, 2)
     assert store.load(spark, out).count() == 2
     assert store.last_run_summary(spark, runs).first()["records_valid"] == 2
-    recs = pipeline.model_ready(spark, out)
+    recs, counts = pipeline.model_ready(spark, out)
+    assert counts.first().asDict() == {"total_records": 2, "valid_records": 2, "invalid_records": 0}
     assert sorted(r["value"] for r in recs.collect()) == [100.0, 500.0]
 
 
@@ -64,6 +65,7 @@ def test_detect_and_predict(spark):  # K4, K5
                                  "k long, entity_id string, timestamp string, value double")
     rows, summary, ctx = pipeline.detect(recs, "zscore", threshold=1.5)
     assert summary.first()["anomaly_count"] == 1 and ctx["value"] == "value"
-    assert pipeline.predict(recs, ["k"], "moving_average", steps=2).count() == 7
+    rows, summary, ctx = pipeline.predict(recs, ["k"], "moving_average", steps=2)
+    assert rows.count() == 7 == summary.first()["total_records"] and ctx["time"] == "timestamp"
     with pytest.raises(ValueError):
         pipeline.detect(recs, "nope")
