@@ -51,9 +51,13 @@ def _scan(x: Column, lo: Column, hi: Column, i: int) -> list[Column]:
             F.percentile_approx(F.when(inside, x), _shares(), ACCURACY).alias(f"grid{i}")]
 
 
-def _cells(share: float) -> tuple[int, int]:
-    """Grid positions that surely enclose a share."""
-    return max(0, math.floor(share * GRID) - 1), min(GRID, math.ceil(share * GRID) + 1)
+def _cells(share: float, slack: int = 1) -> tuple[int, int]:
+    """Grid positions that surely enclose a share, ``slack`` cells apart from it."""
+    return max(0, math.floor(share * GRID) - slack), min(GRID, math.ceil(share * GRID) + slack)
+
+
+#: a rank that its bracket missed gets brackets so many times wider, up to the whole
+WIDER = 8
 
 
 def column_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float]) -> dict[str, tuple[int, list[float]]]:
@@ -69,6 +73,7 @@ def column_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[
         F.count(f"x{j}").alias(f"n{j}"), F.percentile_approx(f"x{j}", _shares(), ACCURACY).alias(f"g{j}"))]).first()
     found: dict[tuple[int, int], float] = {}
     todo: dict[tuple[int, int], tuple[float, float]] = {}
+    slack: dict[tuple[int, int], int] = {}
     for j in range(len(names)):
         n = start[f"n{j}"]
         for p in probs if n else ():
@@ -83,12 +88,12 @@ def column_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[
             lo, hi = todo[key]
             rank, k = key[1], key[1] - got[f"upto_lo{i}"]
             if rank < got[f"below{i}"] or rank >= got[f"upto{i}"]:  # not enclosed: one step out
-                todo[key] = (float("-inf"), float("inf"))
+                todo[key], slack[key] = (float("-inf"), float("inf")), WIDER * slack.get(key, 1)
             elif k < 0 or rank >= got[f"below_hi{i}"]:
                 found[key] = lo if k < 0 else hi
                 del todo[key]
             else:
-                a, b = _cells((k + 0.5) / (got[f"below_hi{i}"] - got[f"upto_lo{i}"]))
+                a, b = _cells((k + 0.5) / (got[f"below_hi{i}"] - got[f"upto_lo{i}"]), slack.get(key, 1))
                 todo[key] = got[f"grid{i}"][a], got[f"grid{i}"][b]
     out = {}
     for j, c in enumerate(names):
@@ -130,8 +135,8 @@ def _grouped(df: DataFrame, value_col: str, probs: Sequence[float], group_cols:
     ranks = [f(q).cast("long") for q in pos for f in (F.floor, F.ceil)]
     t = range(len(ranks))
 
-    def cell(grid: Column, share: Column, up: bool) -> Column:
-        at = F.least(F.lit(GRID), F.ceil(share * GRID) + 1) if up else F.greatest(F.lit(0), F.floor(share * GRID) - 1)
+    def cell(grid: Column, share: Column, up: bool, slack: Column = F.lit(1)) -> Column:
+        at = F.least(F.lit(GRID), F.ceil(share * GRID) + slack) if up else F.greatest(F.lit(0), F.floor(share * GRID) - slack)
         return F.element_at(grid, at.cast("int") + 1)
 
     state = vals.groupBy(*group_cols).agg(F.count(x).alias("n"), F.percentile_approx(x, _shares(), ACCURACY).alias("_sketch"))
@@ -139,7 +144,7 @@ def _grouped(df: DataFrame, value_col: str, probs: Sequence[float], group_cols:
     share = [F.try_divide(F.col(f"rank{i}") + 0.5, F.col("n")) for i in t]
     state = state.select(*group_cols, "n", *[f"rank{i}" for i in t], *[cell(F.col("_sketch"), share[i], False).alias(f"lo{i}") for i in t],
                          *[cell(F.col("_sketch"), share[i], True).alias(f"hi{i}") for i in t],
-                         *[F.lit(None).cast("double").alias(f"val{i}") for i in t]).transform(persisted)
+                         *[F.lit(None).cast("double").alias(f"val{i}") for i in t], *[F.lit(1).alias(f"slack{i}") for i in t]).transform(persisted)
     fixed = [*group_cols, "n", *[f"rank{i}" for i in t]]
     while True:
         is_open = [F.col(f"val{i}").isNull() for i in t]
@@ -159,10 +164,12 @@ def _grouped(df: DataFrame, value_col: str, probs: Sequence[float], group_cols:
                 at = F.try_divide(rank - upto_lo + 0.5, below_hi - upto_lo)
                 cols[f"val{i}"] = F.coalesce(val, F.when(lost, None).when(rank < upto_lo, lo).when(rank >= below_hi, hi))
                 settled = F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0))
-                cols[f"lo{i}"] = F.when(lost, float("-inf")).otherwise(F.coalesce(cell(F.col(f"grid{i}"), settled, False), lo))
-                cols[f"hi{i}"] = F.when(lost, float("inf")).otherwise(F.coalesce(cell(F.col(f"grid{i}"), settled, True), hi))
+                slack = F.col(f"slack{i}")
+                cols[f"lo{i}"] = F.when(lost, float("-inf")).otherwise(F.coalesce(cell(F.col(f"grid{i}"), settled, False, slack), lo))
+                cols[f"hi{i}"] = F.when(lost, float("inf")).otherwise(F.coalesce(cell(F.col(f"grid{i}"), settled, True, slack), hi))
+                cols[f"slack{i}"] = F.when(lost, F.least(slack * WIDER, F.lit(GRID))).otherwise(slack)
             else:
-                cols |= {f"lo{i}": lo, f"hi{i}": hi, f"val{i}": val}
+                cols |= {f"lo{i}": lo, f"hi{i}": hi, f"val{i}": val, f"slack{i}": F.col(f"slack{i}")}
         state = state.join(seen, group_cols).select(*fixed, *[c.alias(k) for k, c in cols.items()]).transform(persisted)
     out = []
     for k, name in enumerate(names):

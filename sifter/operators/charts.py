@@ -79,17 +79,18 @@ def _whiskers(v, q1, q3, lo_fence, hi_fence):
 def _box_grouped(values: DataFrame, group_cols: Sequence[str], accuracy: str) -> DataFrame:
     """Box statistics of column ``v`` per group.  The quantile table has one
     row per group; it is joined back to the values (AQE broadcasts it when
-    its runtime size allows)."""
+    its runtime size allows).  No datum lies between a fence and its whisker, so
+    the pass that finds the whiskers counts the outliers too."""
     q = quantiles(values, "v", [0.25, 0.5, 0.75], group_cols, names=["q1", "median", "q3"],
                   accuracy=accuracy)
     q = q.withColumn("lo_fence", F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) \
          .withColumn("hi_fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     j = values.join(q, list(group_cols))
-    wl, wh = _whiskers(F.col("v"), F.first("q1"), F.first("q3"),
-                       F.col("lo_fence"), F.col("hi_fence"))
+    v, lo, hi = F.col("v"), F.col("lo_fence"), F.col("hi_fence")
+    wl, wh = _whiskers(v, F.first("q1"), F.first("q3"), lo, hi)
     return j.groupBy(*group_cols).agg(
         F.first("n").alias("n"), F.first("q1").alias("q1"), F.first("median").alias("median"),
-        F.first("q3").alias("q3"), wl, wh)
+        F.first("q3").alias("q3"), wl, wh, F.count_if((v < lo) | (v > hi)).alias("outliers"))
 
 
 BOX_SCHEMA = ("n long, q1 double, median double, q3 double, whisker_low double, "
@@ -111,10 +112,9 @@ def box_stats(af: DataFrame, target: str, accuracy: str = "exact") -> DataFrame:
     lo_f, hi_f = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
     v = F.col("v")
     wl, wh = _whiskers(v, F.lit(q1), F.lit(q3), F.lit(lo_f), F.lit(hi_f))
-    w = vals.agg(wl, wh).first()
-    n_out = vals.where((v < w["whisker_low"]) | (v > w["whisker_high"])).count()
+    w = vals.agg(wl, wh, F.count_if((v < lo_f) | (v > hi_f)).alias("outliers")).first()  # none lies between fence and whisker
     return spark.createDataFrame(
-        [(q["n"], q1, q["median"], q3, w["whisker_low"], w["whisker_high"], n_out)], BOX_SCHEMA)
+        [(q["n"], q1, q["median"], q3, w["whisker_low"], w["whisker_high"], w["outliers"])], BOX_SCHEMA)
 
 
 def box_outliers(af: DataFrame, target: str, box: DataFrame) -> DataFrame:
@@ -136,14 +136,19 @@ def grouped_box_stats(af: DataFrame, target: str, compare: str,
     vals = (af.where(~missing(c, af.schema[compare].dataType))
             .select(c.alias("key"), _num(af, target).alias("v"))
             .where(F.col("v").isNotNull()))
-    box = _box_grouped(vals, ["key"], accuracy)
-    outl = (vals.join(box.select("key", "whisker_low", "whisker_high"), "key")
-            .where((F.col("v") < F.col("whisker_low")) | (F.col("v") > F.col("whisker_high")))
-            .groupBy("key").agg(F.count(F.lit(1)).alias("outliers")))
-    return (box.join(outl, "key", "left")
-            .select("key", "n", "q1", "median", "q3", "whisker_low", "whisker_high",
-                    F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"))
-            .orderBy("key"))
+    return _box_grouped(vals, ["key"], accuracy).orderBy("key")
+
+
+def grouped_box_sweep(af: DataFrame, target: str, compares: Sequence[str], accuracy: str = "exact") -> DataFrame:
+    """E13 for several compare variables together: (variable, key as text, box
+    statistics).  A row is read once and stands under each of its variables,
+    so all groups of all variables share every scan for their quartiles."""
+    def key(c: str):
+        return F.when(~missing(F.col(f"`{c}`"), af.schema[c].dataType), F.col(f"`{c}`").cast("string"))
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), key(c).alias("key")) for c in compares])
+    rows = af.select(_num(af, target).alias("v"), F.inline(pairs)).where(F.col("v").isNotNull() & F.col("key").isNotNull())
+    return _box_grouped(rows, ["variable", "key"], accuracy)
 
 
 def daily_mean(af: DataFrame, target: str, date_field: str) -> DataFrame:
@@ -225,21 +230,15 @@ def relationship_sweep(af: DataFrame, target: str, compares: Sequence[str],
                        date_field: str = "Order Date", order: str = "record_index",
                        accuracy: str = "exact") -> dict[str, DataFrame]:
     """Scatter and grouped box per compare variable (plus the daily line
-    for the date field), tagged with the variable and unioned per kind."""
-    scat, boxes, lines = [], [], []
-    for c in compares:
-        if c not in af.columns:
-            continue
-        # y is a number, a label code or a date: carried as text so the
-        # variables can share one table
-        scat.append(scatter_pairs(af, target, c, order, dates=[date_field])
-                    .select(F.lit(c).alias("variable"), "x", F.col("y").cast("string").alias("y")))
-        if c == date_field:
-            lines.append(daily_mean(af, target, c).select(F.lit(c).alias("variable"), "day", "mean"))
-        else:
-            boxes.append(grouped_box_stats(af, target, c, accuracy)
-                         .select(F.lit(c).alias("variable"), F.col("key").cast("string").alias("key"),
-                                 "n", "q1", "median", "q3", "whisker_low", "whisker_high", "outliers"))
+    for the date field), tagged with the variable; one table per kind."""
+    have = [c for c in compares if c in af.columns]
+    # y is a number, a label code or a date: carried as text so the
+    # variables can share one table
+    scat = [scatter_pairs(af, target, c, order, dates=[date_field]).select(F.lit(c).alias("variable"), "x", F.col("y").cast("string").alias("y"))
+            for c in have]
+    lines = [daily_mean(af, target, c).select(F.lit(c).alias("variable"), "day", "mean") for c in have if c == date_field]
+    grouped = [c for c in have if c != date_field]
+    boxes = [grouped_box_sweep(af, target, grouped, accuracy)] if grouped else []
 
     def union(parts):
         if not parts:

@@ -121,6 +121,36 @@ def top_values(af: DataFrame, fields: Sequence[str] = CATEGORY_FIELDS, k: int =
     return out
 
 
+#: values tracked by the sketch of ``heavy_values``, try by try
+TRACKED = (4_096, 32_768, 262_144)
+
+
+def heavy_values(rows: DataFrame, value: str, k: int = 10, tracked: Sequence[int] = TRACKED) -> DataFrame:
+    """G1 for columns of very many values: (value, count) of the ``k`` most
+    frequent present values, ties by value, exact, without shuffling every value.
+
+    A frequent-items sketch of fixed size names candidates: with n rows and m
+    tracked values it surely holds every value that occurs more than 7 n / m
+    times.  The candidates are counted exactly in a second scan.  The result
+    stands if no value is left over or the k-th count lies above that bound;
+    otherwise a larger sketch is tried, and at last all values are counted.
+    """
+    c = F.col(f"`{value}`")
+    present = rows.select(F.when(~missing(c, rows.schema[value].dataType), c).alias("value")).where(F.col("value").isNotNull())
+    most = (F.desc("count"), F.asc("value"))
+    for m in tracked:
+        found = present.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(value, {min(m, 100_000)}, {m})").alias("top")).first()
+        if not found["n"]:
+            break
+        listed = rows.sparkSession.createDataFrame([(t["item"],) for t in found["top"] or ()], present.schema)
+        exact = present.join(F.broadcast(listed), "value").groupBy("value").agg(F.count("*").alias("count"))  # at most m values
+        seen = exact.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("values")).first()
+        best = exact.orderBy(*most).limit(k)
+        if seen["n"] == found["n"] or (seen["values"] >= k and best.agg(F.min("count")).first()[0] > 7 * found["n"] / m):
+            return best.orderBy(*most)
+    return present.groupBy("value").agg(F.count("*").alias("count")).orderBy(*most).limit(k)
+
+
 def missing_by_field(af: DataFrame) -> DataFrame:
     """Missing count per resolved analysis field (unparsable dates count)."""
     return missing_by_column(af)

@@ -127,6 +127,22 @@ SELECT {key}n, {RND('q1')} AS q1, {RND('median')} AS median, {RND('q3')} AS q3,
 FROM f JOIN w {join_on} JOIN o {join_on}"""
 
 
+def _boxes(*variables: tuple[str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{label}' AS variable, CAST({col} AS VARCHAR) AS key, sales FROM sales WHERE {col} IS NOT NULL AND sales IS NOT NULL"
+                              for label, col in variables)
+    return f"""WITH {SALES},
+v AS ({rows}),
+q AS (SELECT variable, key, count(*) AS n, quantile_cont(sales, 0.25) AS q1, quantile_cont(sales, 0.5) AS median, quantile_cont(sales, 0.75) AS q3
+      FROM v GROUP BY ALL),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q),
+w AS (SELECT variable, key, least(coalesce(min(sales) FILTER (WHERE sales >= lo_f), min(q1)), min(q1)) AS wl,
+             greatest(coalesce(max(sales) FILTER (WHERE sales <= hi_f), min(q3)), min(q3)) AS wh FROM v JOIN f USING (variable, key) GROUP BY ALL),
+o AS (SELECT variable, key, count(*) FILTER (WHERE sales < wl OR sales > wh) AS outliers FROM v JOIN w USING (variable, key) GROUP BY ALL)
+SELECT variable, key, n, {RND('q1')} AS q1, {RND('median')} AS median, {RND('q3')} AS q3,
+       {RND('wl')} AS whisker_low, {RND('wh')} AS whisker_high, outliers
+FROM f JOIN w USING (variable, key) JOIN o USING (variable, key)"""
+
+
 def _docs(threshold: float) -> str:
     return f"""st AS (SELECT avg(CAST(n_chars AS DOUBLE)) AS m, stddev_pop(CAST(n_chars AS DOUBLE)) AS s
             FROM documents),
@@ -248,6 +264,16 @@ UNION ALL
 SELECT 'time-line', strftime(l_shipdate, '%Y-%m-%d'), {RND('avg(CAST(l_extendedprice AS DECIMAL(18,2)))')}
 FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY strftime(l_shipdate, '%Y-%m-%d')""",
 
+    "heavy_values": """
+SELECT * FROM (SELECT 'source' AS field, source AS value, count(*) AS count FROM documents
+               WHERE source IS NOT NULL GROUP BY source ORDER BY count DESC, value LIMIT 10)
+UNION ALL
+SELECT 'l_orderkey', CAST(value AS VARCHAR), count FROM (
+  SELECT l_orderkey AS value, count(*) AS count FROM lineitem WHERE l_orderkey IS NOT NULL
+  GROUP BY l_orderkey ORDER BY count DESC, value LIMIT 10)""",
+
+    "relationship_boxes": _boxes(("Category", "category"), ("Quantity", "quantity")),
+
     "forest_scores": f"""
 WITH x AS (SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN 0.0 ELSE value END AS v FROM events),
 s AS (SELECT event_id, CASE WHEN v < 5 THEN -0.7 WHEN v < 50 THEN -0.5 WHEN v < 95 THEN -0.4 WHEN v < 140 THEN -0.45 ELSE -0.8 END::DOUBLE + 0.55::DOUBLE AS d FROM x)
@@ -625,3 +651,6 @@ SELECT o_orderkey, o_totalprice,
          AS is_anomaly
 FROM orders, q""",
 }
+
+# one scan or two, the audit is the same
+ORACLE["standard_cleaning_audit"] = ORACLE["cleaning_audit"]

@@ -248,6 +248,18 @@ def q_cleaning_audit(spark, d):
     return cleaning_audit(before.drop("record_index"), after.drop("record_index"))
 
 
+def q_standard_cleaning_audit(spark, d):
+    from sifter.plans.pipeline import standard_cleaning_audit
+    return standard_cleaning_audit(hourly_events(spark, d), "record_index")
+
+
+def q_heavy_values(spark, d):
+    """One column with a hot value, one with very many values of like counts."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "lineitem")
+    return profile.heavy_values(docs, "source").select(F.lit("source").alias("field"), "value", "count").unionByName(
+        profile.heavy_values(items, "l_orderkey").select(F.lit("l_orderkey").alias("field"), F.col("value").cast("string").alias("value"), "count"))
+
+
 # ---------------------------------------------------------------- E1-E14
 
 def q_numeric_summary(spark, d):
@@ -579,14 +591,22 @@ def q_overview_document(spark, d):
         each("categories", ("count", "missing", "unique")), tops, charts_)))
 
 
+def q_relationship_boxes(spark, d):
+    """E15's grouped boxes of both compare variables, from shared scans."""
+    swept = charts.relationship_sweep(sales_af(spark, d).withColumn("record_index", F.lit(0)), "Sales", ["Category", "Quantity", "Absent"])
+    out = swept["grouped_box"]
+    return out.select("variable", "key", "n", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")], "outliers")
+
+
 def q_chart_data(spark, d):
     from sifter.plans.pipeline import chart_data
     flat = sales_flat(spark, d)
     bars = chart_data(flat, "bar-category", compare="Category").select(F.lit("bar-category").alias("chart"), "value", F.col("count").cast("double").alias("number"))
     means = chart_data(flat, "grouped-comparison", compare="Category")
-    days = chart_data(flat, "time-line", compare="Order Date")
+    exact = flat.withColumn("sales", F.col("sales").cast("decimal(18,2)"))  # a mean that no order of additions changes
+    days = chart_data(exact, "time-line", compare="Order Date")
     return bars.unionByName(means.select(F.lit("grouped-comparison").alias("chart"), F.col(means.columns[0]).alias("value"), F.round("mean", 4).alias("number"))) \
-        .unionByName(days.select(F.lit("time-line").alias("chart"), F.col(days.columns[0]).cast("string").alias("value"), F.round("mean", 4).alias("number")))
+        .unionByName(days.select(F.lit("time-line").alias("chart"), F.col(days.columns[0]).cast("string").alias("value"), F.round("mean", 4).cast("double").alias("number")))
 
 
 #: a forest for the query below: breakpoints, a score per interval, offset
@@ -616,6 +636,9 @@ QUERIES = {
     "detector_run": q_detector_run,
     "overview_document": q_overview_document,
     "chart_data": q_chart_data,
+    "standard_cleaning_audit": q_standard_cleaning_audit,
+    "heavy_values": q_heavy_values,
+    "relationship_boxes": q_relationship_boxes,
     "forest_scores": q_forest_scores,
     "stored_detector": q_stored_detector,
     "derived_metrics_gaps": q_derived_metrics_gaps,

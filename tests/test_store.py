@@ -195,3 +195,34 @@ def test_overview_document(spark, tmp_dir):
         assert json.loads(f.readline())["rows"] == 4
     empty = profile.overview_document(df.limit(0)).first()
     assert empty["rows"] == 0 and empty["categories"][0]["top"] == []
+
+
+def test_heavy_values_are_exact_whatever_the_sketch_holds(spark):  # G1
+    rows = spark.range(30_000).selectExpr("case when id % 3 = 0 then 'hot' when id % 17 = 0 then null else concat('v', pmod(xxhash64(id), 4000)) end as v", "id")
+    want = [tuple(r) for r in rows.where("v is not null").groupBy("v").count().orderBy(F.desc("count"), "v").limit(5).collect()]
+    for tracked in ((16,), (16, 8192), (8192,), ()):
+        assert [tuple(r) for r in profile.heavy_values(rows, "v", 5, tracked).collect()] == want
+    assert profile.heavy_values(rows.limit(0), "v").count() == 0
+    few = spark.createDataFrame([(1.0,), (1.0,), (float("nan"),), (None,), (2.0,)], "v double")
+    assert [tuple(r) for r in profile.heavy_values(few, "v").collect()] == [(1.0, 2), (2.0, 1)]
+
+
+def test_standard_cleaning_audit_equals_the_two_sided_one(spark):  # E22
+    rows = [("1", "2026-01-01", 1.0, "a", 0), ("1", "2026-01-01", None, "b", 1), ("1", "2026-01-01", 3.0, None, 2), (None, "2026-01-01", 4.0, "c", 3),
+            ("2", None, None, None, 4), ("2", None, 1.0, None, 5), ("", "2026-01-02", 1.0, None, 6), ("3", "2026-01-03", float("nan"), None, 7)]
+    df = spark.createDataFrame(rows, "id string, order_date string, sales double, kind string, k int")
+    canon = reshape.adapt(df, keep=["k"])
+    from sifter.operators import validate
+    valid, _ = validate.split_valid(canon)
+    copies = validate.duplicates(valid.withColumnRenamed("k", "record_index"))
+    after = valid.join(copies.select(F.col("record_index").alias("k")), "k", "left_anti")
+    want = pipeline.cleaning_audit(canon.drop("k"), after.drop("k")).collect()
+    assert pipeline.standard_cleaning_audit(canon, "k").collect() == want
+
+
+def test_missed_brackets_grow_until_they_hold(spark, monkeypatch):
+    from sifter.functions import quantile
+    right = quantile._cells
+    monkeypatch.setattr(quantile, "_cells", lambda share, slack=1: right(share, slack) if slack > 1 else (0, 1))
+    df = spark.range(5001).select(F.col("id").cast("double").alias("v"))
+    assert quantile.column_quantiles(df, {"v": F.col("v")}, [0.5, 0.9])["v"] == (5001, [2500.0, 4500.0])
