@@ -22,32 +22,36 @@ SHARD_BYTES = 32 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or without a trustworthy language go."""
+    """Documents without a letter (null texts too) or without a trustworthy
+    language go; ids play no part beyond the choice of training rows."""
     model = langid.learn(docs, langid.fold("doc_id", 5) != 0)
     rows = boxed(docs, text=F.col("text"))
     return langid.identify(rows, model).where("_langid.accepted").select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without id
-    stay; of rows that share an id, one stays."""
-    found = written(jaccard.near_duplicates(docs, NEAR), "near")
-    return jaccard.one_per_group(docs, found)
+    """Of each group of near duplicates the document with the smallest id stays;
+    rows that share an id count as documents of their own unless their texts are
+    equal, rows without id are compared as well, texts without words all stay."""
+    return jaccard.one_per_group(docs, NEAR)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a verbatim benchmark window go."""
+    """Documents with a verbatim benchmark window go; null texts and rows without
+    id have their own row and stay."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources repeated to their target weights, shuffled globally."""
+    """Sources (null is one) repeated to their target weights, shuffled globally.
+    Rows that share an id share their number of copies; an empty table stays empty."""
     rows = boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text"))
     return mixing.mix(rows, MIX_SEED, keep=["_row"], **MIX).select("_row.*")
 
 
 def shard_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of at most ``SHARD_BYTES``."""
+    """Every row with its shard of at most ``SHARD_BYTES``; rows that share an id
+    lie in one shard as far as it holds them.  An empty table has no shard."""
     return sharding.shard(docs, SHARD_BYTES)
 
 

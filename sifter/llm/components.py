@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sifter.llm.common import written
+from sifter.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             return now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component_id"))
         seen = mark
-        now = written(_star(_star(now, True), False), "edges")
+        before, now = now, written(_star(_star(now, True), False), "edges")
+        discard(before)

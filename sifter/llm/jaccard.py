@@ -15,7 +15,9 @@ reaches num / den; 1 - similarity is a metric.
 3.  A set's counts in some hash classes of the shingles are coordinates whose
     L1 distance never exceeds the size of the symmetric difference.  A point
     with no other of its region within the distance that a link allows
-    leaves the region before any text is moved.
+    leaves the region before any text is moved: first by a sketch of a quarter
+    as many classes, then by all of them.  A region of more than
+    ``thin_points`` points keeps them all.
 4.  A region larger than ``region_shingles`` is divided again: each point
     goes to the Voronoi cell of its nearest pivot and, within the triangle
     inequality's window d(x, p) <= d(x, nearest) + 2 eps, to those of
@@ -39,13 +41,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sifter.llm.common import boxed, spans, text_column, written
+from sifter.llm.common import boxed, discard, spans, text_column, written
 from sifter.llm.components import components
 from sifter.llm.words import WHITE_SPACE, combine, hashed_words, mix
 
 _U = np.uint64
 _SLOTS = 1 << 20
 _SLICES = 64
+_CELLS = 1 << 20  # numbers compared at once
 
 
 @dataclass(frozen=True)
@@ -135,23 +138,58 @@ def commonness(docs: DataFrame, rule: Rule) -> np.ndarray:
     return np.where(excess <= 1, 0, 1 + np.log2(np.maximum(excess, 1))).astype(np.uint8)
 
 
-def _members(ids: DataFrame) -> np.ndarray:
-    """Sketch slots that hold one of the ids."""
-    def count(batch, total):
-        total[(mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U(_SLOTS - 1)).astype(np.int64)] = 1
+def _slots(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(numbers.view(_U)) >> _U(64 - bits)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A set of 64-bit numbers as 2 ** ``bits`` bits."""
+
+    bits: int
+    words: np.ndarray
 
-    return _sliced(ids, count) > 0
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        slot = _slots(numbers, self.bits)
+        return (self.words[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(numbers: DataFrame) -> Filter:
+    """The filter of a column of longs: 16 bits or more a number, but 2**27 (16
+    MB) at most, from where on more strangers pass.  Every slice of the slots is
+    made by one task, so what moves to the driver is the filter, once."""
+    bits = min(27, max(16, (16 * numbers.count()).bit_length()))
+    shift, part = bits - (_SLICES.bit_length() - 1), (1 << bits - 3) // _SLICES
+
+    def slot(batches):
+        for batch in batches:
+            at = np.unique(_slots(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> shift).astype(np.int32)), pa.array(at)], names=["slice", "slot"])
+
+    def mark(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            which, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(which).tolist():
+                mine = at[which == k] - (k << shift)
+                np.bitwise_or.at(found.setdefault(k, np.zeros(part, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+        for k, v in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], names=["slice", "words"])
+
+    slots = numbers.mapInArrow(slot, "slice int, slot long").repartition("slice")
+    words = np.zeros((_SLICES, part), np.uint8)
+    for r in slots.mapInArrow(mark, "slice int, words binary").collect():
+        words[r["slice"]] = np.frombuffer(bytes(r["words"]), np.uint8)
+    return Filter(bits, words.ravel())
 
 
 def _maybe(ids: DataFrame):
-    """A filter that admits every row whose id is one of ``ids`` and few others,
-    as long as these fill a small part of the sketch."""
-    wanted = ids.sparkSession.sparkContext.broadcast(_members(ids))
+    """A filter that admits every row whose id is one of ``ids`` and few others."""
+    wanted = ids.sparkSession.sparkContext.broadcast(_filter(ids))
 
     @F.arrow_udf("boolean")
     def maybe(col: pa.Array) -> pa.Array:
-        slots = (mix(col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(_U)) & _U(_SLOTS - 1)).astype(np.int64)
-        return pa.array(wanted.value[slots])
+        return pa.array(wanted.value.holds(col.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return maybe
 
@@ -171,40 +209,53 @@ def coordinates(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((mix(s) >> shift).astype(np.int64), minlength=classes), 65535).astype("<u2")
 
 
+def sketch(coords: np.ndarray) -> np.ndarray:
+    """The coordinates in a quarter as many classes, 16 at least."""
+    return coords.reshape(max(16, len(coords) // 4), -1).sum(axis=1).astype("<u4").clip(max=65535).astype("<u2")
+
+
 def plausible(n: np.ndarray, coords: list[np.ndarray], rule: Rule, block: int = 64) -> np.ndarray:
-    """Which points have another one that the coordinates do not rule out."""
+    """Which points have another one that the coordinates do not rule out.
+    Pairs of points that both have one already are not compared any more."""
     order = np.argsort(n, kind="stable")
     size, kinds = n[order], np.array([len(coords[i]) for i in order])
-    out = np.zeros(len(n), bool)
+    out = np.zeros(len(n), bool)  # by place in the order
     at = 0
     while at < len(n):
         stop = min(at + block, len(n), int(np.searchsorted(kinds, kinds[at], "right")))
         last = int(np.searchsorted(size, size[stop - 1] * rule.den // rule.num, "right"))
         k = kinds[at]
-        every = np.array([coords[i].reshape(k, -1).sum(axis=1) for i in order[at:last]], np.int32)
-        mine = every[:stop - at]
-        for lo in range(at, last, 256):
-            hi = min(lo + 256, last)
-            apart = np.abs(mine[:, None, :] - every[None, lo - at:hi - at, :]).sum(axis=2)
-            near = apart * (rule.den + rule.num) <= (rule.den - rule.num) * (size[at:stop, None] + size[None, lo:hi])
-            near &= np.arange(lo, hi)[None, :] > np.arange(at, stop)[:, None]
-            out[order[at:stop]] |= near.any(axis=1)
-            out[order[lo:hi]] |= near.any(axis=0)
+        classes = lambda rows: np.array([coords[order[i]].reshape(k, -1).sum(axis=1) for i in rows], np.int32)
+        mine = classes(range(at, stop))
+        width = max(1, _CELLS // (block * int(k)))  # a long set has thousands of classes
+        for lo in range(at, last, width):
+            rows = np.arange(lo, min(lo + width, last))
+            if out[at:stop].all():
+                rows = rows[~out[rows]]
+            if not len(rows):
+                continue
+            apart = np.abs(mine[:, None, :] - classes(rows)[None, :, :]).sum(axis=2)
+            near = apart * (rule.den + rule.num) <= (rule.den - rule.num) * (size[at:stop, None] + size[None, rows])
+            near &= rows[None, :] != np.arange(at, stop)[:, None]
+            out[at:stop] |= near.any(axis=1)
+            out[rows] |= near.any(axis=0)
         at = stop
-    return out
+    back = np.zeros(len(n), bool)
+    back[order] = out
+    return back
 
 
 def points(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(id, n, sig_a, sig_b, odd, first, coords): set size, set signature, share
-    of shingles that are no common ones (0 to 100), first shingles and
-    coordinates."""
+    """(id, n, sig_a, sig_b, odd, first, coords, sketch): set size, set signature,
+    share of shingles that are no common ones (0 to 100), first shingles,
+    coordinates and their sketch."""
     common = docs.sparkSession.sparkContext.broadcast(commonness(docs, rule))
-    kind = pa.struct([("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("odd", pa.int32()), ("first", pa.list_(pa.int64())), ("coords", pa.binary())])
+    kind = pa.struct([("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("odd", pa.int32()), ("first", pa.list_(pa.int64())), ("coords", pa.binary()), ("sketch", pa.binary())])
 
-    @F.arrow_udf("struct<n:bigint,sig_a:bigint,sig_b:bigint,odd:int,first:array<bigint>,coords:binary>")
+    @F.arrow_udf("struct<n:bigint,sig_a:bigint,sig_b:bigint,odd:int,first:array<bigint>,coords:binary,sketch:binary>")
     def point(col: pa.Array) -> pa.Array:
         classes = common.value
-        n, a, b, odd, first, coords = [], [], [], [], [], []
+        n, a, b, odd, first, coords, light = [], [], [], [], [], [], []
         for s in shingle_sets(col, rule.words):
             c = classes[(s & _U(_SLOTS - 1)).astype(np.int64)]
             keep = len(s) - least_overlap(len(s), rule) + 1 if len(s) else 0
@@ -213,10 +264,12 @@ def points(docs: DataFrame, rule: Rule) -> DataFrame:
             b.append(int(mix(s ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U).astype(np.int64)))
             odd.append(int(100 * np.mean(c == 0)) if len(s) else 0)
             first.append(s[np.argsort(c, kind="stable")[:keep]].view(np.int64))
-            coords.append(coordinates(s).tobytes())
+            whole = coordinates(s)
+            coords.append(whole.tobytes())
+            light.append(sketch(whole).tobytes())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(odd, pa.int32()),
-             pa.array(first, pa.list_(pa.int64())), pa.array(coords, pa.binary())], fields=list(kind))
+             pa.array(first, pa.list_(pa.int64())), pa.array(coords, pa.binary()), pa.array(light, pa.binary())], fields=list(kind))
 
     return docs.select("id", point("text").alias("p")).select("id", "p.*")
 
@@ -349,25 +402,38 @@ def _key():
     return F.shiftleft(F.col("odd").cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64("n", "sig_a", "sig_b"), 8))
 
 
-def regions(pts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(region, id, n, odd, coords): every class of equal sets in the regions of
-    its pivots.  The key is a function of the set, so the copies of a text fall
-    together in the aggregations and their long rows need no shuffle before.
-    Two classes share a key only with a probability of about 2**-56 per pair,
-    which merges two regions."""
+def regions(pts: DataFrame) -> DataFrame:
+    """(region, key): every set in the regions of its pivots.  The key is a
+    function of the set, so the copies of a text fall together in the
+    aggregations and their long rows need no shuffle before.  Two sets share a
+    key only with a probability of about 2**-56 per pair, which merges two
+    regions.  Shingles that one set alone has (most of them) are left out by a
+    filter of the shared ones before the second shuffle."""
     entry = pts.select(_key().alias("key"), F.explode("first").alias("s"))
-    pivot = entry.groupBy("s").agg(F.min("key").alias("region"), F.count("*").alias("c")).where("c > 1").drop("c")
-    member = entry.join(pivot, "s").groupBy("region", "key").agg(F.lit(1).alias("one")).drop("one")
-    return member.join(classes.select(_key().alias("key"), F.col("rep").alias("id"), "n", "odd", "coords"), "key").drop("key")
+    pivot = written(entry.groupBy("s").agg(F.min("key").alias("region"), F.count("*").alias("c")).where("c > 1").drop("c"), "pivots")
+    shared = pts.sparkSession.sparkContext.broadcast(_filter(pivot.select("s")))
 
+    @F.arrow_udf("array<bigint>")
+    def only_shared(col: pa.Array) -> pa.Array:
+        col = col.cast(pa.list_(pa.int64()))
+        on = shared.value.holds(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+        cut = np.r_[0, np.cumsum(on)][col.offsets.to_numpy() - col.offsets[0].as_py()] if len(col) else np.zeros(1, np.int64)
+        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), col.flatten().filter(pa.array(on)))
 
-def _thinned(members: DataFrame, rule: Rule) -> DataFrame:
-    """Regions without the points that link with none of their region."""
+    entry = pts.select(_key().alias("key"), only_shared("first").alias("first")).select("key", F.explode("first").alias("s"))
+    return written(entry.join(pivot, "s").select("region", "key").distinct(), "regions")
+
+
+def _thinned(members: DataFrame, rule: Rule, by: str) -> DataFrame:
+    """Regions without the points that link with none of their region, as far as
+    the column ``by`` tells."""
     ddl = "region long, id long, n long, odd int"
     schema = pa.schema([("region", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("odd", pa.int32())])
 
     def thin(table: pa.Table) -> pa.Table:
-        coords = [np.frombuffer(c, "<u2") for c in table["coords"].to_pylist()]
+        if table.num_rows < 2:
+            return pa.Table.from_pylist([], schema)
+        coords = [np.frombuffer(c, "<u2") for c in table[by].to_pylist()]
         return table.select(schema.names).filter(pa.array(plausible(table["n"].to_numpy(), coords, rule))).cast(schema)
 
     return members.groupBy("region").applyInArrow(thin, ddl)
@@ -426,12 +492,18 @@ def _block_pairs(members: DataFrame, heavy: DataFrame, limit: int) -> DataFrame:
     return rows.select(pair.alias("region"), "id", "n", "odd")
 
 
-def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, rule: Rule, region_shingles: int, levels: int) -> DataFrame:
-    """(u, v) representatives that connect all linked classes of equal sets."""
-    found = written(regions(pts, classes), "regions")
-    heavy = written(_heavy(found, region_shingles), "heavy").select("region")
-    members = written(_thinned(found.join(heavy, "region", "left_anti"), rule).unionByName(
-        found.join(heavy, "region", "left_semi").drop("coords")), "regions")
+def links(docs: DataFrame, found: DataFrame, classes: DataFrame, rule: Rule, region_shingles: int, levels: int, thin_points: int) -> DataFrame:
+    """(u, v) representatives that connect all linked classes of equal sets.
+    ``found`` are the regions (region, key)."""
+    point = lambda *by: classes.select(_key().alias("key"), F.col("rep").alias("id"), *by)
+    crowded = written(found.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > thin_points), "crowded").select("region")
+    light = found.join(crowded, "region", "left_anti").join(point("n", "odd", "sketch"), "key")
+    first = written(_thinned(light, rule, "sketch"), "thin")
+    some = _maybe(first.select("id").distinct())
+    coords = classes.select(F.col("rep").alias("id"), "coords").where(some("rep"))
+    rest = found.join(crowded, "region", "left_semi").join(point("n", "odd"), "key").select("region", "id", "n", "odd")
+    members = written(_thinned(first.join(coords, "id"), rule, "coords").unionByName(rest), "members")
+    discard(first)
     texts = docs.where(_maybe(members.select("id").distinct())("id"))
     for level in range(levels + 1):
         heavy = written(_heavy(members, region_shingles), "heavy")
@@ -440,13 +512,14 @@ def links(docs: DataFrame, pts: DataFrame, classes: DataFrame, rule: Rule, regio
         light = members.join(heavy.select("region"), "region", "left_anti")
         split = (_divide(members, heavy, texts, rule, region_shingles) if level < levels
                  else _block_pairs(members, heavy, region_shingles))
-        members = written(light.unionByName(split), "regions")
+        before, members = members, written(light.unionByName(split), "members")
+        discard(before)
     rows = members.select("region", "id", "odd").join(texts, "id")
-    return rows.groupBy("region").applyInArrow(_join_region(rule), "u long, v long")
+    return written(rows.groupBy("region").applyInArrow(_join_region(rule), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text",
-                    region_shingles: int = 4_000_000, levels: int = 2) -> DataFrame:
+                    region_shingles: int = 1_000_000, levels: int = 2, thin_points: int = 50_000) -> DataFrame:
     """(``id_col``, n_shingles, component_id) per row of ``docs``.
 
     The component is the smallest id reachable by links, the own id included.
@@ -458,34 +531,46 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     pts = written(points(source, rule), "points")
     usable = pts.where((F.col("n") > 0) & F.col("id").isNotNull())
     sets = ["n", "sig_a", "sig_b"]
-    # odd and coords are functions of the set, so they ride along as keys
-    classes = written(usable.groupBy(*sets, "odd", "coords").agg(F.min("id").alias("rep")), "classes")
+    # odd, coords and sketch are functions of the set, so they ride along as keys
+    classes = written(usable.groupBy(*sets, "odd", "coords", "sketch").agg(F.min("id").alias("rep")), "classes")
+    found_in = regions(usable)
+    heads = written(pts.select("id", *sets), "sets")
+    discard(pts)
     same = classes.select(*sets, "rep")
-    found = links(source.where("id is not null"), usable, classes, rule, region_shingles, levels)
+    found = links(source.where("id is not null"), found_in, classes, rule, region_shingles, levels, thin_points)
+    discard(found_in)
     # rows that share an id tie the classes of their sets together
-    tied = written(usable.select("id", *sets).join(same, sets).select("id", "rep"), "members")
+    tied = written(heads.where("n > 0 and id is not null").join(same, sets).select("id", "rep"), "tied")
     several = tied.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     ties = tied.join(several, "id").select(F.col("rep").alias("u"), F.col("least").alias("v"))
     label = components(found.unionByName(ties))
     best = (tied.join(label.withColumnRenamed("id", "rep"), "rep", "left")
             .groupBy("id").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id")))
-    out = pts.select("id", "n").join(best, "id", "left")
+    out = heads.select("id", "n").join(best, "id", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the component of ``near_duplicates``'
-    result ``found``: one per group.
+def one_per_group(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: one row of each group of
+    linked texts stays, the one with the smallest id (rows without id last).
 
-    Rows without id stay; of rows that share an id, the smallest one stays.
-    Rows whose id is surely not to be treated pass without a shuffle.
+    Rows are told apart by a hash of id and text, so rows that share an id but
+    not the text are rows of their own, and copies without id are found.  Rows
+    equal in both are one if they have words; texts without words all stay.
+    Rows that are surely in no group pass without a shuffle.
     """
-    found = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(id_col) != F.col("component_id")).alias("go"))
-    touched = written(found.groupBy("id").agg(F.max("go").alias("go"), (F.count("*") > 1).alias("several")).where("go or several"), "touched")
-    maybe = _maybe(touched.select("id"))
-    rows = boxed(docs, id=F.col(id_col).cast("long"))
-    rows = rows.withColumn("maybe", F.col("id").isNotNull() & maybe(F.coalesce("id", F.lit(0).cast("long"))))
-    rest = rows.where("maybe").join(touched, "id", "left").where(F.coalesce(~F.col("go"), F.lit(True)))
-    single = rest.where(~F.coalesce("several", F.lit(False))).select("_row.*")
-    first = rest.where("several").groupBy("id").agg(F.min("_row").alias("_row")).select("_row.*")
-    return rows.where("not maybe").select("_row.*").unionByName(single).unionByName(first)
+    rows = boxed(docs, id=F.col(f"`{id_col}`"), text=F.col(f"`{text_col}`"))
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    found = written(near_duplicates(rows.select("key", "text"), rule, id_col="key").where("n_shingles > 0"), "near")
+    several = found.groupBy("component_id").agg(F.count("*").alias("c")).where("c > 1").select("component_id")
+    touched = written(found.join(several, "component_id").select("key", F.col("component_id").alias("group")).distinct(), "touched")
+    discard(found)
+    maybe = _maybe(touched.select("key"))
+    rows = rows.withColumn("maybe", maybe("key"))
+    in_group = rows.where("maybe").select("_row", "id", "key").join(touched, "key", "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    chosen = written(in_group.where("group is not null").groupBy("group").agg(first).select(F.col("first.key").alias("key"), F.lit(True).alias("chosen")), "chosen")
+    kept = in_group.join(chosen, "key", "left")
+    one = kept.where("chosen").groupBy("key").agg(F.min("_row").alias("_row"))
+    return (rows.where("not maybe").select("_row.*").unionByName(kept.where("group is null").select("_row.*"))
+            .unionByName(one.select("_row.*")))
