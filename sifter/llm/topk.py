@@ -9,9 +9,9 @@ waves; the k-th scores that one wave ends with are shared with all shards of
 the next, where most nodes then fall at once.
 
 Defined results.  A component x becomes floor(256 x).  A vector takes no
-part if it or its id is null, if a component is null or not finite, or if
-the sum of its squared integers exceeds 2**62 (its scores may not fit a
-long).  Only vectors of equal length meet.  Rows that share an id count
+part if it or its id is null or if a component is null, not finite or so large
+that its integer is no long.  Scores are exact; one beyond a long counts as the
+end of the longs on its side.  Only vectors of equal length meet.  Rows that share an id count
 once, with the smallest vector.  Equal scores rank by the smaller id.
 """
 
@@ -32,11 +32,24 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = 256) -
     """(vec_id, q array<long>, dim) of the vectors that take part."""
     x = F.col(vec_col)
     good: Column = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(
-        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < 2.0**62 / scale))
+        x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < 2.0**63 / scale))
     q = F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(float(scale))).cast("long"))
-    norm = F.aggregate(F.col("q"), F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return (vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q"))
-            .where(norm <= 2.0**62).withColumn("dim", F.size("q")))
+    return vectors.where(good).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q")).withColumn("dim", F.size("q"))
+
+
+def exact_scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Inner products of rows of longs, clipped to the longs.
+
+    Arithmetic modulo 2**64 is right wherever the sum of the terms' sizes stays
+    below 2**62; the other pairs are computed with Python's integers."""
+    with np.errstate(over="ignore"):
+        out = queries @ points.T
+    sizes = np.abs(queries.astype(np.float64)) @ np.abs(points.astype(np.float64)).T
+    ends = np.iinfo(np.int64)
+    for i, j in zip(*np.nonzero(sizes >= 2.0**62)):
+        whole = sum(a * b for a, b in zip(queries[i].tolist(), points[j].tolist()))
+        out[i, j] = min(max(whole, ends.min + 1), ends.max)
+    return out
 
 
 class BallTree:
@@ -105,6 +118,7 @@ class BallTree:
             for part in np.array_split(np.arange(len(front_q)), max(1, len(front_q) >> 15)):
                 bound[part] = np.einsum("ij,ij->i", real[front_q[part]], self.centre[front_n[part]])
             bound += norm[front_q] * self.radius[front_n] + slack[front_q] * scale
+            bound = np.maximum(bound, float(_DEEP))  # scores end there too
             live = bound >= best[front_q, -1]
             front_q, front_n, bound = front_q[live], front_n[live], bound[live]
             is_leaf = self.left[front_n] < 0
@@ -132,7 +146,7 @@ class BallTree:
         if widest < 2**52:  # exact in doubles
             score = (real[q] @ pts.astype(np.float64).T).astype(np.int64)
         else:
-            score = queries[q] @ pts.T
+            score = exact_scores(queries[q], pts)
         score = np.where(ids[None, :] == qids[q][:, None], _DEEP, score)
         both = np.concatenate([best[q], score], axis=1)
         who = np.concatenate([bestid[q], np.broadcast_to(ids, score.shape)], axis=1)
