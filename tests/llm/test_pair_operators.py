@@ -45,6 +45,23 @@ def test_top_k_of_large_components_is_exact_and_an_empty_table_has_no_rows(spark
     assert topk.top_k(df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_scores_up_to_the_ends_of_the_longs(spark):
+    """No vector is left out for its size: sums beyond 2**64 that cancel, scores
+    that only just fit, and scores that don't."""
+    big = 2.0**40
+    rows = [(0, [1.0, 0.0]), (1, [2.0**24, 0.0]), (2, [2.0, 0.0]), (3, [big, big]), (4, [big, -big]), (5, [big, 1 - big]), (6, [-big, 3.0]), (10, [2.0**54, 2.0**54]),
+            (7, [2.0**60, 0.0]), (20, [-(2.0**54), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(np.floor(x * 256)) for x in v] for i, v in rows if i != 7}  # its integer is no long
+    want = []
+    for q in ints:
+        if q % 5 == 0:
+            scored = sorted((-min(max(sum(a * b for a, b in zip(ints[q], ints[j])), -(2**63) + 1), 2**63 - 1), j) for j in ints if j != q)
+            want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored[:5])]
+    for kw in ({}, {"shard_rows": 3, "leaf": 1}):
+        assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 5 == 0, **kw).collect())) == sorted(want)
+
+
 def classes(rows, rule):
     sets = []
     for _, t in rows:
@@ -89,7 +106,7 @@ def texts():
 
 @pytest.mark.parametrize("rule, kw", [
     (jaccard.Rule(), {}), (jaccard.Rule(), {"region_shingles": 1000, "levels": 1}),
-    (jaccard.Rule(2, 50, 100), {"region_shingles": 3000}), (jaccard.Rule(2, 50, 100), {"region_shingles": 1500, "levels": 0})])
+    (jaccard.Rule(2, 50, 100), {"region_shingles": 3000}), (jaccard.Rule(2, 50, 100), {"region_shingles": 2000, "thin_points": 3}), (jaccard.Rule(2, 50, 100), {"region_shingles": 1500, "levels": 0})])
 def test_jaccard_join_equals_brute_force(spark, texts, rule, kw):
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("n", F.lit(1)).repartition(5)
     want, key = classes(texts, rule)
@@ -97,13 +114,28 @@ def test_jaccard_join_equals_brute_force(spark, texts, rule, kw):
 
 
 def test_one_of_each_group_stays(spark, texts):
-    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("_id", F.lit("own"))
+    """Rows equal in id and text are one, others stand for themselves."""
+    rows = texts + [(None, texts[0][1]), (None, "no copy of anything else"), (None, None), (None, None), (501, None), (501, "shares an id only"),
+                    texts[5], texts[5], (77, "w " * 40_000 + "end of a very long text"), (78, "w " * 40_000 + "end of a very long text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_id", F.lit("own")).withColumn("key", F.lit(1))
     rule = jaccard.Rule(5, 80, 100)
-    want, _ = classes(texts, rule)
-    kept = [r["doc_id"] for r in jaccard.one_per_group(df, jaccard.near_duplicates(df, rule)).collect()]
-    assert sorted(x for x in kept if x is not None) == sorted({c for d, _, c in want if d is not None})
-    assert kept.count(None) == 1
-    assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    unique = sorted(set(rows), key=str)
+    groups, _ = classes([(i, t) for i, (_, t) in enumerate(unique)], rule)
+    want = [r for r in rows if not (r[1] or "").strip()]
+    for c in {c for i, n, c in groups if n}:
+        members = [unique[i] for i, n, k in groups if k == c and n]
+        want.append(min(members, key=lambda r: (r[0] is None, r[0] or 0, str(r[1]))))
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_per_group(df, rule).collect()]
+    assert sorted((str(d) for d, _ in kept)) == sorted(str(d) for d, _ in want) and len(kept) == len(want)
+    assert jaccard.one_per_group(df.limit(0), rule).columns == df.columns
+    assert jaccard.near_duplicates(df.limit(0)).count() == 0 == jaccard.one_per_group(df.limit(0), rule).count()
+
+
+def test_a_filter_holds_its_numbers_and_few_others(spark):
+    for n in (0, 1, 20_000):
+        f = jaccard._filter(spark.range(n).selectExpr("id * 7 as x"))
+        own = np.arange(n, dtype=np.int64) * 7
+        assert f.holds(own).all() and f.holds(own + 3).sum() <= 0.1 * n + 1
 
 
 def test_different_orders_of_the_same_words_are_different_shingles():

@@ -236,3 +236,75 @@ def test_language_model_of_odd_rows_small_chunks_and_no_training_text(spark):
     assert lm.score_texts(df.limit(0), role).count() == 0
     alone = lm.score_texts(test, F.lit(lm.SCORED)).first()
     assert alone["train_tokens"] == 0 and alone["n_known"] == 0
+
+
+def test_language_scores_equal_a_plain_scorer(spark):
+    """Subwords by loops, mean embedding and softmax by hand, for one given model."""
+    def plain(text, m):
+        code = [" ", *[c if c.isalpha() else " " for c in text.lower()], " "]
+        grams = []
+        for n in m.settings.orders:
+            for i in range(len(code) - n + 1):
+                g = code[i:i + n]
+                letters = [c != " " for c in g]
+                if (n == 1 and letters[0]) or (n == 2 and any(letters)) or (n == 3 and letters[1]):
+                    h = 0
+                    for c in g:
+                        h = (h * 0x100000001B3 + ord(c)) % (1 << 48)
+                    grams.append((((h + n) * 0x9E3779B97F4A7C15) % (1 << 64) >> 20) % m.settings.buckets)
+        if not any(c != " " for c in code):
+            return "und", 0.0
+        z = [(math.fsum(float(m.scores[g][k]) for g in grams) / len(grams) + m.bias[k]) / m.temperature for k in range(len(m.langs))]
+        e = [math.exp(x - max(z)) for x in z]
+        best = max(range(len(z)), key=lambda k: (e[k], -k))
+        return m.langs[best], e[best] / sum(e)
+
+    docs = spark.read.parquet(DOCS + "/documents.parquet")
+    model = langid.learn(docs, langid.fold("doc_id", 5) != 0)
+    odd = [(-1, None), (-2, ""), (-3, "12 .,"), (-4, "É"), (-5, "x1y2 z"), (-5, "x1y2 z"), (-6, "mixed " * 500)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = langid.identify(rows, model).select("text", "_langid.*").collect()
+    assert len(got) == docs.count() + len(odd)
+    for r in got:
+        lang, score = plain(r["text"] or "", model)
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score, abs=1e-5))
+
+
+def test_language_model_scores_equal_plain_deleted_interpolation(spark):
+    """Counts, expectation-maximisation over every held-out token, and the mixture, by loops."""
+    texts = {r["doc_id"]: split(r"[^\x20\x09-\x0D]+", r["text"]) for r in spark.read.parquet(DOCS + "/documents.parquet").select("doc_id", "text").collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i in texts}
+
+    def pairs(i):
+        return list(zip(["<", *texts[i]], [*texts[i], "\n"]))
+
+    def counts(use):
+        single, double = Counter(), Counter()
+        for i in texts:
+            if use(fold[i]):
+                double.update(pairs(i))
+                single.update(w for _, w in pairs(i))
+        single["<"] = single["\n"]  # a beginning per end; no word is called so
+        return single, double, sum(c for w, c in single.items() if w != "<"), len(single) - 1
+
+    def parts(u, w, c1, c2, n, v):
+        return c2[u, w] / max(c1[u], 1), c1[w] / n, 1 / (v + 1)
+
+    bucket = lambda c: min(int(math.log2(c + 1)), lm.BUCKETS - 1)
+    fitted = counts(lambda f: f > 1)
+    held = [(bucket(fitted[0][u]), parts(u, w, *fitted)) for i in texts if fold[i] == 1 for u, w in pairs(i)]
+    weights = {b: (0.5, 0.4, 0.1) for b in range(lm.BUCKETS)}
+    for _ in range(60):
+        share = {b: [0.0, 0.0, 0.0] for b, _ in held}
+        for b, p in held:
+            mix = [x * y for x, y in zip(weights[b], p)]
+            for k in range(3):
+                share[b][k] += mix[k] / sum(mix)
+        weights |= {b: tuple(x / sum(s) for x in s) for b, s in share.items()}
+    seen = sorted(share)
+    weights = {b: weights[min(seen, key=lambda s: (abs(s - b), s))] for b in range(lm.BUCKETS)}
+    whole = counts(lambda f: f > 0)
+    got = {r["doc_id"]: r["score"] for r in queries.op8_lm_scoring(spark, DOCS).collect()}
+    for i in texts:
+        want = math.fsum(math.log10(max(sum(x * y for x, y in zip(weights[bucket(whole[0][u])], parts(u, w, *whole))), 1e-300)) for u, w in pairs(i))
+        assert got[i] == pytest.approx(want, rel=0.02, abs=0.05)
