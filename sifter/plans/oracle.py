@@ -264,6 +264,20 @@ UNION ALL
 SELECT 'time-line', strftime(l_shipdate, '%Y-%m-%d'), {RND('avg(CAST(l_extendedprice AS DECIMAL(18,2)))')}
 FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY strftime(l_shipdate, '%Y-%m-%d')""",
 
+    "date_parse": f"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN {ISO('CAST(o_orderdate AS TIMESTAMP)')} END AS parsed FROM orders""",
+
+    "short_labels": """
+WITH l AS (SELECT c_custkey, c_name || ' ' || c_mktsegment AS t FROM customer)
+SELECT c_custkey, CASE WHEN length(t) > 18 THEN substr(t, 1, 17) || '…' ELSE t END AS label FROM l""",
+
+    "aligned": f"""
+WITH t AS (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS record_index, o_orderkey,
+       {RND('abs((o_totalprice - m) / s)')} AS pred_anomaly_score FROM orders, t""",
+
+    "expanded_lists": "SELECT conv_id, turn, role FROM conversations",
+
     "heavy_values": """
 SELECT * FROM (SELECT 'source' AS field, source AS value, count(*) AS count FROM documents
                WHERE source IS NOT NULL GROUP BY source ORDER BY count DESC, value LIMIT 10)

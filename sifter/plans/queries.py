@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sifter.functions.order import with_ordinal
 from sifter.operators import anomaly, charts, forecast, metrics, profile, reshape, validate
@@ -533,6 +534,40 @@ def q_kmeans_scores(spark, d):
     return out.select("entity_id", "value", "is_anomaly", "anomaly_score")
 
 
+# ---------------------------------------------------------------- scalar and alignment rows
+
+def q_date_parse(spark, d):
+    """Order dates as texts of three forms and one that is no date."""
+    from sifter.functions.cols import iso_string, try_timestamp
+    o, k = table(spark, d, "orders"), F.col("o_orderkey") % 4
+    text = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")) \
+        .when(k == 2, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    rows = o.select("o_orderkey", text.alias("t"))
+    parsed = try_timestamp(F.col("t"), rows.schema["t"].dataType)
+    return rows.withColumn("ts", parsed).select("o_orderkey", iso_string(F.col("ts"), T.TimestampType()).alias("parsed"))
+
+
+def q_short_labels(spark, d):
+    """I5 over the names of the customers with their segments."""
+    from sifter.functions.cols import truncate_label
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", truncate_label(F.concat_ws(" ", "c_name", "c_mktsegment")).alias("label"))
+
+
+def q_aligned(spark, d):
+    """The i-th order beside the i-th score of the orders, scored elsewhere."""
+    recs = with_ordinal(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("value")), ["o_orderkey"])
+    scored = anomaly.ZScoreModel(threshold=2.0).fit(recs).transform(recs).select("record_index", "anomaly_score")
+    return metrics.align(recs, scored).select("record_index", "o_orderkey", "pred_anomaly_score")
+
+
+def q_expanded_lists(spark, d):
+    """Conversations as one column of lists, expanded to their turns."""
+    from sifter.sources.readers import expand_single_container
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("conv_id", "turn", "role")).alias("turns"))
+    return expand_single_container(talks.select("turns"))
+
+
 # ---------------------------------------------------------------- K1-K6, E8, J10
 
 def stored_run(spark, d):
@@ -636,6 +671,10 @@ QUERIES = {
     "detector_run": q_detector_run,
     "overview_document": q_overview_document,
     "chart_data": q_chart_data,
+    "date_parse": q_date_parse,
+    "short_labels": q_short_labels,
+    "aligned": q_aligned,
+    "expanded_lists": q_expanded_lists,
     "standard_cleaning_audit": q_standard_cleaning_audit,
     "heavy_values": q_heavy_values,
     "relationship_boxes": q_relationship_boxes,
