@@ -7,16 +7,20 @@ an item of fewer words, but not none, is one window.
 Each shard of documents gets a suffix array: the start positions whose first
 few words occur somewhere in the benchmark, sorted by the words that follow
 (up to a window; other suffixes can match no window).  Every test suffix
-that begins a window is binary-searched in it.  Its hits on neighbouring
-positions of one alignment are joined to the longest verbatim match.
+that begins a window is binary-searched in it, a window that an item repeats
+once.  Its hits on neighbouring positions of one alignment are joined to the
+longest verbatim match; where an item repeats windows, the matches are the longest
+ones that cover the document's hits from left to right.
 
 The benchmark is read in blocks of at most ``block_bytes`` of text (a longer
 item stands alone), each broadcast and searched in the same scan, one after
-the other, so its total size is not limited by a worker's memory.
+the other; the driver and a search hold one block at a time.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -40,16 +44,26 @@ class TestSuffixes:
         self.vocabulary, rank = np.unique(hashes, return_inverse=True)
         need = np.minimum(sizes, window)
         self.head = int(min(3, need[need > 0].min(initial=window)))
-        rows = [(i, p, need[i]) for i in range(len(items)) for p in range(sizes[i] - need[i] + 1) if need[i]]
-        self.item = np.array([r[0] for r in rows], np.int64)
-        self.pos = np.array([r[1] for r in rows], np.int64)
-        self.length = np.array([r[2] for r in rows], np.int64)
-        at = offsets[self.item] + self.pos if rows else np.zeros(0, np.int64)
+        count = np.where(need > 0, sizes - need + 1, 0)  # windows of each item
+        item = np.repeat(np.arange(len(items)), count)
+        pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        rows, self.length = range(len(item)), need[item].astype(np.int64)
+        at = offsets[item] + pos if len(rows) else np.zeros(0, np.int64)
         step = np.arange(window)
         inside = step[None, :] < self.length[:, None]
         words = np.where(inside, (rank + 1)[np.minimum(at[:, None] + step, max(len(rank) - 1, 0))] if rows else 0, 0)
-        self.low = _keys(words.reshape(len(rows), window))
-        self.high = _keys(np.where(inside, words, 0xFFFFFFFF).reshape(len(rows), window))
+        low = _keys(words.reshape(len(rows), window))
+        high = _keys(np.where(inside, words, 0xFFFFFFFF).reshape(len(rows), window))
+        # a window that an item repeats is searched once; ``at_window`` has its places in the item
+        order = np.lexsort((pos, low, item)) if len(rows) else np.zeros(0, np.int64)
+        new = np.ones(len(order), bool)
+        new[1:] = (item[order][1:] != item[order][:-1]) | (low[order][1:] != low[order][:-1])
+        first = np.flatnonzero(new)
+        self.places, self.at_window = pos[order], np.r_[first, len(order)]
+        one = order[first]
+        self.item, self.pos, self.length, self.low, self.high = item[one], pos[one], self.length[one], low[one], high[one]
+        self.repeats = np.zeros(len(items), bool)
+        self.repeats[self.item[np.diff(self.at_window) > 1]] = True
         self.heads = np.unique(_head_hashes(hashes, at, self.head)) if rows else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.heads & np.uint64(0xFFFFF)).astype(np.int64)] = True
@@ -101,15 +115,52 @@ def shard_matches(hashes: np.ndarray, offsets: np.ndarray, test: TestSuffixes):
     # neighbouring hits of one alignment are one longer match
     item, ipos, width = test.item[which], test.pos[which], test.length[which]
     order = np.lexsort((where, where - ipos, item))
+    order = order[~test.repeats[item[order]]]
+    twisted = np.flatnonzero(test.repeats[item])
+    twisted = twisted[np.lexsort((where[twisted], item[twisted]))]
+    loops = _repeating_matches(item[twisted], where[twisted], which[twisted], ends, test)
     item, ipos, where, width = item[order], ipos[order], where[order], width[order]
     new = np.ones(len(item), bool)
     new[1:] = (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (ipos[1:] != ipos[:-1] + 1) | (ends[where[1:]] != ends[where[:-1]])
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(item)] - 1
-    doc = np.searchsorted(offsets, where[first], "right") - 1
-    size = where[last] - where[first] + width[last]
-    order = np.lexsort((ipos[first], where[first]))
-    return tuple(x[order] for x in (doc, item[first], ipos[first], where[first] - offsets[doc], size))
+    size = (where[last] - where[first] + width[last]) if len(first) else np.zeros(0, np.int64)
+    item, ipos, where, size = (np.concatenate(x) for x in zip((item[first], ipos[first], where[first], size), loops))
+    doc = np.searchsorted(offsets, where, "right") - 1
+    order = np.lexsort((ipos, item, where))
+    return tuple(x[order] for x in (doc, item, ipos, where - offsets[doc], size))
+
+
+def _repeating_matches(item: np.ndarray, where: np.ndarray, window: np.ndarray, ends: np.ndarray, test: TestSuffixes) -> tuple:
+    """Matches with items that repeat a window: arrays (item, item_pos, place, n_words).
+
+    The hits come by item and place.  A match goes on while some place in the item
+    goes on with it, so the pairs of places never are written out.  From the
+    first place on, each match is the longest that covers the next place not
+    covered yet, extended to the left as well."""
+    def places(k: int) -> np.ndarray:
+        return test.places[test.at_window[window[k]]:test.at_window[window[k] + 1]]
+
+    def follows(k: int) -> bool:  # hit k goes on from hit k - 1
+        return item[k] == item[k - 1] and where[k] == where[k - 1] + 1 and ends[where[k]] == ends[where[k - 1]]
+
+    out, at = [], 0
+    while at < len(item):
+        last, now = at, places(at)
+        while last + 1 < len(item) and follows(last + 1):
+            longer = np.intersect1d(now + 1, places(last + 1), assume_unique=True)
+            if not len(longer):
+                break
+            last, now = last + 1, longer
+        first, start = at, now - (last - at)
+        while first and follows(first):
+            longer = np.intersect1d(start - 1, places(first - 1), assume_unique=True)
+            if not len(longer):
+                break
+            first, start = first - 1, longer
+        out.append((item[at], start.min(), where[first], last - first + test.length[window[at]]))
+        at = last + 1
+    return tuple(np.array([m[k] for m in out], np.int64) for k in range(4))
 
 
 def _search(test) -> Column:
@@ -155,8 +206,9 @@ def find_matches(docs: DataFrame, bench: DataFrame, *, window: int = 10, id_col:
     share an id count as one.  An empty benchmark matches nothing.
     """
     spark = docs.sparkSession
-    out, matches = docs.withColumn("_matches", F.expr(f"cast(array() as {_MATCH})")).withColumn("_n_words", F.lit(0).cast("long")), None
-    for block in list(_blocks(bench, id_col, item_text, block_bytes)) or [[]]:
+    out = docs.withColumn("_matches", F.expr(f"cast(array() as {_MATCH})")).withColumn("_n_words", F.lit(0).cast("long"))
+    blocks = _blocks(bench, id_col, item_text, block_bytes)  # the driver holds one at a time
+    for block in itertools.chain([next(blocks, [])], blocks):
         test = spark.sparkContext.broadcast(TestSuffixes(block, window))
         out = out.withColumn("_found", _search(test)(F.col(text_col)))
         out = out.withColumn("_matches", F.concat("_matches", "_found.matches")).withColumn("_n_words", F.col("_found.n_words")).drop("_found")

@@ -308,3 +308,34 @@ def test_language_model_scores_equal_plain_deleted_interpolation(spark):
     for i in texts:
         want = math.fsum(math.log10(max(sum(x * y for x, y in zip(weights[bucket(whole[0][u])], parts(u, w, *whole))), 1e-300)) for u, w in pairs(i))
         assert got[i] == pytest.approx(want, rel=0.02, abs=0.05)
+
+
+def test_repeated_windows_are_not_paired_and_give_the_longest_matches():
+    """An item of equal words against a long text of them; and, on few words, the
+    covered places, and every match verbatim and longer to neither side."""
+    test = decontaminate.TestSuffixes([("line", "x " * 1000)], 10)
+    assert len(test.low) == 1
+    hashes, offsets = words.hashed_words(pa.array(["x " * 10_000, "y " + "x " * 25]), words.NOT_ALNUM)
+    got = [x.tolist() for x in decontaminate.shard_matches(hashes, offsets, test)]
+    assert sum(n for d, n in zip(got[0], got[4]) if d == 0) < 30_000 and len(got[0]) < 20
+    assert (got[0][-1], got[3][-1], got[4][-1]) == (1, 1, 25)
+    rng = random.Random(5)
+    for _ in range(60):
+        items = [[rng.choice("ab" if k % 2 else "abcdef") for _ in range(rng.randint(2, 30))] for k in range(4)]
+        texts = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] + items[k % 4][rng.randint(0, 3):] for k in range(5)]
+        test = decontaminate.TestSuffixes([(str(k), " ".join(w)) for k, w in enumerate(items)], 4)
+        hashes, offsets = words.hashed_words(pa.array([" ".join(t) for t in texts]), words.NOT_ALNUM)
+        covered = {}
+        for d, i, p, w, n in zip(*(x.tolist() for x in decontaminate.shard_matches(hashes, offsets, test))):
+            t, s = texts[d], items[int(test.names[test.name_of[i]])]
+            assert t[w:w + n] == s[p:p + n] and n >= min(4, len(s))
+            if len(s) >= 4:
+                assert not (w and any(s[q:q + n + 1] == t[w - 1:w + n] for q in range(len(s) - n)))
+                assert not (w + n < len(t) and any(s[q:q + n + 1] == t[w:w + n + 1] for q in range(len(s) - n)))
+            covered.setdefault((d, i), set()).update(range(w, w + n))
+        for d, t in enumerate(texts):
+            for i, s in enumerate(items):
+                k = min(4, len(s))
+                grams = {tuple(s[q:q + k]) for q in range(len(s) - k + 1)}
+                want = {x for w in range(len(t) - k + 1) if tuple(t[w:w + k]) in grams for x in range(w, w + k)}
+                assert covered.get((d, i), set()) == want
