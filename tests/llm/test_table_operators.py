@@ -130,3 +130,33 @@ def test_pipeline_stages_equal_brute_force_and_keep_the_columns(spark):
     assert counts == {d: n for d, (s, x) in u.items() if (n := mixing.expected_count(rate[s], x))}
     whole = corpus_pipeline.run(spark, SF)
     assert whole.columns[:len(docs.columns)] == docs.columns and whole.where("not fits").count() == 0 and whole.count() > 0
+
+
+def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_dir):
+    """No row; and null ids, texts, sources and languages, repeated ids with one
+    text and with others, a very long text, an extra column."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r["text"] for r in given.where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    odd = [(None, texts[0], "en", "s", 1), (None, texts[1], None, None, None), (5, texts[2], "en", "s", 1), (5, texts[3], "en", "s", 1), (5, texts[3], "en", "s", 1),
+           (6, None, "en", "s", 0), (7, "", "en", None, 0), (8, " 12 ", "en", "s", 4), (9, " ".join(texts) * 3, "en", "t", 9)]
+    for name, rows in (("none", []), ("odd", odd)):
+        sf = f"{tmp_dir}/{name}"
+        docs = spark.createDataFrame(rows, schema)
+        if rows:
+            docs = docs.unionByName(given.where("doc_id > 100").select(*docs.columns))
+        docs.withColumn("_row", F.lit("own")).write.parquet(f"{sf}/documents.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        stages, kept = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+        for stage in ("language_id", "jaccard_join", "decontamination", "mixing"):
+            after = stages[stage](spark, kept, sf)
+            assert after.columns == kept.columns
+            if stage != "mixing":  # rows stay as they are
+                assert after.exceptAll(kept).count() == 0
+            if stage == "jaccard_join" and rows:
+                ids = [r["doc_id"] for r in after.where("_row = 'own' and (doc_id is null or doc_id < 10)").collect()]
+                assert ids.count(5) <= 2 and len([i for i in ids if i is None]) <= 2
+            kept = after.transform(lambda df: spark.createDataFrame(df.collect(), df.schema))
+        whole = corpus_pipeline.run(spark, sf)
+        assert (whole.count() > 0) == bool(rows) and whole.where("not fits").count() == 0
