@@ -49,6 +49,7 @@ _U = np.uint64
 _SLOTS = 1 << 20
 _SLICES = 64
 _CELLS = 1 << 20  # numbers compared at once
+_SPAN, _PIECE = 1 << 20, 1 << 18  # bytes of text at once, and of these hashed at once
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,7 @@ class Rule:
 
 def shingles(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles (with repeats) and the offsets of each text's."""
-    words, offsets = hashed_words(col, WHITE_SPACE)
+    words, offsets = hashed_words(col, WHITE_SPACE, _PIECE)
     sizes = np.diff(offsets)
     count = np.where(sizes >= n, sizes - n + 1, np.minimum(sizes, 1))
     out = np.zeros(int(count.sum()), _U)
@@ -85,7 +86,7 @@ def shingles(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(col: pa.Array, n: int):
     """The sorted distinct shingles of each text, in bounded portions."""
     _, cut = text_column(col)
-    for lo, hi in spans(cut):
+    for lo, hi in spans(cut, _SPAN):
         h, at = shingles(col.slice(lo, hi - lo), n)
         for i in range(hi - lo):
             yield np.unique(h[at[i]:at[i + 1]])
@@ -128,7 +129,7 @@ def commonness(docs: DataFrame, rule: Rule) -> np.ndarray:
     def count(batch, total):
         col = batch.column(0)
         _, cut = text_column(col)
-        for lo, hi in spans(cut):
+        for lo, hi in spans(cut, _SPAN):
             h, _ = shingles(col.slice(lo, hi - lo), rule.words)
             total += np.bincount((h & _U(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
 

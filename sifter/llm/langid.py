@@ -29,7 +29,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 UNKNOWN = "und"
@@ -242,10 +242,14 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     by the settings and the languages of the sample."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, accepted boolean")
-    def classify(texts: pd.Series) -> pd.DataFrame:
-        m = shared.value
-        return pd.DataFrame([m.judge(t) for t in texts], columns=["lang_pred", "score", "accepted"])
+    @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
+    def classify(col: pa.Array) -> pa.Array:
+        m, found = shared.value, []
+        for lo in range(0, len(col), 256):  # few texts at a time as Python's strings
+            found += [m.judge(t) for t in col.slice(lo, 256).to_pylist()]
+        lang, score, accepted = zip(*found) if found else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())],
+                                          names=["lang_pred", "score", "accepted"])
 
     return docs.withColumn("_langid", classify(F.col(text_col)))
 

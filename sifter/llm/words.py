@@ -67,14 +67,16 @@ def combine(columns: list[np.ndarray], salt: int) -> np.ndarray:
     return mix(acc)
 
 
-def hashed_words(col: pa.Array, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(col: pa.Array, is_sep: np.ndarray, piece: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a text column in order, and the n + 1 offsets
-    of each text's words.  A-Z count as a-z."""
+    of each text's words.  A-Z count as a-z.  ``piece`` bytes are worked on at a
+    time (about 60 times as many are needed meanwhile)."""
+    piece = piece or _PIECE
     flat, offsets = text_column(col)
     hashes, starts = [], []
     at, end = 0, len(flat)
     while at < end:
-        to = min(at + _PIECE, end)
+        to = min(at + piece, end)
         while to < end:  # a piece ends at a separator or where a text ends
             ahead = is_sep[_LOWER[flat[to:to + 4096]]]
             sep = int(ahead.argmax()) if ahead.any() else len(ahead)
@@ -92,7 +94,7 @@ def hashed_words(col: pa.Array, is_sep: np.ndarray) -> tuple[np.ndarray, np.ndar
         last[:-1] |= ~word[1:]
         s = np.flatnonzero(word & first[:-1])
         e = np.flatnonzero(word & last) + 1
-        size = max(_PIECE, 1 << (len(low) - 1).bit_length())
+        size = max(piece, 1 << (len(low) - 1).bit_length())
         byte, power, inverse = _tables(size)
         total = np.zeros(len(low) + 1, _U)
         np.cumsum(byte[low] * power[:len(low)], out=total[1:])
