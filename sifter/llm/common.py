@@ -53,6 +53,17 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BATCH, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers at most ``_ROWS`` at a time, unless the session
+    asks for a size of its own: Spark's default of 10,000 rows is some ten
+    megabytes of text, several times over, on both sides of every task."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(_ROWS))
+
+
 def boxed(df: DataFrame, cols: list[str] | None = None, **named: Column) -> DataFrame:
     """The columns of ``df`` (or ``cols``) as one struct ``_row`` beside the named
     ones, so that no name of theirs can clash; ``select("_row.*")`` undoes it."""

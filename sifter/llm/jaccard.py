@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sifter.llm.common import boxed, discard, spans, text_column, written
+from sifter.llm.common import boxed, discard, small_batches, spans, text_column, written
 from sifter.llm.components import components
 from sifter.llm.words import WHITE_SPACE, combine, hashed_words, mix
 
@@ -528,6 +528,7 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_
     share an id are one node, so they share a component; a row without id has
     its set counted, links with nothing and has a null component.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     pts = written(points(source, rule), "points")
     usable = pts.where((F.col("n") > 0) & F.col("id").isNotNull())

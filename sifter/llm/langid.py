@@ -32,6 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sifter.llm.common import small_batches
+
 UNKNOWN = "und"
 _U = np.uint64
 
@@ -240,6 +242,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     if no language was learned every text does, as none can be trusted.
     The model's table (buckets x languages) is broadcast; its size is fixed
     by the settings and the languages of the sample."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double,accepted:boolean>")
