@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sifter.llm.common import boxed, spans, text_column
 from sifter.llm.words import NOT_ALNUM, combine, hashed_words
 
+_SPAN, _PIECE = 1 << 18, 1 << 16  # bytes of text at once, and of these hashed at once
 _MATCH = "array<struct<item_id:string,item_pos:int,doc_pos:int,n_words:int>>"
 _ARROW_MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_pos", pa.int32()), ("doc_pos", pa.int32()), ("n_words", pa.int32())]))
 
@@ -169,8 +170,8 @@ def _search(test) -> Column:
         t = test.value
         sizes, lists = np.zeros(len(col), np.int64), [[]] * len(col)
         _, cut = text_column(col)
-        for lo, hi in spans(cut):
-            hashes, offsets = hashed_words(col.slice(lo, hi - lo), NOT_ALNUM)
+        for lo, hi in spans(cut, _SPAN):
+            hashes, offsets = hashed_words(col.slice(lo, hi - lo), NOT_ALNUM, _PIECE)
             sizes[lo:hi] = np.diff(offsets)
             found: dict[int, list] = {}
             for d, i, p, w, n in zip(*(x.tolist() for x in shard_matches(hashes, offsets, t))):

@@ -49,7 +49,7 @@ _U = np.uint64
 _SLOTS = 1 << 20
 _SLICES = 64
 _CELLS = 1 << 20  # numbers compared at once
-_SPAN, _PIECE = 1 << 20, 1 << 18  # bytes of text at once, and of these hashed at once
+_SPAN, _PIECE = 1 << 18, 1 << 16  # bytes of text at once, and of these hashed at once
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def commonness(docs: DataFrame, rule: Rule) -> np.ndarray:
         _, cut = text_column(col)
         for lo, hi in spans(cut, _SPAN):
             h, _ = shingles(col.slice(lo, hi - lo), rule.words)
-            total += np.bincount((h & _U(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
+            np.add.at(total, (h & _U(_SLOTS - 1)).astype(np.int64), 1)
 
     counts = _sliced(docs.select("text"), count)
     middle = float(np.median(counts))
@@ -251,28 +251,28 @@ def points(docs: DataFrame, rule: Rule) -> DataFrame:
     share of shingles that are no common ones (0 to 100), first shingles,
     coordinates and their sketch."""
     common = docs.sparkSession.sparkContext.broadcast(commonness(docs, rule))
-    kind = pa.struct([("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("odd", pa.int32()), ("first", pa.list_(pa.int64())), ("coords", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("odd", pa.int32()), ("first", pa.list_(pa.int64())), ("coords", pa.binary()), ("sketch", pa.binary())])
 
-    @F.arrow_udf("struct<n:bigint,sig_a:bigint,sig_b:bigint,odd:int,first:array<bigint>,coords:binary,sketch:binary>")
-    def point(col: pa.Array) -> pa.Array:
+    def point(batches):
         classes = common.value
-        n, a, b, odd, first, coords, light = [], [], [], [], [], [], []
-        for s in shingle_sets(col, rule.words):
-            c = classes[(s & _U(_SLOTS - 1)).astype(np.int64)]
-            keep = len(s) - least_overlap(len(s), rule) + 1 if len(s) else 0
-            n.append(len(s))
-            a.append(int(mix(s).sum(dtype=_U).astype(np.int64)))
-            b.append(int(mix(s ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U).astype(np.int64)))
-            odd.append(int(100 * np.mean(c == 0)) if len(s) else 0)
-            first.append(s[np.argsort(c, kind="stable")[:keep]].view(np.int64))
-            whole = coordinates(s)
-            coords.append(whole.tobytes())
-            light.append(sketch(whole).tobytes())
-        return pa.StructArray.from_arrays(
-            [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(odd, pa.int32()),
-             pa.array(first, pa.list_(pa.int64())), pa.array(coords, pa.binary()), pa.array(light, pa.binary())], fields=list(kind))
-
-    return docs.select("id", point("text").alias("p")).select("id", "p.*")
+        for batch in batches:
+            n, a, b, odd, first, coords, light = [], [], [], [], [], [], []
+            for s in shingle_sets(batch.column(1), rule.words):
+                c = classes[(s & _U(_SLOTS - 1)).astype(np.int64)]
+                keep = len(s) - least_overlap(len(s), rule) + 1 if len(s) else 0
+                n.append(len(s))
+                a.append(int(mix(s).sum(dtype=_U).astype(np.int64)))
+                b.append(int(mix(s ^ _U(0xA5A5A5A5DEADBEEF)).sum(dtype=_U).astype(np.int64)))
+                odd.append(int(100 * np.mean(c == 0)) if len(s) else 0)
+                first.append(s[np.argsort(c, kind="stable")[:keep]].view(np.int64))
+                whole = coordinates(s)
+                coords.append(whole.tobytes())
+                light.append(sketch(whole).tobytes())
+            found = [n, a, b, odd, first, coords, light]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, f.type) for x, f in zip(found, list(schema)[1:])]], schema=schema)
+
+    # no UDF: beside one, Spark would keep every text until its row's result is back
+    return docs.select("id", "text").mapInArrow(point, "id long, n long, sig_a long, sig_b long, odd int, first array<long>, coords binary, sketch binary")
 
 
 # --- joining a region in one task ----------------------------------------------------
@@ -414,14 +414,16 @@ def regions(pts: DataFrame) -> DataFrame:
     pivot = written(entry.groupBy("s").agg(F.min("key").alias("region"), F.count("*").alias("c")).where("c > 1").drop("c"), "pivots")
     shared = pts.sparkSession.sparkContext.broadcast(_filter(pivot.select("s")))
 
-    @F.arrow_udf("array<bigint>")
-    def only_shared(col: pa.Array) -> pa.Array:
-        col = col.cast(pa.list_(pa.int64()))
-        on = shared.value.holds(col.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-        cut = np.r_[0, np.cumsum(on)][col.offsets.to_numpy() - col.offsets[0].as_py()] if len(col) else np.zeros(1, np.int64)
-        return pa.ListArray.from_arrays(pa.array(cut, pa.int32()), col.flatten().filter(pa.array(on)))
-
-    entry = pts.select(_key().alias("key"), only_shared("first").alias("first")).select("key", F.explode("first").alias("s"))
+    def only_shared(batches):
+        for batch in batches:
+            col = batch.column(1)
+            s = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            on = shared.value.holds(s)
+            key = np.repeat(batch.column(0).to_numpy(), col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(key[on]), pa.array(s[on])], names=["key", "s"])
+
+    # no UDF: Spark would push a copy of it below explode as a filter, and run two workers in every task
+    entry = pts.select(_key().alias("key"), "first").mapInArrow(only_shared, "key long, s long")
     return written(entry.join(pivot, "s").select("region", "key").distinct(), "regions")
 
 

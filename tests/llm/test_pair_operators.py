@@ -1,12 +1,15 @@
 """Top-k search and the Jaccard join against brute force."""
 
 import random
+import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sifter.llm import jaccard, topk
+from sifter.llm import decontaminate, jaccard, topk, words
 from sifter.llm.components import components
 
 
@@ -131,6 +134,52 @@ def test_one_of_each_group_stays(spark, texts):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0 == jaccard.one_per_group(df.limit(0), rule).count()
 
 
+def python_steps_at_once(plan):
+    """The most Python steps that a task of the plan runs at the same time."""
+    chain, most = [(-1, 0)], 0
+    for line in plan.splitlines():
+        step = re.search("[A-Z].*", line)
+        if step:
+            depth = line.index("+- ") if "+- " in line else line.index(":- ") if ":- " in line else 0
+            while chain[-1][0] >= depth:
+                chain.pop()
+            name = step.group().split(" ")[0]
+            n = (0 if name.endswith("Exchange") else chain[-1][1]) + name.startswith(("ArrowEvalPython", "MapInArrow", "FlatMapGroupsInArrow"))
+            chain.append((depth, n))
+            most = max(most, n)
+    return most
+
+
+def test_a_task_has_one_python_worker(spark, texts, monkeypatch):
+    """A function that Spark evaluates twice in a stage needs a second worker in
+    each task, which keeps its memory from then on."""
+    plans = {}
+
+    def written(df, tag, write=jaccard.written):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, tag)
+
+    monkeypatch.setattr(jaccard, "written", written)
+    jaccard.one_per_group(spark.createDataFrame(texts, "doc_id long, text string"), jaccard.Rule(5, 80, 100))
+    assert {tag: python_steps_at_once(p) for tag, p in plans.items() if python_steps_at_once(p) > 1} == {}
+    assert python_steps_at_once(plans["points"]) == python_steps_at_once(plans["regions"]) == 1
+
+
+def test_hashing_texts_takes_little_memory(spark):
+    rng = np.random.default_rng(2)
+    col = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 10**6, 500)) for _ in range(1000)])
+    search = decontaminate._search(type("Shared", (), {"value": decontaminate.TestSuffixes([("a", col[3].as_py())], 10)})).func
+    whole = jaccard.shingles(col, 5)[0]
+    words._tables.cache_clear()
+    for work in (lambda: sum(map(len, jaccard.shingle_sets(col, 5))), lambda: search(col)):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12e6
+    assert set(np.concatenate(list(jaccard.shingle_sets(col, 5))).tolist()) == set(whole.tolist())  # cut anywhere, the same shingles
+
+
 def test_a_filter_holds_its_numbers_and_few_others(spark):
     for n in (0, 1, 20_000):
         f = jaccard._filter(spark.range(n).selectExpr("id * 7 as x"))
